@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from deltion.functions.text import any_term, clean, match_positions, norm_text
+from deltion.functions.text import any_term, clean, let, match_positions, norm_text
 
 ZONE = "Europe/Athens"
 NO_DEADLINE = "9999"
@@ -112,15 +112,18 @@ EXTENSION = ["παραταση", "παρατειν", "νεα καταληκτι
 
 def deadline_score(context: Column, groups=DEADLINE_GROUPS, negative=NOT_DEADLINE) -> Column:
     """One point per wording group present, minus one for any speaking against."""
-    folded = norm_text(context)
-    score = F.lit(0)
-    for group in groups:
-        score = score + any_term(folded, group).cast("int")
-    return score - any_term(folded, negative).cast("int")
+
+    def count(folded: Column) -> Column:
+        score = F.lit(0)
+        for group in groups:
+            score = score + any_term(folded, group).cast("int")
+        return score - any_term(folded, negative).cast("int")
+
+    return let(norm_text(context), count)
 
 
 def is_extension(context: Column, terms=EXTENSION) -> Column:
-    return any_term(norm_text(context), terms)
+    return let(norm_text(context), lambda folded: any_term(folded, terms))
 
 
 def deadline_evidence(text: Column, radius: int = 260, groups=DEADLINE_GROUPS, negative=NOT_DEADLINE, extension=EXTENSION) -> Column:
@@ -128,15 +131,19 @@ def deadline_evidence(text: Column, radius: int = 260, groups=DEADLINE_GROUPS, n
 
     Best = latest date, then an extension, then confidence min(.98, .55 + .1 score).
     """
-    flat = clean(text)
+    return let(clean(text), lambda flat: _best_statement(flat, radius, groups, negative, extension))
 
+
+def _best_statement(flat: Column, radius: int, groups, negative, extension) -> Column:
     def weigh(hit: Column) -> Column:
         start = F.greatest(hit["pos"] - radius, F.lit(1))
         context = F.substr(flat, start, hit["pos"] + F.length(hit["m"]) + radius - start)
         return F.struct(hit["deadline_at"].alias("deadline_at"), context.alias("context"), hit["m"].alias("m"))
 
     def grade(hit: Column) -> Column:
-        score = deadline_score(hit["context"], groups, negative)
+        return let(deadline_score(hit["context"], groups, negative), lambda score: scored(hit, score))
+
+    def scored(hit: Column, score: Column) -> Column:
         return F.struct(
             sort_key(hit["deadline_at"]).alias("key"),
             is_extension(hit["context"], extension).alias("is_extension"),

@@ -49,6 +49,15 @@ def _translate(c: Column, pairs: dict[str, str]) -> Column:
     return F.when(F.octet_length(c) == F.length(c), c).otherwise(mapped)
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once for an expression that uses it many times.
+
+    Inside array lambdas (and in the branches of a condition) Spark evaluates a repeated expression
+    again each time; a lambda variable is evaluated once.
+    """
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def clean(c: Column) -> Column:
     """Collapse whitespace runs and trim."""
     return F.trim(F.regexp_replace(c, f"{WS}+", " "))
@@ -202,17 +211,14 @@ def token_overlap(left: Column, right: Column) -> Column:
 
 def keyword_list(raw: Column, cap: int = 40, width: int = 80) -> Column:
     """Split on newline/comma/semicolon, clean, first of each folded form, capped."""
-    items = F.filter(
-        F.transform(F.split(F.coalesce(raw, F.lit("")), "[\n,;]+"), clean),
-        lambda x: F.length(norm_text(x)) > 0,
-    )
-    return F.slice(F.transform(first_of_each(items, norm_text), lambda x: F.substring(x, 1, width)), 1, cap)
+    items = F.transform(F.split(F.coalesce(raw, F.lit("")), "[\n,;]+"), lambda x: let(clean(x), lambda c: F.struct(norm_text(c).alias("key"), c.alias("item"))))
 
+    def step(kept: Column, x: Column) -> Column:
+        known = (F.size(kept) >= cap) | (x["key"] == "") | F.exists(kept, lambda y: y["key"] == x["key"])
+        return F.when(known, kept).otherwise(F.concat(kept, F.array(x)))
 
-def first_of_each(items: Column, key) -> Column:
-    """Array without the elements whose key occurred earlier in the array."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    kept = F.aggregate(items, F.array().cast("array<struct<key:string,item:string>>"), step)
+    return F.transform(kept, lambda x: F.substring(x["item"], 1, width))
 
 
 # Entities that occur in notice pages.

@@ -23,6 +23,7 @@ from deltion.functions.text import (
     fold_term,
     fold_terms,
     haystack,
+    let,
     lines,
     matched_terms,
     norm_text,
@@ -46,8 +47,10 @@ def scope_match(text: Column, scopes: Sequence[Scope]) -> Column:
     An ambiguous alias is ignored when a negative context is present, confirmed by a positive
     one, and otherwise kept with a note; the first alias that decides wins.
     """
-    folded = norm_text(text)
-    toks = tokens(folded)
+    return let(norm_text(text), lambda folded: let(tokens(folded), lambda toks: _scopes_in(folded, toks, scopes)))
+
+
+def _scopes_in(folded: Column, toks: Column, scopes: Sequence[Scope]) -> Column:
     out = []
     for scope in scopes:
         def hit(note: Column, scope=scope) -> Column:
@@ -67,8 +70,10 @@ def scope_match(text: Column, scopes: Sequence[Scope]) -> Column:
 
 def focus_location(text: Column, municipalities: Sequence[Scope], regions: Sequence[Scope]) -> Column:
     """The first place of interest a text names, as the reason shown; null when none."""
-    folded = norm_text(text)
+    return let(norm_text(text), lambda folded: _place_in(folded, municipalities, regions))
+
 
+def _place_in(folded: Column, municipalities: Sequence[Scope], regions: Sequence[Scope]) -> Column:
     def named(terms) -> Column:
         test = F.lit(False)
         for term in terms:
@@ -95,6 +100,10 @@ def works_gate(folded: Column, source: Column, record_type: Column, has_attachme
                works=vocab.PUBLIC_WORKS, tender=vocab.TENDER, admin=vocab.ADMIN_DROP, supply=vocab.SUPPLY_DROP,
                general=vocab.NOT_INFRASTRUCTURE, trusted: str = "ESHIDIS") -> Column:
     """Whether a candidate is a public-works tender, with the terms that decided it."""
+    return let(folded, lambda f: _gate(f, source, record_type, has_attachment, works, tender, admin, supply, general, trusted))
+
+
+def _gate(folded: Column, source: Column, record_type: Column, has_attachment: Column, works, tender, admin, supply, general, trusted) -> Column:
     works_hits = matched_terms(folded, fold_terms(works))
     tender_hits = matched_terms(folded, fold_terms(tender))
     admin_hits = matched_terms(folded, fold_terms(admin))
@@ -143,7 +152,10 @@ def notice_status(record_type: Column, cancelled: Column, deadline: Column, as_o
 
 def classify_name(name: Column, rules=vocab.DOCUMENT_RULES) -> Column:
     """struct<document_type, confidence, matched>: first rule with a term in the file name."""
-    folded = norm_text(name, underscores=True)
+    return let(norm_text(name, underscores=True), lambda folded: _document_type(folded, rules))
+
+
+def _document_type(folded: Column, rules) -> Column:
     chain = F
     for kind, terms in rules:
         plain = fold_terms(terms, underscores=True)
@@ -337,7 +349,10 @@ def hidden_reason(decision: Column, reason: Column) -> Column:
 def out_of_scope_reason(title: Column, display_id: Column, groups=vocab.OUT_OF_SCOPE, road=vocab.REVIEW_ROAD,
                         maintenance=vocab.REVIEW_MAINTENANCE, tender=vocab.REVIEW_TENDER) -> Column:
     """C20: why a title is plainly no public work; null for road maintenance tenders and others."""
-    folded = haystack(title, display_id)
+    return let(haystack(title, display_id), lambda folded: _plain_reason(folded, groups, road, maintenance, tender))
+
+
+def _plain_reason(folded: Column, groups, road, maintenance, tender) -> Column:
     guard = any_term(folded, fold_terms(road)) & any_term(folded, fold_terms(maintenance)) & any_term(folded, fold_terms(tender))
     chain = F.when(guard, F.lit(None).cast("string"))
     for label, terms in groups:
@@ -374,13 +389,13 @@ def triage_guard(decision: Column, confidence: Column, reason: Column, hints: Co
     """
     valid = F.when(decision.isin(vocab.DECISIONS), decision).otherwise("REVIEW_TENDER_CANDIDATE")
     number = F.coalesce(confidence, F.lit(0.0))
-    folded = haystack(row_text, reason)
     has = lambda c: F.length(F.trim(F.coalesce(c.cast("string"), F.lit("")))) > 0
-    guard = (
-        (valid == "DROP_OUT_OF_SCOPE_SUPPLY_SERVICE") & ~any_term(folded, fold_terms(excluded))
+    road_works = let(haystack(row_text, reason), lambda folded: (
+        ~any_term(folded, fold_terms(excluded))
         & any_term(folded, fold_terms(road)) & any_term(folded, fold_terms(maintenance)) & any_term(folded, fold_terms(tender))
-        & has(deadline) & (has(budget) | folded.rlike(r"\d[\d.]*,\d{2}\s*(?:€|eur)"))
-    )
+        & (has(budget) | folded.rlike(r"\d[\d.]*,\d{2}\s*(?:€|eur)"))
+    ))
+    guard = (valid == "DROP_OUT_OF_SCOPE_SUPPLY_SERVICE") & has(deadline) & road_works
     final = F.when(guard, "REVIEW_TENDER_CANDIDATE").otherwise(valid)
     keep = final.isin(vocab.KEEP_DECISIONS)
     note = (
@@ -412,7 +427,7 @@ def _squeezed(upper: Column) -> Column:
 
 
 def _either(upper: Column, terms) -> Column:
-    return any_term(upper, terms) | any_term(_squeezed(upper), terms)
+    return any_term(upper, terms) | let(_squeezed(upper), lambda tight: any_term(tight, terms))
 
 
 def offer_signal(upper: Column) -> Column:
@@ -434,33 +449,39 @@ def drawing_signal(upper: Column) -> Column:
 def budget_priority(name: Column, document_type: Column) -> Column:
     """0/20/45/80/90: how surely a stand-alone file is the official budget."""
     alone = ~F.translate(name, "\\", "/").contains("/")
-    upper = upper_plain(F.concat_ws(" ", name, F.coalesce(document_type, F.lit(""))))
-    strong, measured = strong_budget_signal(upper), upper.contains("ΠΡΟΜΕΤΡΗΣ")
-    return (
-        F.when(~alone | offer_signal(upper), 0).when(strong & measured, 90).when(strong, 80).when(measured, 45)
-        .when(weak_budget_signal(upper), 20).otherwise(0)
-    )
+
+    def rate(upper: Column) -> Column:
+        strong, measured = strong_budget_signal(upper), upper.contains("ΠΡΟΜΕΤΡΗΣ")
+        return (
+            F.when(~alone | offer_signal(upper), 0).when(strong & measured, 90).when(strong, 80).when(measured, 45)
+            .when(weak_budget_signal(upper), 20).otherwise(0)
+        )
+
+    return let(upper_plain(F.concat_ws(" ", name, F.coalesce(document_type, F.lit("")))), rate)
 
 
 def preserve_document(name: Column, document_type: Column) -> Column:
     """Keep the file until the deadline."""
-    upper = upper_plain(F.concat_ws(" ", name, F.coalesce(document_type, F.lit(""))))
     archive = F.lower(name).rlike(r"\.(zip|rar|7z)$") | (F.lower(F.coalesce(document_type, F.lit(""))) == "archive")
-    return ~archive & ~drawing_signal(upper) & ~offer_signal(upper) & any_term(upper, ESSENTIAL)
+    upper = upper_plain(F.concat_ws(" ", name, F.coalesce(document_type, F.lit(""))))
+    return ~archive & let(upper, lambda u: ~drawing_signal(u) & ~offer_signal(u) & any_term(u, ESSENTIAL))
 
 
 def pricing_candidate(name: Column) -> Column:
     """Worth reading for priced lines."""
     path = F.translate(name, "\\", "/")
-    leaf = upper_plain(F.substring_index(path, "/", -1))
     parent = upper_plain(F.regexp_extract(path, "^(.*)/[^/]*$", 1))
     suffix = F.lower(F.regexp_extract(name, r"(\.[^./\\]+)$", 1))
-    signal = (
-        F.when(drawing_signal(leaf), F.lit(False))
-        .when(offer_signal(leaf) | _either(leaf, PRICING_STRONG), F.lit(True))
-        .when(path.contains("/"), _either(parent, PRICING_STRONG))
-        .otherwise(_either(leaf, PRICING_BROAD))
-    )
+
+    def decide(leaf: Column) -> Column:
+        return (
+            F.when(drawing_signal(leaf), F.lit(False))
+            .when(offer_signal(leaf) | _either(leaf, PRICING_STRONG), F.lit(True))
+            .when(path.contains("/"), _either(parent, PRICING_STRONG))
+            .otherwise(_either(leaf, PRICING_BROAD))
+        )
+
+    signal = let(upper_plain(F.substring_index(path, "/", -1)), decide)
     return F.when(suffix.isin(".txt", ".text"), F.lit(True)).when(suffix != ".pdf", F.lit(False)).otherwise(signal)
 
 
@@ -473,9 +494,12 @@ BUDGET_PHRASES = [
 
 def contains_budget(text: Column) -> Column:
     """The text holds a budget table."""
-    upper = upper_plain(text)
-    columns = upper.contains("ΤΙΜΗ ΜΟΝΑΔΑΣ") & upper.contains("ΠΟΣΟΤΗΤΑ") & upper.contains("ΔΑΠΑΝΗ")
-    return upper.contains("ΠΡΟΥΠΟΛΟΓΙΣ") & (any_term(upper, [upper_term(p) for p in BUDGET_PHRASES]) | columns)
+
+    def test(upper: Column) -> Column:
+        columns = upper.contains("ΤΙΜΗ ΜΟΝΑΔΑΣ") & upper.contains("ΠΟΣΟΤΗΤΑ") & upper.contains("ΔΑΠΑΝΗ")
+        return upper.contains("ΠΡΟΥΠΟΛΟΓΙΣ") & (any_term(upper, [upper_term(p) for p in BUDGET_PHRASES]) | columns)
+
+    return let(upper_plain(text), test)
 
 
 def partial_budget(text: Column) -> Column:
@@ -483,7 +507,8 @@ def partial_budget(text: Column) -> Column:
     numbers = F.array_distinct(
         F.filter(F.transform(lines(text), lambda x: F.regexp_extract(x, r"^\s*(\d{1,3})\s", 1).try_cast("int")), lambda n: n.isNotNull())
     )
-    return upper_plain(text).contains("ΠΡΟΥΠΟΛΟΓΙΣΜΟΣ") & (F.size(numbers) > 0) & (F.array_min(numbers) > 1) & (F.size(numbers) <= 10)
+    few = let(numbers, lambda n: (F.size(n) > 0) & (F.array_min(n) > 1) & (F.size(n) <= 10))
+    return F.coalesce(upper_plain(text).contains("ΠΡΟΥΠΟΛΟΓΙΣΜΟΣ") & few, F.lit(False))
 
 
 def is_document_url(url: Column, extensions=vocab.DOCUMENT_EXTENSIONS) -> Column:
@@ -547,8 +572,10 @@ def page_flags(body: Column) -> Column:
 
 def document_evidence(text: Column, authority: Column, scopes: Sequence[Scope], row_scopes: Column) -> Column:
     """struct<status, authority_match, scopes>: does the text name the authority or a scope of the row."""
-    folded = norm_text(text)
-    toks = tokens(folded)
+    return let(norm_text(text), lambda folded: let(tokens(folded), lambda toks: _names_in(folded, toks, text, authority, scopes, row_scopes)))
+
+
+def _names_in(folded: Column, toks: Column, text: Column, authority: Column, scopes: Sequence[Scope], row_scopes: Column) -> Column:
     named = F.coalesce((norm_text(authority) != "") & (F.instr(folded, norm_text(authority)) > 0), F.lit(False))
     found = F.array_compact(
         F.array(*[F.when(F.array_contains(row_scopes, s.name) & any_alias(folded, toks, [s.name, *s.aliases]), F.lit(s.name)) for s in scopes])
@@ -565,7 +592,10 @@ def triage_features(text: Column, official_id: Column, attachment_count: Column,
                     works=vocab.PUBLIC_WORKS, admin=vocab.ADMIN_DROP, supply=vocab.SUPPLY_DROP) -> Column:
     """Input of a labelling step: flags, term signals, a 1 200 character sample, and at most
     four documents with five snippets each."""
-    folded = norm_text(text)
+    return let(norm_text(text), lambda folded: _features(folded, text, official_id, attachment_count, evidence, works, admin, supply))
+
+
+def _features(folded: Column, text: Column, official_id: Column, attachment_count: Column, evidence: Column | None, works, admin, supply) -> Column:
     fields = [
         (F.coalesce(official_id.rlike(r"\b\d{5,7}\b"), F.lit(False)) | any_term(folded, ["eshidis", "εσηδησ"])).alias("has_registry_id"),
         (F.coalesce(F.lower(official_id).rlike(r"\b\d{2}proc\d{9}\b"), F.lit(False)) | folded.rlike(r"\b\d{2}proc\d{9}\b")).alias("has_notice_id"),
@@ -594,8 +624,11 @@ PREVIEW_LABEL = {
 
 def preview_kind(document_type: Column, name: Column) -> Column:
     """Kind of a document from its type or name."""
-    folded = haystack(document_type, name)
     kind = F.coalesce(document_type, F.lit(""))
+    return let(haystack(document_type, name), lambda folded: _kind_of(folded, kind))
+
+
+def _kind_of(folded: Column, kind: Column) -> Column:
     return (
         F.when((kind == "tender_declaration") | folded.contains("διακηρυ"), "declaration")
         .when((kind == "technical_description") | folded.contains("τεχνικη περιγραφ"), "technical_description")
@@ -621,13 +654,19 @@ def taxonomy_labels(text: Column, cpv: Column, taxonomy=vocab.TAXONOMY) -> Colum
     Score = 2 per code prefix and strong term, 1 per medium term;
     confidence = min(.99, score / max(3, 2 weight)).
     """
-    folded = norm_text(text)
+    return let(norm_text(text), lambda folded: _labels_in(folded, cpv, taxonomy))
+
+
+def _labels_in(folded: Column, cpv: Column, taxonomy) -> Column:
     out = []
     for cat in taxonomy:
         cpv_hits = matched_terms(cpv, cat["cpv"])
         strong = matched_terms(folded, fold_terms(cat["strong"]), cat["strong"])
         medium = matched_terms(folded, fold_terms(cat["medium"]), cat["medium"])
-        score = 2 * F.size(cpv_hits) + 2 * F.size(strong) + F.size(medium)
+        score = F.lit(0)
+        for term, weight in [*((x, 2) for x in fold_terms(cat["strong"])), *((x, 1) for x in fold_terms(cat["medium"]))]:
+            score = score + F.when(folded.contains(term), weight).otherwise(0)
+        score = score + 2 * F.size(cpv_hits)
         confidence = F.round(F.least(F.lit(0.99), score / F.lit(max(3.0, cat["weight"] * 2.0))), 2)
         found = any_term(cpv, cat["cpv"]) | any_term(folded, fold_terms([*cat["strong"], *cat["medium"]]))
         out.append(
@@ -652,6 +691,10 @@ def taxonomy_audit(labels: Column, strong: float = 0.85, likely: float = 0.6) ->
 
     Labels come sorted: positive first, then falling confidence, then name.
     """
+    return let(labels, lambda found: _audit_of(found, strong, likely))
+
+
+def _audit_of(labels: Column, strong: float, likely: float) -> Column:
     positive = F.filter(labels, lambda x: x["polarity"] == "positive")
     negative = F.filter(labels, lambda x: x["polarity"] == "negative")
     top = F.coalesce(F.array_max(F.transform(labels, lambda x: x["confidence"])), F.lit(0.0))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltion.functions.numbers import parse_locale_number
-from deltion.functions.text import clean, lines, norm_text
+from deltion.functions.text import clean, let, lines, norm_text
 
 Order = Column | Sequence[Column]
 
@@ -127,13 +127,15 @@ def dedupe_similar(matches: Column, threshold: float = 0.70) -> Column:
 
 def line_context(text: Column, reach: int = 3) -> Column:
     """non-blank lines with their neighbours: array<struct<idx, line, before, after>>."""
-    kept = F.filter(lines(text), lambda x: F.length(F.trim(x)) > 0)
-    return F.transform(
-        kept,
-        lambda x, i: F.struct(
-            i.alias("idx"), F.rtrim(x).alias("line"),
-            F.slice(kept, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))).alias("before"),
-            F.slice(kept, i + 2, reach).alias("after"),
+    return let(
+        F.filter(lines(text), lambda x: F.length(F.trim(x)) > 0),
+        lambda kept: F.transform(
+            kept,
+            lambda x, i: F.struct(
+                i.alias("idx"), F.rtrim(x).alias("line"),
+                F.slice(kept, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))).alias("before"),
+                F.slice(kept, i + 2, reach).alias("after"),
+            ),
         ),
     )
 
@@ -164,9 +166,11 @@ def text_windows(text: Column, score, size: int = 36, k: int = 3, snippet: int =
 
     `score` is a function of the cleaned block.
     """
-    rows = lines(text)
-    starts = F.sequence(F.lit(0), F.size(rows) - 1, F.lit(size))
-    blocks = F.transform(starts, lambda s: F.struct(s.alias("start"), clean(F.array_join(F.slice(rows, s + 1, size), "\n")).alias("block")))
+    def cut(rows: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(rows) - 1, F.lit(size))
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), clean(F.array_join(F.slice(rows, s + 1, size), "\n")).alias("block")))
+
+    blocks = let(lines(text), cut)
     scored = F.transform(blocks, lambda b: F.struct((-score(b["block"])).alias("neg"), (b["start"] + 1).alias("line_start"), b["block"].alias("block")))
     best = F.slice(F.array_sort(F.filter(scored, lambda s: s["neg"] < 0)), 1, k)
     return F.transform(best, lambda s: F.struct((-s["neg"]).alias("score"), s["line_start"].alias("line_start"), F.substring(s["block"], 1, snippet).alias("snippet")))
@@ -191,23 +195,30 @@ def prefix_until_exhausted(df: DataFrame, org: str, page: str, outside: Column)
 
 def marker_unit_prices(text: Column, reach: int = 80) -> Column:
     """price stated between a section marker `A.T.: n` and the next one: map<int, decimal>."""
-    rows = lines(text)
-    numbered = F.transform(
-        rows, lambda x, i: F.struct(i.alias("at"), F.regexp_extract(x, r"(?iu)\b[AΑ]\.?\s*[TΤ]\.?\s*:\s*(\d{1,3})\b", 1).alias("n"))
-    )
-    markers = F.filter(numbered, lambda m: m["n"] != "")
-    last = F.least(F.size(rows), F.try_element_at(markers, F.lit(-1))["at"] + reach)
-
-    def price(m: Column, j: Column) -> Column:
-        end = F.coalesce(F.try_element_at(markers, (j + 2).cast("int"))["at"], last)
-        block = F.array_join(F.slice(rows, m["at"] + 1, end - m["at"]), "\n")
-        stated = F.regexp_extract(block, r"(?iu)\(Αριθμητικώς\)\s*:\s*(\d+(?:[.,]\d{1,3})*)", 1)
-        return F.struct(m["n"].cast("int").alias("key"), parse_locale_number(stated).alias("value"))
-
-    priced = F.filter(F.transform(markers, price), lambda p: p["value"].isNotNull())
-    keys = F.transform(priced, lambda p: p["key"])
-    last_of_key = F.filter(priced, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"]))
-    return F.map_from_entries(last_of_key)
+    mark = r"(?iu)\b[AΑ]\.?\s*[TΤ]\.?\s*:\s*(\d{1,3})\b"
+
+    def read(rows: Column, markers: Column) -> Column:
+        last = F.least(F.size(rows), F.try_element_at(markers, F.lit(-1))["at"] + reach)
+
+        def price(m: Column, j: Column) -> Column:
+            end = F.coalesce(F.try_element_at(markers, (j + 2).cast("int"))["at"], last)
+            block = F.array_join(F.slice(rows, m["at"] + 1, end - m["at"]), "\n")
+            stated = F.regexp_extract(block, r"(?iu)\(Αριθμητικώς\)\s*:\s*(\d+(?:[.,]\d{1,3})*)", 1)
+            return F.struct(m["n"].cast("int").alias("key"), parse_locale_number(stated).alias("value"))
+
+        return F.filter(F.transform(markers, price), lambda p: p["value"].isNotNull())
+
+    def markers_of(rows: Column) -> Column:
+        numbered = F.transform(rows, lambda x, i: F.struct(i.alias("at"), F.regexp_extract(x, mark, 1).alias("n")))
+        return F.filter(numbered, lambda m: m["n"] != "")
+
+    def last_of_each(priced: Column) -> Column:
+        keys = F.transform(priced, lambda p: p["key"])
+        return F.filter(priced, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"]))
+
+    none = F.map_from_entries(F.array().cast("array<struct<key:int,value:decimal(24,6)>>"))
+    priced = let(let(lines(text), lambda rows: let(markers_of(rows), lambda m: read(rows, m))), last_of_each)
+    return F.when(text.rlike(mark), F.map_from_entries(priced)).otherwise(none)
 
 
 # --- sorts and top-k -------------------------------------------------------------------------

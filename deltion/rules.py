@@ -175,7 +175,7 @@ def for_each_rule(df: DataFrame, rules: Sequence, build: Callable[[object], Colu
     return reduce(DataFrame.unionByName, passes)
 
 
-def validate_rules(df: DataFrame, fallback: Column | None = None, strict: bool = True) -> DataFrame:
+def validate_rules(df: DataFrame, fallback: Column | None = None, strict: bool = True, keep: Sequence[str] = ()) -> DataFrame:
     """A10: a table of rules (id, label, phrases, operator, threshold, score, severity) made valid.
 
     Rules without phrases are dropped, ids made safe, defaults filled. A numeric condition with an
@@ -192,6 +192,7 @@ def validate_rules(df: DataFrame, fallback: Column | None = None, strict: bool =
         df.withColumn("phrases", phrases)
         .filter(F.size("phrases") > 0)
         .select(
+            *keep,
             checked.alias("rule_id"),
             clean(F.coalesce(F.nullif(F.col("label"), F.lit("")), rule_id)).alias("label"),
             "phrases",

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltion import vocab
 from deltion.functions.dates import listing_dates
 from deltion.functions.extract import first_system_id
 from deltion.functions.text import clean, strip_tags, unescape
@@ -230,10 +229,15 @@ LINK_SKIP = "(?i)(facebook|twitter|instagram|youtube|linkedin|wp-content/themes|
 LINK_WANTED = "(?iu)(pdf|zip|docx?|xlsx?|prokir|diagon|tender|διαγωνισ|διακηρ|προκηρ|πρόσκλη|προσκλη|αποφασ|απόφασ)"
 
 
+def _decoded(href: Column) -> Column:
+    """Percent-decoded address; unchanged where the escapes are malformed."""
+    return F.coalesce(F.try_url_decode(F.replace(href, F.lit("+"), F.lit("%2B"))), href)
+
+
 def listing_token(html: Column, wanted: str = LINK_WANTED, first: int = 8, sample: int = 20_000) -> Column:
     """Change token of a listing page: hash of its first tender-like links, else of its text."""
     anchors = F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0)), lambda a: F.struct(
-        F.trim(F.try_url_decode(F.regexp_extract(a, ANCHOR, 1))).alias("href"), F.substring(clean(strip_tags(F.regexp_extract(a, ANCHOR, 2))), 1, 160).alias("label")
+        F.trim(_decoded(F.regexp_extract(a, ANCHOR, 1))).alias("href"), F.substring(clean(strip_tags(F.regexp_extract(a, ANCHOR, 2))), 1, 160).alias("label")
     ))
     usable = F.filter(anchors, lambda a: (F.coalesce(a["href"], F.lit("")) != "") & ~a["href"].rlike("^(#|javascript:|mailto:|tel:)") & ~a["href"].rlike(LINK_SKIP) & F.concat_ws(" ", a["href"], a["label"]).rlike(wanted))
     chosen = F.slice(usable, 1, first)
@@ -253,5 +257,3 @@ def document_links(df: DataFrame, html: str, keep: Sequence[str], words=("pdf",
         test = test | text.contains(word)
     return flat.filter(test).select(*keep, "position", F.regexp_extract("_a", ANCHOR, 1).alias("href"), clean(strip_tags(F.regexp_extract("_a", ANCHOR, 2))).alias("text"))
 
-
-DOCUMENT_EXTENSIONS = vocab.DOCUMENT_EXTENSIONS

@@ -99,7 +99,7 @@ def scan_feed_items(df: DataFrame, payload: str, adapter: str, source_url: str,
         body = filled(i["content"]["rendered"], i["excerpt"]["rendered"])
         title = F.nullif(html_text(i["title"]["rendered"]), F.lit(""))
         text = F.concat_ws(" ", title, html_text(i["excerpt"]["rendered"]), F.substring(html_text(i["content"]["rendered"]), 1, 5000))
-        links = F.array_distinct(F.filter(F.coalesce(hrefs(body), F.array().cast("array<string>")), is_document_url))
+        links = F.array_distinct(F.filter(F.coalesce(hrefs(body), F.array().cast("array<string>")), lambda u: is_document_url(u)))
         return _feed(items, keep, title, filled(i["date"]), text, F.coalesce(filled(i["link"]), url), links, None)
     if adapter == "decisions":
         items = df.select(*keep, source_url, F.explode(F.from_json(payload, schemas.DECISIONS)["decisions"]).alias("i"))
