@@ -6,7 +6,7 @@ import importlib
 
 from deltion.catalog.base import ORACLES, QUERIES
 
-MODULES = ["scalars", "scans", "states", "filtering"]
+MODULES = ["scalars", "scans", "states", "filtering", "linking"]
 
 
 def load() -> tuple[dict, dict]:

@@ -233,7 +233,7 @@ def _(t: Tables):
 
 
 @query("c22_pricing_document_predicates", cte("lines") + """
-  SELECT project, row_number, line_id, document_no % 5 IN (0, 1, 3) AS candidate, document_no % 5 IN (0, 2) AS preserve, CASE document_no % 5 WHEN 0 THEN 80 ELSE 0 END AS priority FROM lines""")
+  SELECT project, row_number, line_id, document_no % 5 <> 4 AS candidate, document_no % 5 IN (0, 2) AS preserve, CASE document_no % 5 WHEN 0 THEN 80 ELSE 0 END AS priority FROM lines""")
 def _(t: Tables):
     n = F.col("source_document")
     return t.lines.select("project", "row_number", "line_id", filters.pricing_candidate(n).alias("candidate"), filters.preserve_document(n, F.lit("")).alias("preserve"), filters.budget_priority(n, F.lit("")).alias("priority"))
