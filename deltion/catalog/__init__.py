@@ -6,7 +6,7 @@ import importlib
 
 from deltion.catalog.base import ORACLES, QUERIES
 
-MODULES = ["scalars", "scans", "states", "filtering", "linking"]
+MODULES = ["scalars", "scans", "states", "filtering", "linking", "aggregating", "ordering"]
 
 
 def load() -> tuple[dict, dict]:

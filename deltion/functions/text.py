@@ -58,6 +58,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
+def unnest(df, keep, array: Column, name: str = "_item", position: str | None = None):
+    """One row per element of an array that is costly to compute.
+
+    A plain explode makes Spark also test the array's size in a pushed-down filter, which computes
+    it (and all it is made of) a second time; the outer form with a test on the element does not.
+    """
+    exploded = F.posexplode_outer(array).alias(position, name) if position else F.explode_outer(array).alias(name)
+    return df.select(*keep, exploded).filter(F.col(name).isNotNull())
+
+
 def clean(c: Column) -> Column:
     """Collapse whitespace runs and trim."""
     return F.trim(F.regexp_replace(c, f"{WS}+", " "))

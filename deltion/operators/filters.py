@@ -29,6 +29,7 @@ from deltion.functions.text import (
     norm_text,
     snippet,
     tokens,
+    unnest,
     upper_plain,
     upper_term,
 )
@@ -192,7 +193,7 @@ def status_signals(df: DataFrame, tender: str, name: str, document_type: str, te
         mention = signal("procedural_mention", "tender_declaration_text_sample", snippet(F.col(text), pos, 140, 140), False)
         found.append(F.when((kind == "tender_declaration") & (pos > 0), mention))
     columns = [tender, *keep, name]
-    return df.select(*columns, F.explode(F.array_compact(F.array(*found))).alias("_s")).select(*columns, "_s.*")
+    return unnest(df, columns, F.array_compact(F.array(*found)), "_s").select(*columns, "_s.*")
 
 
 def recommend_status(tenders: DataFrame, signals: DataFrame, key: str, deadline: str, now: Column) -> DataFrame:

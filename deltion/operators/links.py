@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from deltion import vocab
 from deltion.functions.dates import deadline_instant
 from deltion.functions.numbers import compare_op, number_near
-from deltion.functions.text import clean, fold_chars, fold_term, norm_text, snippet, title_tokens, token_overlap
+from deltion.functions.text import clean, fold_chars, fold_term, norm_text, snippet, title_tokens, token_overlap, unnest
 from deltion.operators.ranking import dedupe_similar, top_evidence, top_per_key
 from deltion.rules import EvaluationRule, SearchProfile, for_each_rule
 
@@ -276,7 +276,7 @@ def match_terms(docs: DataFrame, profile: SearchProfile, text: str, document_typ
             )))
     matches = F.array_compact(F.array(*found))
     hits = dedupe_similar(F.col("_matches")) if dedupe else F.col("_matches")
-    return base.select(*keep, matches.alias("_matches")).select(*keep, F.explode(hits).alias("_m")).select(*keep, "_m.*")
+    return unnest(base.select(*keep, matches.alias("_matches")), keep, hits, "_m").select(*keep, "_m.*")
 
 
 def evaluate_rules(docs: DataFrame, rules: Sequence[EvaluationRule], text: str, document_type: str | None, keep: Sequence[str]) -> DataFrame:

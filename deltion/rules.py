@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltion.functions.codes import safe_identifier
-from deltion.functions.text import clean
+from deltion.functions.text import clean, unnest
 
 CHUNK = 100
 OPERATORS = [">", ">=", "<", "<=", "=", "=="]
@@ -171,7 +171,7 @@ def for_each_rule(df: DataFrame, rules: Sequence, build: Callable[[object], Colu
     passes = []
     for at in range(0, len(rules), CHUNK):
         hits = F.array_compact(F.array(*[build(r) for r in rules[at : at + CHUNK]]))
-        passes.append(df.select(*columns, F.explode(hits).alias("_hit")).select(*keep, "_hit.*"))
+        passes.append(unnest(df, columns, hits, "_hit").select(*keep, "_hit.*"))
     return reduce(DataFrame.unionByName, passes)
 
 

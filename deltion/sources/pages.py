@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from deltion.functions.dates import listing_dates
 from deltion.functions.extract import first_system_id
-from deltion.functions.text import clean, strip_tags, unescape
+from deltion.functions.text import clean, strip_tags, unescape, unnest
 from deltion.operators.filters import is_document_url, is_landing
 from deltion.operators.ranking import first_wins
 
@@ -32,7 +32,7 @@ def resolve(base: Column, href: Column) -> Column:
 def page_links(pages: DataFrame, html: str, url: str, keep: Sequence[str]) -> DataFrame:
     """A4: anchors of pages in order: text, absolute address, whether it is a document."""
     found = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(0))
-    flat = pages.select(*keep, url, F.posexplode(found).alias("position", "_a"))
+    flat = unnest(pages, [*keep, url], found, "_a", "position")
     target = resolve(F.col(url), unescape(F.regexp_extract("_a", ANCHOR, 1)))
     text = clean(unescape(strip_tags(F.regexp_extract("_a", ANCHOR, 2))))
     return flat.select(*keep, "position", text.alias("title"), target.alias("link_url")).withColumn("is_document", is_document_url(F.col("link_url")))
@@ -44,7 +44,7 @@ def table_listing(pages: DataFrame, html: str, url: str, keep: Sequence[str], ro
     Works on row elements that do not nest (`tr`, `li`); landing rows are left out.
     """
     rows = F.regexp_extract_all(F.col(html), F.lit(rf"(?is)<{row_tag}\b[^>]*>(.*?)</{row_tag}>"), F.lit(1))
-    flat = pages.select(*keep, url, F.posexplode(rows).alias("position", "_row"))
+    flat = unnest(pages, [*keep, url], rows, "_row", "position")
     links = F.regexp_extract_all("_row", F.lit(ANCHOR), F.lit(0))
     pairs = F.transform(links, lambda a: F.struct(
         resolve(F.col(url), unescape(F.regexp_extract(a, ANCHOR, 1))).alias("href"), clean(unescape(strip_tags(F.regexp_extract(a, ANCHOR, 2)))).alias("text")
@@ -148,7 +148,7 @@ def extract_html_table_rows(pages: DataFrame, html: str, keep: Sequence[str], se
     `mode` export reads fixed columns of an exported sheet, grid reads what the cells look like.
     """
     rows = F.regexp_extract_all(unescape(F.col(html)), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
-    flat = pages.select(*dict.fromkeys([*keep, *seq]), F.posexplode(rows).alias("_pos", "_row"))
+    flat = unnest(pages, list(dict.fromkeys([*keep, *seq])), rows, "_row", "_pos")
     cells = F.transform(F.regexp_extract_all("_row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: clean(unescape(strip_tags(c, scripts=True))))
     if mode == "export":
         cells = F.filter(cells, lambda c: c != "")
@@ -250,7 +250,7 @@ def listing_token(html: Column, wanted: str = LINK_WANTED, first: int = 8, sampl
 def document_links(df: DataFrame, html: str, keep: Sequence[str], words=("pdf", "doc", "zip", "λήψη", "download", "αρχ")) -> DataFrame:
     """Links of a page that look like attachments, by address or text."""
     found = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(0))
-    flat = df.select(*keep, F.posexplode(found).alias("position", "_a"))
+    flat = unnest(df, keep, found, "_a", "position")
     text = F.lower(F.concat_ws(" ", F.regexp_extract("_a", ANCHOR, 2), F.regexp_extract("_a", ANCHOR, 1)))
     test = F.lit(False)
     for word in words:

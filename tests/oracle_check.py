@@ -16,6 +16,9 @@ sys.path.insert(0, ROOT)
 FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
 
 
+TIMES: list[float] = []
+
+
 def connect(folder: str):
     con = duckdb.connect()
     for file in sorted(os.listdir(folder)):
@@ -26,7 +29,9 @@ def connect(folder: str):
 
 def compare(df, con, sql: str) -> list[str]:
     columns = sorted(df.columns)
+    start = time.time()
     got = [tuple(r[c] for c in columns) for r in df.collect()]
+    TIMES[:] = [time.time() - start]
     rel = con.execute(sql)
     names = [d[0] for d in rel.description]
     rows = rel.fetchall()
@@ -66,7 +71,7 @@ def main(parts: list[str]) -> int:
         except Exception as error:  # noqa: BLE001
             problems = [f"{type(error).__name__}: {str(error)[:700]}"]
         bad += bool(problems)
-        print(f"{'FAIL' if problems else 'ok  '} {name} {time.time() - start:.1f}s {'' if name in oracles else '(rows only)'}", flush=True)
+        print(f"{'FAIL' if problems else 'ok  '} {name} {time.time() - start:.1f}s spark {TIMES[0] if TIMES else 0:.1f}s {'' if name in oracles else '(rows only)'}", flush=True)
         for p in problems:
             print("     ", p[:900], flush=True)
     print(f"{len(names) - bad} of {len(names)} agree")
