@@ -62,11 +62,11 @@ def _(t: Tables):
     return agg.storage_audit(_flags(t), "project")
 
 
-@query("e24_repair_plan", _STORE_SQL + """ SELECT project, root_name, action, count(*) AS n FROM (SELECT DISTINCT project, document_name AS root_name, CASE WHEN project % 10 = 0 THEN 'REFETCH' ELSE 'MISSING_FROM_LISTING' END AS action FROM s WHERE desired AND NOT local_exists
+@query("e24_repair_plan", _STORE_SQL + """ SELECT project, root_name, action, count(*) AS n FROM (SELECT DISTINCT project, document_name AS root_name, CASE WHEN EXISTS (SELECT 1 FROM s x WHERE x.project = s.project AND x.document_name = s.document_name AND x.row_number = 1) THEN 'REFETCH' ELSE 'MISSING_FROM_LISTING' END AS action FROM s WHERE desired AND NOT local_exists
   UNION ALL SELECT project, document_name, 'MARK_DELETED' FROM s WHERE local_path IS NOT NULL AND NOT local_exists AND NOT desired) GROUP BY ALL""")
 def _(t: Tables):
     flags = _flags(t)
-    listing = flags.filter("project % 10 = 0").select("project", F.col("document_name").alias("root_name"))
+    listing = flags.filter("row_number = 1").select("project", F.col("document_name").alias("root_name"))
     return agg.repair_plan(flags, listing, "project", "document_name").groupBy("project", "root_name", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -93,8 +93,8 @@ def _(t: Tables):
     return agg.newest_projects(t.tenders.select("tender_no", F.col("deadline_iso").alias("first_seen_at")), F.lit("2000-01-01"), "tender_no")
 
 
-_STATE = "SELECT source_id, max(day) AS last_checked_at, CASE WHEN max(user_id) % 4 = 0 THEN 'CHANGED' WHEN max(user_id) % 4 = 1 THEN 'ERROR' ELSE 'SKIPPED_UNCHANGED' END AS last_status, CASE WHEN max(user_id) % 7 = 0 THEN 'slow' END AS last_error FROM {runs} WHERE user_id >= 30 GROUP BY source_id"
-_CONF = "SELECT DISTINCT source_id, user_id % 2 = 0 AS selective FROM {runs} WHERE user_id < 100"
+_STATE = "SELECT source_id, max(day) AS last_checked_at, CASE WHEN max(user_id) % 4 = 0 THEN 'CHANGED' WHEN max(user_id) % 4 = 1 THEN 'ERROR' ELSE 'SKIPPED_UNCHANGED' END AS last_status, CASE WHEN max(user_id) % 7 = 0 THEN 'slow' END AS last_error FROM {runs} WHERE day = '2024-01-15' GROUP BY source_id"
+_CONF = "SELECT DISTINCT source_id, user_id % 2 = 0 AS selective FROM {runs} WHERE day = '2024-01-16'"
 _HEALTH_SQL = """ r20 AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, run_no DESC) AS rn FROM runs), hs AS (SELECT source_id, count(*) AS c, count(*) FILTER (family = 'error') AS f, coalesce(min(rn) FILTER (family <> 'error') - 1, count(*)) AS k FROM r20 WHERE rn <= 20 GROUP BY source_id),
   health AS (SELECT source_id, c, f, k, CASE WHEN k >= 5 OR (c >= 10 AND f >= c * 0.8) THEN 'DISABLE_CANDIDATE' WHEN k >= 2 OR (c >= 5 AND f >= c * 0.4) THEN 'DEGRADED' WHEN f > 0 THEN 'WATCH' ELSE 'HEALTHY' END AS status FROM hs)"""
 
@@ -118,7 +118,7 @@ def _(t: Tables):
     return agg.polling_summary(polling(t))
 
 
-_AUDIT = "SELECT s_suppkey AS source, s_nationkey AS scope, CASE s_suppkey % 5 WHEN 0 THEN 'REACHABLE' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'HTTP_ERROR' WHEN 3 THEN 'TEMPLATE_REQUIRES_IDENTIFIER' ELSE 'ADAPTER_READY' END AS status, s_suppkey % 3 <> 0 AS adapter_required FROM {supplier} WHERE s_nationkey <> 3 OR s_suppkey % 5 IN (1, 2)"
+_AUDIT = "SELECT s_suppkey AS source, s_nationkey AS scope, CASE WHEN s_nationkey = 3 THEN 'FAILED' ELSE CASE s_suppkey % 5 WHEN 0 THEN 'REACHABLE' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'HTTP_ERROR' WHEN 3 THEN 'TEMPLATE_REQUIRES_IDENTIFIER' ELSE 'ADAPTER_READY' END END AS status, s_suppkey % 3 <> 0 AS adapter_required FROM {supplier}"
 _AUDIT_SQL = f"WITH a AS ({_AUDIT.format(supplier='supplier')}), m AS (SELECT *, status IN ('FAILED', 'HTTP_ERROR') AND scope IN (SELECT scope FROM a WHERE status IN ('REACHABLE', 'ADAPTER_READY')) AS fb FROM a), f AS (SELECT *, adapter_required AND NOT fb AS need FROM m)"
 
 

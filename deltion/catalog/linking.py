@@ -52,7 +52,7 @@ def _(t: Tables):
     )
 
 
-_OVER = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'FORCE_KEEP' ELSE 'CONFIRM_DROP' END AS action FROM {labels} WHERE doc_id % 5 = 0"
+_OVER = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'FORCE_KEEP' ELSE 'CONFIRM_DROP' END AS action FROM {labels} WHERE quality = 0"
 
 
 @query("d5_attach_triage", cte("triage") + f", o AS ({_OVER.format(labels='labels')})" + """
@@ -61,11 +61,11 @@ def _(t: Tables):
     return links.attach_triage(t.documents.select("doc_id"), t.triage, t.sql(_OVER), "doc_id").select("doc_id", "decision", "override_action", "triage_hidden")
 
 
-@query("d6_effective_overrides", """WITH g AS (SELECT doc_id, 'DROP' AS action, quality AS q FROM labels WHERE toxic = 0), u AS (SELECT doc_id, 'KEEP' AS action, 9 AS q FROM labels WHERE doc_id % 3 = 0)
+@query("d6_effective_overrides", """WITH g AS (SELECT doc_id, 'DROP' AS action, quality AS q FROM labels WHERE toxic = 0), u AS (SELECT doc_id, 'KEEP' AS action, 9 AS q FROM labels WHERE quality = 1)
   SELECT coalesce(u.doc_id, g.doc_id) AS doc_id, coalesce(u.action, g.action) AS action, CAST(CASE WHEN u.doc_id IS NOT NULL THEN u.q ELSE g.q END AS INTEGER) AS q, CASE WHEN u.doc_id IS NOT NULL THEN 'user' ELSE 'global' END AS scope FROM g FULL JOIN u ON u.doc_id = g.doc_id""")
 def _(t: Tables):
     g = t.sql("SELECT doc_id, 'DROP' AS action, CAST(quality AS INT) AS q FROM {labels} WHERE toxic = 0")
-    u = t.sql("SELECT doc_id, 'KEEP' AS action, 9 AS q FROM {labels} WHERE doc_id % 3 = 0")
+    u = t.sql("SELECT doc_id, 'KEEP' AS action, 9 AS q FROM {labels} WHERE quality = 1")
     return links.effective_overrides(g, u, "doc_id", ["action", "q"])
 
 
@@ -95,7 +95,7 @@ def _(t: Tables):
     return links.linked_ids_missing(rows, "ids", t.tenders.filter("official"), "registry_id")
 
 
-_VERIFIED = "SELECT row_key, linked_id AS target_id FROM {tenders} WHERE linked_id IS NOT NULL AND customer_no % 4 = 0"
+_VERIFIED = "SELECT row_key, linked_id AS target_id FROM {tenders} WHERE linked_id IS NOT NULL AND segment = 'HOUSEHOLD'"
 _DUPS = cte("tenders") + f", v AS ({_VERIFIED.format(tenders='tenders')})" + """, o AS (SELECT * FROM tenders WHERE official),
   j AS (SELECT t.row_key, t.tender_no, t.official, t.registry_id, o.registry_id AS target, v.target_id, (CAST(t.title = o.title AS INTEGER) + CAST(t.deadline = o.deadline AS INTEGER) + CAST(abs(t.budget - o.budget) <= 1 AS INTEGER) + CAST(t.authority = o.authority AS INTEGER)) AS signs
     FROM tenders t LEFT JOIN o ON o.registry_id = t.linked_id LEFT JOIN v ON v.row_key = t.row_key),

@@ -60,15 +60,15 @@ def _(t: Tables):
 
 
 @query("b6_delete_stale_links", cte("tenders") + """, e AS (SELECT DISTINCT customer_no, linked_id FROM tenders WHERE linked_id IS NOT NULL)
-  SELECT e.customer_no, e.linked_id FROM e WHERE e.customer_no % 3 <> 0 OR EXISTS (SELECT 1 FROM tenders t WHERE t.customer_no = e.customer_no AND t.linked_id = e.linked_id AND t.place = 'ASIA')""")
+  SELECT e.customer_no, e.linked_id FROM e WHERE e.customer_no NOT IN (SELECT customer_no FROM tenders WHERE segment = 'BUILDING') OR EXISTS (SELECT 1 FROM tenders t WHERE t.customer_no = e.customer_no AND t.linked_id = e.linked_id AND t.place = 'ASIA')""")
 def _(t: Tables):
     links = t.tenders.filter("linked_id is not null").select("customer_no", "linked_id").distinct()
     keep = t.tenders.filter("place = 'ASIA'").select("customer_no", "linked_id")
-    return state.delete_stale_links(links, keep, links.filter("customer_no % 3 = 0"), "customer_no", "linked_id")
+    return state.delete_stale_links(links, keep, t.tenders.filter("segment = 'BUILDING'"), "customer_no", "linked_id")
 
 
-_STATE_OLD = "SELECT source_id, CAST(max(cents) AS STRING) AS fingerprint, max(day) AS last_checked_at, min(day) AS last_changed_at, 'CHANGED' AS last_status FROM {runs} WHERE day < '2024-01-16' AND user_id < 120 GROUP BY source_id"
-_STATE_NEW = "SELECT source_id, CASE WHEN max(user_id) % 5 = 0 THEN NULL WHEN max(user_id) % 2 = 0 THEN CAST(max(CASE WHEN day < '2024-01-16' THEN cents END) AS STRING) ELSE CAST(sum(cents) AS STRING) END AS fingerprint, max(day) AS last_checked_at, 'SEEN' AS last_status FROM {runs} WHERE user_id > 20 GROUP BY source_id"
+_STATE_OLD = "SELECT source_id, CAST(max(cents) AS STRING) AS fingerprint, max(day) AS last_checked_at, min(day) AS last_changed_at, 'CHANGED' AS last_status FROM {runs} WHERE day = '2024-01-15' GROUP BY source_id"
+_STATE_NEW = "SELECT source_id, CASE WHEN max(user_id) % 5 = 0 THEN NULL ELSE CAST(max(cents) AS STRING) END AS fingerprint, max(day) AS last_checked_at, 'SEEN' AS last_status FROM {runs} WHERE day IN ('2024-01-15', '2024-01-16') AND family <> 'view' GROUP BY source_id"
 
 
 @query("b7_upsert_change_tracked", cte("runs") + f", o AS ({_STATE_OLD.format(runs='runs')}), n AS ({_STATE_NEW.format(runs='runs')})" + """
@@ -81,7 +81,7 @@ def _(t: Tables):
 _ATT = "SELECT project AS tender_id, source_document AS name, line_id AS id, CASE WHEN flag = 'A' THEN 'f' END AS local_path, CASE WHEN flag <> 'N' THEN 's' END AS sha256, flag = 'R' AS is_latest FROM {lines}"
 
 
-@query("b8_reimport_latest", cte("lines") + f", a AS ({_ATT.format(lines='lines')})" + """, l AS (SELECT DISTINCT tender_id, name FROM a WHERE is_latest UNION SELECT DISTINCT tender_id, 'new.pdf' FROM a WHERE tender_id % 3 = 0),
+@query("b8_reimport_latest", cte("lines") + f", a AS ({_ATT.format(lines='lines')})" + """, l AS (SELECT DISTINCT tender_id, name FROM a WHERE is_latest UNION SELECT DISTINCT tender_id, 'new.pdf' FROM a WHERE local_path IS NOT NULL),
   p AS (SELECT tender_id, name, id, row_number() OVER (PARTITION BY tender_id, name ORDER BY CASE WHEN local_path IS NOT NULL AND sha256 IS NOT NULL THEN 0 ELSE 1 END, id DESC) AS rn FROM a SEMI JOIN l USING (tender_id, name))
   SELECT a.tender_id, a.name, a.id, CASE WHEN a.tender_id IN (SELECT tender_id FROM l) THEN p.id IS NOT NULL ELSE a.is_latest END AS is_latest FROM a LEFT JOIN (SELECT * FROM p WHERE rn = 1) p ON p.id = a.id AND p.tender_id = a.tender_id AND p.name = a.name
   UNION ALL SELECT tender_id, name, NULL, true FROM l WHERE name = 'new.pdf'""")
@@ -89,7 +89,7 @@ def _(t: Tables):
     att = t.sql(_ATT)
     # Ids of the stand-in repeat between tenders, so the id is made unique by its tender and name.
     att = att.withColumn("id", F.struct("tender_id", "name", "id"))
-    listing = att.filter("is_latest").select("tender_id", "name").unionByName(att.filter("tender_id % 3 = 0").select("tender_id", F.lit("new.pdf").alias("name")).distinct())
+    listing = att.filter("is_latest").select("tender_id", "name").unionByName(att.filter("local_path is not null").select("tender_id", F.lit("new.pdf").alias("name")).distinct())
     return state.reimport_latest(att, listing).select("tender_id", "name", F.col("id.id").alias("id"), "is_latest")
 
 

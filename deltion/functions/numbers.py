@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from deltion.functions.text import clean
+from deltion.functions.text import clean, let
 
 MONEY = "decimal(24,6)"
 
@@ -16,11 +16,16 @@ def parse_locale_number(c: Column, dtype: str = MONEY) -> Column:
     The rightmost separator is the decimal one when both occur; a lone comma is decimal; dots
     that only group triplets are thousands separators; a trailing `*` is ignored.
     """
-    t = F.regexp_replace(F.replace(clean(c), F.lit(" "), F.lit("")), r"\*+$", "")
+    bare = F.regexp_replace(F.replace(clean(c), F.lit(" "), F.lit("")), r"\*+$", "")
+    return let(bare, _decimal_text).try_cast(dtype)
+
+
+def _decimal_text(t: Column) -> Column:
+    """A bare number with the decimal point where it belongs and no thousands separators."""
     no_dots = F.replace(t, F.lit("."), F.lit(""))
     comma_decimal = F.replace(no_dots, F.lit(","), F.lit("."))
     has_comma, has_dot = t.contains(","), t.contains(".")
-    number = (
+    return (
         F.when(has_comma & has_dot & t.rlike(r"\.[^.,]*$"), F.replace(t, F.lit(","), F.lit("")))
         .when(has_comma, comma_decimal)
         .when(t.rlike(r"^\d{1,3}(\.\d{3})+$"), no_dots)
@@ -30,14 +35,15 @@ def parse_locale_number(c: Column, dtype: str = MONEY) -> Column:
         )
         .otherwise(t)
     )
-    return number.try_cast(dtype)
 
 
 def parse_plain_number(c: Column) -> Column:
     """Number inside running text: comma is decimal, dots group only when a comma follows."""
-    t = clean(c)
-    t = F.when(t.contains(","), F.replace(F.when(t.contains("."), F.replace(t, F.lit("."), F.lit(""))).otherwise(t), F.lit(","), F.lit("."))).otherwise(t)
-    return t.try_cast("double")
+    return let(clean(c), _plain_text).try_cast("double")
+
+
+def _plain_text(t: Column) -> Column:
+    return F.when(t.contains(","), F.replace(F.when(t.contains("."), F.replace(t, F.lit("."), F.lit(""))).otherwise(t), F.lit(","), F.lit("."))).otherwise(t)
 
 
 def format_budget(c: Column) -> Column:

@@ -251,7 +251,7 @@ def unescape(c: Column) -> Column:
         return F.when(digits.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(char, rest))
 
     parts = F.split(c, "&(?=#)")
-    refs = F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, 2, 2**31 - 1), numeric))
+    refs = F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, 2, 10**9), numeric))
     out = F.when(c.contains("&#"), F.array_join(refs, "")).otherwise(c)
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))

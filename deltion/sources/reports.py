@@ -117,7 +117,7 @@ def scan_feed_items(df: DataFrame, payload: str, adapter: str, source_url: str,
         links = F.array_distinct(F.concat(*[F.coalesce(F.map_values(i["links"][f]), none) for f in ("html", "htmlDirect", "pdf", "xml")]))
         number = F.coalesce(i["publication-number"], F.lit(""))
         detail = F.coalesce(F.try_element_at(links, F.lit(1)), url)
-        return _feed(items, keep, title, filled(i["publication-date"]), F.to_json(i), detail, F.slice(links, 2, 2**31 - 1), number)
+        return _feed(items, keep, title, filled(i["publication-date"]), F.to_json(i), detail, F.slice(links, 2, 10**9), number)
     raise ValueError(f"unknown adapter {adapter}")
 
 
