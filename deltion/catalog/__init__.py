@@ -6,7 +6,7 @@ import importlib
 
 from deltion.catalog.base import ORACLES, QUERIES
 
-MODULES = ["scalars", "scans", "states", "filtering", "linking", "aggregating", "ordering", "budgets"]
+MODULES = ["scalars", "scans", "states", "filtering", "linking", "aggregating", "ordering", "budgets", "incremental", "composites"]
 
 
 def load() -> tuple[dict, dict]:

@@ -193,7 +193,7 @@ def reuse_document(wanted: DataFrame, stored: DataFrame, keys: Sequence[str]) ->
 def archive_visible(df: DataFrame, day: str, today: Column, days: int = 15) -> DataFrame:
     """VISIBLE while the date is at or after today - (days - 1); then ARCHIVED."""
     gone = (F.col("status") == "VISIBLE") & (F.col(day) < F.date_sub(today, days - 1))
-    return df.withColumn("status", F.when(gone, "ARCHIVED").otherwise(F.col("status"))).withColumn("archived_now", F.coalesce(gone, F.lit(False)))
+    return df.withColumns({"status": F.when(gone, "ARCHIVED").otherwise(F.col("status")), "archived_now": F.coalesce(gone, F.lit(False))})
 
 
 def reusable_decisions(decisions: DataFrame, stored: DataFrame, key: str = "ada") -> DataFrame:
