@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from deltion.functions.text import WS
+from deltion.session import spread
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
@@ -71,7 +72,8 @@ class Tables:
         if name in VIEWS:
             return self.spark.sql(VIEWS[name], **{t: getattr(self, t) for t in _USES[name]})
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(table) if name in ("documents", "pages") else table
         raise AttributeError(name)
 
     def sql(self, text: str, **extra: DataFrame) -> DataFrame:

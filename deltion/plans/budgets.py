@@ -9,12 +9,13 @@ from deltion.functions.text import any_term, fold_terms, norm_text
 from deltion.operators import aggregates, budget
 from deltion.operators.state import replace_slice
 from deltion.rules import SearchRequest
+from deltion.session import settle, spread
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:
     """K7: lines of budget documents (project, document_id, source_document, text)."""
     keep = ["project", "document_id", "source_document"]
-    parsed = budget.budget_lines(docs, "text", keep)
+    parsed = budget.budget_lines(spread(docs.select(*keep, "text")), "text", keep)
     return parsed.withColumn("line_id", F.struct("document_id", "line_index"))
 
 
@@ -23,7 +24,8 @@ def rebuild(docs: DataFrame, stored: DataFrame | None = None) -> dict[str, DataF
 
     Returns the tables `lines`, `merged`, `summary` and `complete`; all projects in one job.
     """
-    lines = budget.filter_invalid_lines(parse_documents(docs), ["project", "document_id"])
+    # The read lines are a table of their own and are used more than once: texts are read once.
+    lines = budget.filter_invalid_lines(settle(parse_documents(docs)), ["project", "document_id"])
     if stored is not None:
         lines = replace_slice(stored, lines, ["project", "document_id"])
     merged = budget.best_line(lines, "project")

@@ -20,6 +20,7 @@ from deltion.operators import filters, links
 from deltion.operators.aggregates import funnel
 from deltion.operators.ranking import attention_buckets, document_rank, sort_hidden, sort_rows, top_per_key
 from deltion.rules import Scope, UserProfile, for_each_rule
+from deltion.session import settle
 
 
 @dataclass
@@ -148,7 +149,7 @@ def hidden_audit(inp: Inputs, as_of: Column, fuzzy: bool = True, rows: DataFrame
     A row can be hidden for more than one reason: dismissed rows and rows hidden by their label are
     listed apart from the ones the funnel takes out.
     """
-    rows = prepared(inp) if rows is None else rows
+    rows = settle(prepared(inp)) if rows is None else rows
     forced = F.coalesce(F.col("override_action") == "FORCE_KEEP", F.lit(False))
     dismissed = rows.join(inp.dismissed.select("row_key").distinct(), "row_key", "left_semi").filter(~forced)
     fields = ["row_key", "official_id", "title", "authority", "decision", "confidence", "override_action", "effective_deadline"]
@@ -165,6 +166,7 @@ def hidden_audit(inp: Inputs, as_of: Column, fuzzy: bool = True, rows: DataFrame
     category = F.when(filters.out_of_scope_reason(F.col("title"), F.col("official_id")).isNotNull(), "OUT_OF_SCOPE_SUPPLY_SERVICE").otherwise("NO_DEADLINE_EVIDENCE")
     if fuzzy:
         official = live.filter(F.col("official") & ~F.col("duplicate_hidden")).select("registry_id", "title", "authority", "deadline")
+        undated = settle(undated)
         wanted = undated.filter("NOT official").select("row_key", "title", "authority", F.col("interest_reason").alias("place"), "linked_ids")
         best = links.fuzzy_best_match(wanted, official).select("row_key", F.col("registry_id").alias("_like"))
         undated = undated.join(best, "row_key", "left")

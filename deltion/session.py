@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,6 +40,24 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small scan before costly per-row work.
+
+    A scan that already has at least one partition per core, as any large table does, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a frame that several branches read once, into the shared checkpoint folder.
+
+    The written files survive the loss of executors, and the branches do not repeat the work.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other run uses."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
