@@ -31,7 +31,7 @@ def rebuild(docs: DataFrame, stored: DataFrame | None = None) -> dict[str, DataF
     merged = budget.best_line(lines, "project")
     totals = budget.consolidate_budget(merged, "project")
     amounts = budget.validate_line_amounts(merged, ["project"])
-    candidates = budget.total_candidates(docs, "text", ["project", "source_document"])
+    candidates = budget.total_candidates(spread(docs.select("project", "source_document", "text")), "text", ["project", "source_document"])
     verdict = budget.validate_totals(totals, candidates, "project")
     summary = totals.join(amounts, "project", "left").join(
         verdict.select("project", "candidate_count", "reference_total", "difference", F.col("status").alias("total_status"), "totals_ok"), "project", "left"
