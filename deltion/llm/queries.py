@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deltion.llm import bpe
-from deltion.llm.shared import table
+from deltion.llm import bpe, host_quality, language, simhash, token_counts, toxicity, url_filter, warc
+from deltion.llm.shared import settle, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -17,6 +17,99 @@ def query(function):
     return function
 
 
+@query
+def op1_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record in Zstandard archives, read back with all checks."""
+    pages = warc.with_record_types(table(spark, sf_dir, "pages"))
+    archives = settle(warc.write_archives(pages), "archives")
+    records = warc.read_archives(archives, payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+SQL["op1_warc_zstd"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hex FROM p),
+f AS (SELECT hex, min(page_id) AS first_id FROM h GROUP BY hex)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+    CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id > first_id THEN first_id END AS refers_to, NULL::VARCHAR AS error
+FROM h JOIN f USING (hex)
+"""
+
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the rules on every page's url."""
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    return url_filter.apply_rules(table(spark, sf_dir, "pages"), rules)
+
+
+SQL["op2_url_rules"] = """
+WITH r(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+n AS (SELECT row_number() OVER () AS row_id, * FROM b),
+m AS (SELECT row_id, arg_max(struct_pack(rule := h || p, verdict := verdict), length(h || p)) AS best
+    FROM n JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY row_id)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM n LEFT JOIN m USING (row_id)
+"""
+
+
+@query
+def op3_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of three-word shingles of every document, and the group that links of two bits make."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+
+
+@query
+def op4_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of the encoded lengths of all documents, with its suffix sums."""
+    histogram = token_counts.length_histogram(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_counts.suffix_sums(settle(histogram, "lengths"))
+
+
+@query
+def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and host verdicts (the source is the host) for every document."""
+    return host_quality.judge(table(spark, sf_dir, "documents"))
+
+
+SQL["op6_host_quality"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || chr(1) || ws[i + 1] || chr(1) || ws[i + 2])) AS gram FROM w WHERE len(ws) > 2),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g),
+p AS (SELECT r, count(DISTINCT i + k) AS n FROM c, (VALUES (0), (1), (2)) AS o(k) WHERE n > 1 GROUP BY r),
+a AS (SELECT r, doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN p USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM b GROUP BY source),
+m AS (SELECT sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) ** 2 - sum(f) / sum(n) * (1 - sum(f) / sum(n)) * count(*) / sum(n) AS var FROM h),
+x AS (SELECT mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 1), 1e6) ELSE 1e6 END AS weight FROM m),
+v AS (SELECT source AS host, n AS host_docs, f AS host_failures, round((f + mean * weight) / (n + weight), 6) AS host_rate FROM h, x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= 0.5 AS kept, host, host_docs, host_failures, host_rate
+FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.host
+"""
+
+
+@query
+def op8_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model)
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 @query
 def op10_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of `documents` encoded by word-end BPE and decoded again."""
