@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deltion.llm import bpe, host_quality, language, simhash, token_counts, toxicity, url_filter, warc
+from deltion.llm import bpe, host_quality, language, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
 from deltion.llm.shared import settle, table
 
 QUERIES: dict = {}
@@ -95,6 +95,13 @@ FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.host
 """
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to runs of 100 bytes that also start earlier."""
+    docs = table(spark, sf_dir, "documents")
+    return suffix_dedup.removal_report(docs, suffix_dedup.repeated_spans(docs, length=100))
+
+
 @query
 def op8_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text, learned from the labels that are not held out."""
