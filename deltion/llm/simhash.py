@@ -192,9 +192,11 @@ def cell_links(cells: DataFrame, distance: int, partitions: int) -> DataFrame:
 def links(fps: DataFrame, distance: int) -> DataFrame:
     """Edges (a, b), a > b, that connect the distinct fingerprints (fp) as links of at most `distance` bits do.
 
-    Cells of more than CELL fingerprints are cut again, by one level for all of them at a time; at the latest when few
-    bits are left a cell is small, as its fingerprints are distinct. Nothing is left out.
+    Cells of more than CELL fingerprints are cut again, by one level for all of them at a time. A cell has each fingerprint
+    once, so one that is too large has more than `distance` bits left to be cut by, and in the end all are small enough.
     """
+    if 1 << distance > CELL:
+        raise ValueError("too large a distance for cells of this size")
     partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if distance <= 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
@@ -205,7 +207,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
         out.append(cell_links(cells if last else cells.join(large, ["mask", "value"], "left_anti"), distance, partitions))
         if last:
             break
-        cells = settle(cut(cells.join(large, ["mask", "value"], "left_semi"), distance), "simhash-cells")
+        cells = settle(cut(cells.join(large, ["mask", "value"], "left_semi"), distance).distinct(), "simhash-cells")
     edges = out[0]
     for more in out[1:]:
         edges = edges.unionByName(more)
