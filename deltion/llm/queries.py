@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deltion.llm import bpe, host_quality, language, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
+from deltion.llm import bpe, decontaminate, host_quality, language, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
 from deltion.llm.shared import settle, table
 
 QUERIES: dict = {}
@@ -71,6 +71,12 @@ def op4_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(settle(histogram, "lengths"))
 
 
+@query
+def op5_benchmark_lsa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, near exactly or paraphrased with its answer."""
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and host verdicts (the source is the host) for every document."""

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltion.llm.shared import settle
@@ -252,3 +252,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col
     named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select(id_column, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows with the smallest id of their group, all columns kept; a row that is there twice stays once.
+
+    Rows without an id come after those with one. The defaults take fingerprints of five-word shingles within 7 of 64
+    bits: a cosine of at least cos(7/64 pi) = 0.94 between the shingle counts, which is a similarity of 0.8 or more.
+    """
+    key = F.struct(F.col(id_column).isNull().alias("n"), F.col(id_column).alias("i"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("t"))
+    groups = near_duplicates(docs.select(key.alias("_key"), F.col(text_column).alias("_text")), shingle, distance, "_key", "_text")
+    kept = groups.select(F.col("component_id").alias("_key")).distinct()
+    rows = docs.withColumn("_key", key).join(kept, "_key", "left_semi")
+    return rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_copy = 1").drop("_key", "_copy")

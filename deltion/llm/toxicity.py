@@ -285,3 +285,18 @@ def score_documents(docs: DataFrame, model: Model, passages: bool = True) -> Dat
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(work, f"doc_id {kind}, held_out boolean, {SCORE_FIELDS}")
+
+
+def without_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The rows whose text is not predicted toxic, with all their columns. A narrow step."""
+
+    def work(batches):
+        scorer = Scorer(model)
+        for batch in batches:
+            keep = []
+            for text in batch.column(batch.schema.get_field_index(text_column)):
+                n, hits = scorer.hits(text.as_py() or "")
+                keep.append(scorer.score(scorer.evidence(n, scorer.segments(hits))) < 0.5)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
