@@ -194,11 +194,11 @@ _CAND = "SELECT source AS family, CASE WHEN place = 'ASIA' THEN ' ' ELSE CAST(cu
 
 @query("e23_source_families", cte("tenders") + f", c AS ({_CAND.format(tenders='tenders')})" + """, i AS (SELECT family, count(DISTINCT candidate_id) AS ids, count(*) AS items FROM c WHERE trim(candidate_id) <> '' GROUP BY family), e AS (SELECT source AS family, count(*) AS errors FROM tenders WHERE segment = 'BUILDING' AND source <> 'KIMDIS' GROUP BY 1),
   p AS (SELECT source AS family, count(*) AS pages, bool_or(source = 'KIMDIS' AND order_status = 'P') AS empty FROM tenders GROUP BY 1)
-  SELECT p.family, coalesce(ids, 0) AS ids, coalesce(errors, 0) AS errors, pages, CASE WHEN p.family = 'ESHIDIS' THEN items < 100000 ELSE empty END AS exhausted FROM p LEFT JOIN i ON i.family = p.family LEFT JOIN e ON e.family = p.family""")
+  SELECT p.family, coalesce(ids, 0) AS ids, coalesce(errors, 0) AS errors, pages, CASE WHEN p.family = 'ESHIDIS' THEN items < 2 * pages ELSE empty END AS exhausted FROM p LEFT JOIN i ON i.family = p.family LEFT JOIN e ON e.family = p.family""")
 def _(t: Tables):
     errors = t.tenders.filter("segment = 'BUILDING' and source <> 'KIMDIS'").select(F.col("source").alias("family"))
-    pages = t.tenders.select(F.col("source").alias("family"), F.when((F.col("source") == "KIMDIS") & (F.col("order_status") == "P"), 0).otherwise(5).alias("items_returned"))
-    return agg.source_families(t.sql(_CAND), errors, pages, 100000, "ESHIDIS").select("family", "ids", "errors", "pages", "exhausted")
+    pages = t.tenders.select(F.col("source").alias("family"), F.when((F.col("source") == "KIMDIS") & (F.col("order_status") == "P"), 0).otherwise(5).alias("items_returned"), F.lit(2).alias("items_asked"))
+    return agg.source_families(t.sql(_CAND), errors, pages, "ESHIDIS").select("family", "ids", "errors", "pages", "exhausted")
 
 
 @query("e25_stage_summary", "SELECT event_type AS stage, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS ok, count(*) AS n FROM events GROUP BY ALL")

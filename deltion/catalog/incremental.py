@@ -134,7 +134,7 @@ def _(t: Tables):
 def _(t: Tables):
     ledger = new_path(t.spark, "ledger")
     stream = _stream(t).select("source_id", "family", F.col("ts").cast("timestamp").alias("ts"))
-    inc.notify_once(stream, ["source_id", "family"], "ts", "30 days", ledger)
+    inc.notify_once(stream, ["source_id", "family"], ledger)
     return t.spark.read.parquet(ledger).select("source_id", "family")
 
 

@@ -144,7 +144,7 @@ def _(t: Tables):
 
 @query("g5_nested_topk", cte("runs") + """, h AS (SELECT DISTINCT source_id FROM runs ORDER BY source_id LIMIT 80), r AS (SELECT run_no, source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY cents DESC, run_no) AS INTEGER) AS match_rank FROM runs) SELECT r.source_id, r.run_no, r.match_rank FROM r JOIN h ON h.source_id = r.source_id WHERE match_rank <= 6""")
 def _(t: Tables):
-    return rk.nested_topk(t.runs, "source_id", ["source_id"], [F.col("cents").desc(), F.col("run_no")]).select("source_id", "run_no", "match_rank")
+    return rk.nested_topk(t.runs, "source_id", ["source_id"], [F.col("cents").desc(), F.col("run_no")], 80, 6).select("source_id", "run_no", "match_rank")
 
 
 @query("g7_order_candidates", cte("tenders") + " SELECT customer_no, min(tender_no) AS tender_no FROM tenders GROUP BY customer_no")

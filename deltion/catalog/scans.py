@@ -219,7 +219,7 @@ def _(t: Tables):
     return _fingerprints(t)
 
 
-@query("a13_global_fingerprint", _PRINT + """SELECT CAST(sum(CAST('0x' || substr(fingerprint, 1, 12) AS BIGINT)) AS VARCHAR) AS hash, count(*) AS configured_total,
+@query("a13_global_fingerprint", _PRINT + """SELECT concat_ws('-', sum(CAST('0x' || substr(fingerprint, 1, 16) AS UBIGINT))::VARCHAR, sum(CAST('0x' || substr(fingerprint, 17, 16) AS UBIGINT))::VARCHAR, sum(CAST('0x' || substr(fingerprint, 33, 16) AS UBIGINT))::VARCHAR, sum(CAST('0x' || substr(fingerprint, 49, 16) AS UBIGINT))::VARCHAR) AS hash, count(*) AS configured_total,
   count(*) FILTER (s <> 'REQUIRES_IDENTIFIER') AS attempted_total, count(*) FILTER (s = 'REACHED') AS reached_total, count(*) FILTER (s = 'REQUIRES_IDENTIFIER') AS template_total, count(*) FILTER (s = 'ERROR') AS error_total
   FROM (SELECT *, CASE count_hint % 3 WHEN 0 THEN 'REACHED' WHEN 1 THEN 'ERROR' ELSE 'REQUIRES_IDENTIFIER' END AS s FROM g)""")
 def _(t: Tables):

@@ -277,20 +277,20 @@ def distinct_ids(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select(key, value).distinct().orderBy(key, value)
 
 
-def source_families(candidates: DataFrame, errors: DataFrame, pages: DataFrame, limit: int | None = None, limited: str | None = None) -> DataFrame:
+def source_families(candidates: DataFrame, errors: DataFrame, pages: DataFrame, limited: str | None = None) -> DataFrame:
     """Per family the number of distinct ids, errors, pages, and whether the source is exhausted
-    (an empty page, or for the `limited` family fewer candidates than the limit).
+    (an empty page, or for the `limited` family fewer candidates than its pages asked for).
 
-    candidates: family, candidate_id; errors: family; pages: family, items_returned.
+    candidates: family, candidate_id; errors: family; pages: family, items_returned, items_asked.
     """
     ids = candidates.filter(F.length(F.trim("candidate_id")) > 0).groupBy("family").agg(F.countDistinct("candidate_id").alias("ids"), F.count(F.lit(1)).alias("items"))
     err = errors.groupBy("family").agg(F.count(F.lit(1)).alias("errors"))
-    pag = pages.groupBy("family").agg(F.count(F.lit(1)).alias("pages"), F.bool_or(F.col("items_returned") == 0).alias("_empty"))
+    pag = pages.groupBy("family").agg(F.count(F.lit(1)).alias("pages"), F.bool_or(F.col("items_returned") == 0).alias("_empty"), F.sum("items_asked").alias("_asked"))
     joined = reduce(lambda a, b: a.join(b, "family", "full_outer"), [ids, err, pag]).na.fill(0, ["ids", "items", "errors", "pages"])
     exhausted = F.coalesce("_empty", F.lit(False))
     if limited is not None:
-        exhausted = F.when(F.col("family") == limited, F.col("items") < limit).otherwise(exhausted)
-    return joined.withColumn("exhausted", exhausted).drop("_empty", "items")
+        exhausted = F.when(F.col("family") == limited, F.col("items") < F.col("_asked")).otherwise(exhausted)
+    return joined.withColumn("exhausted", exhausted).drop("_empty", "_asked", "items")
 
 
 def stage_summary(results: DataFrame, keys: Sequence[str]) -> DataFrame:

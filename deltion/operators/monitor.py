@@ -47,16 +47,16 @@ def source_fingerprint(items: DataFrame, source: str, position: str, token: str,
 def global_fingerprint(fingerprints: DataFrame, status: str | None = None) -> DataFrame:
     """One hash over all sources, in any order, and counts by kind.
 
-    The hash adds up the leading digits of the per-source hashes, so it needs no ordered list.
+    The hash adds up the per-source hashes, in four pieces of 16 digits, so it needs no ordered list.
     """
-    part = F.conv(F.substring("fingerprint", 1, 12), 16, 10).cast("decimal(38,0)")
+    pieces = [F.sum(F.conv(F.substring("fingerprint", at, 16), 16, 10).cast("decimal(20,0)")).cast("string") for at in (1, 17, 33, 49)]
     kinds = []
     if status:
         kinds = [
             F.count_if(F.col(status) != "REQUIRES_IDENTIFIER").alias("attempted_total"), F.count_if(F.col(status) == "REACHED").alias("reached_total"),
             F.count_if(F.col(status) == "REQUIRES_IDENTIFIER").alias("template_total"), F.count_if(F.col(status) == "ERROR").alias("error_total"),
         ]
-    return fingerprints.agg(F.sum(part).cast("string").alias("hash"), F.count(F.lit(1)).alias("configured_total"), *kinds)
+    return fingerprints.agg(F.concat_ws("-", *pieces).alias("hash"), F.count(F.lit(1)).alias("configured_total"), *kinds)
 
 
 def overlap_watermark(previous: DataFrame, current: DataFrame, exhausted: DataFrame) -> DataFrame:

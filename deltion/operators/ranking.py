@@ -195,7 +195,7 @@ def prefix_until_exhausted(df: DataFrame, org: str, page: str, outside: Column)
 
 def marker_unit_prices(text: Column, reach: int = 80) -> Column:
     """price stated between a section marker `A.T.: n` and the next one: map<int, decimal>."""
-    mark = r"(?iu)\b[AΑ]\.?\s*[TΤ]\.?\s*:\s*(\d{1,3})\b"
+    mark = r"(?iu)\b[AΑ]\.?\s*[TΤ]\.?\s*:\s*(\d{1,9})\b"
 
     def read(rows: Column, markers: Column) -> Column:
         last = F.least(F.size(rows), F.try_element_at(markers, F.lit(-1))["at"] + reach)
@@ -263,7 +263,7 @@ def attention_buckets(df: DataFrame, days_left: Column, has_documents: Column, h
     return marked.unionByName(high.withColumn("bucket", F.lit(ATTENTION[3])))
 
 
-def nested_topk(df: DataFrame, row_key: str, row_order: Order, match_order: Order, rows: int = 80, matches: int = 6) -> DataFrame:
+def nested_topk(df: DataFrame, row_key: str, row_order: Order, match_order: Order, rows: int, matches: int) -> DataFrame:
     """At most `matches` matches of each of the first `rows` rows."""
     best = top_per_key(df, row_key, match_order, matches, rank="match_rank")
     heads = df.select(row_key, *[c for c in _names(row_order) if c != row_key]).distinct().orderBy(*_list(row_order)).limit(rows)

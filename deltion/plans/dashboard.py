@@ -185,10 +185,11 @@ def review_queue(hidden: DataFrame, at: str) -> DataFrame:
     return sort_hidden(hidden.filter("review_priority is not null").withColumn("display_id", F.col("official_id")), at, "review_priority")
 
 
-def reverse_search(rows: DataFrame, docs: DataFrame, query: str, max_rows: int | None = 80, max_matches: int = 6) -> DataFrame:
+def reverse_search(rows: DataFrame, docs: DataFrame, query: str, max_rows: int | None, max_matches: int | None) -> DataFrame:
     """K4: visible rows whose details or documents contain a text, with snippets.
 
-    docs: row_key, name, text. A query shorter than two characters finds nothing.
+    docs: row_key, name, text. A query shorter than two characters finds nothing. `max_rows` and `max_matches` are the
+    sizes of the page that is wanted; with None all rows and matches come back.
     """
     plain = fold_term(query)
     details = F.concat_ws("\n", *[F.col(c).cast("string") for c in ("row_key", "source", "title", "authority", "place", "interest_reason")])
@@ -204,7 +205,9 @@ def reverse_search(rows: DataFrame, docs: DataFrame, query: str, max_rows: int |
     meta = found(rows, "metadata", F.lit("Στοιχεία έργου"), details)
     active = links.documents_of_active_rows(docs, rows, "row_key")
     inside = found(active, "document", F.col("name"), F.concat_ws("\n", "name", "text"))
-    matches = top_per_key(meta.unionByName(inside), "row_key", [F.col("kind").desc(), F.col("label"), F.col("snippet")], max_matches, rank="match_rank")
+    matches = meta.unionByName(inside)
+    if max_matches is not None:
+        matches = top_per_key(matches, "row_key", [F.col("kind").desc(), F.col("label"), F.col("snippet")], max_matches, rank="match_rank")
     if max_rows is None:
         return matches
     heads = matches.select("row_key").distinct().join(rows.select("row_key", "deadline_sort"), "row_key").orderBy("deadline_sort", "row_key").limit(max_rows)
