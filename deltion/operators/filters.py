@@ -506,7 +506,7 @@ def contains_budget(text: Column) -> Column:
 def partial_budget(text: Column) -> Column:
     """Numbering that starts after 1 with at most ten rows: pages are missing."""
     numbers = F.array_distinct(
-        F.filter(F.transform(lines(text), lambda x: F.regexp_extract(x, r"^\s*(\d{1,3})\s", 1).try_cast("int")), lambda n: n.isNotNull())
+        F.filter(F.transform(lines(text), lambda x: F.regexp_extract(x, r"^\s*(\d{1,9})\s", 1).try_cast("int")), lambda n: n.isNotNull())
     )
     few = let(numbers, lambda n: (F.size(n) > 0) & (F.array_min(n) > 1) & (F.size(n) <= 10))
     return F.coalesce(upper_plain(text).contains("ΠΡΟΥΠΟΛΟΓΙΣΜΟΣ") & few, F.lit(False))
@@ -664,29 +664,20 @@ def _labels_in(folded: Column, cpv: Column, taxonomy) -> Column:
         cpv_hits = matched_terms(cpv, cat["cpv"])
         strong = matched_terms(folded, fold_terms(cat["strong"]), cat["strong"])
         medium = matched_terms(folded, fold_terms(cat["medium"]), cat["medium"])
-        score = F.lit(0)
-        for term, weight in [*((x, 2) for x in fold_terms(cat["strong"])), *((x, 1) for x in fold_terms(cat["medium"]))]:
-            score = score + F.when(folded.contains(term), weight).otherwise(0)
-        score = score + 2 * F.size(cpv_hits)
-        confidence = F.round(F.least(F.lit(0.99), score / F.lit(max(3.0, cat["weight"] * 2.0))), 2)
-        found = any_term(cpv, cat["cpv"]) | any_term(folded, fold_terms([*cat["strong"], *cat["medium"]]))
-        out.append(
-            F.when(
-                found,
-                F.struct(
-                    F.when(F.lit(cat["polarity"] == "positive"), 0).otherwise(1).alias("rank"),
-                    (-confidence).alias("neg_confidence"),
-                    F.lit(cat["label"]).alias("label"),
-                    F.lit(cat["id"]).alias("id"),
-                    F.lit(cat["polarity"]).alias("polarity"),
-                    confidence.alias("confidence"),
-                    F.slice(F.concat(cpv_hits, strong, medium), 1, 8).alias("evidence"),
-                ),
-            )
-        )
+        out.append(let(F.struct(cpv_hits.alias("cpv"), strong.alias("strong"), medium.alias("medium")), lambda hits, cat=cat: _label_of(hits, cat)))
     return F.array_sort(F.array_compact(F.array(*out)))
 
 
+def _label_of(hits: Column, cat: dict) -> Column:
+    """The label of one category from its hits, or null without any. Every term has been searched once."""
+    score = 2 * F.size(hits["cpv"]) + 2 * F.size(hits["strong"]) + F.size(hits["medium"])
+    confidence = F.round(F.least(F.lit(0.99), score / F.lit(max(3.0, cat["weight"] * 2.0))), 2)
+    return F.when(score > 0, F.struct(
+        F.when(F.lit(cat["polarity"] == "positive"), 0).otherwise(1).alias("rank"), (-confidence).alias("neg_confidence"), F.lit(cat["label"]).alias("label"), F.lit(cat["id"]).alias("id"),
+        F.lit(cat["polarity"]).alias("polarity"), confidence.alias("confidence"), F.concat(hits["cpv"], hits["strong"], hits["medium"]).alias("evidence"),
+    ))
+
+
 def taxonomy_audit(labels: Column, strong: float = 0.85, likely: float = 0.6) -> Column:
     """Primary category, negative ones, review flag and band of the labels of a row.
 

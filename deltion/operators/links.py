@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from deltion import vocab
 from deltion.functions.dates import deadline_instant
 from deltion.functions.numbers import compare_op, number_near
-from deltion.functions.text import clean, fold_chars, fold_term, norm_text, snippet, title_tokens, token_overlap, unnest
+from deltion.functions.text import clean, fold_chars, fold_term, let, norm_text, snippet, title_tokens, token_overlap, unnest
 from deltion.operators.ranking import dedupe_similar, top_evidence, top_per_key
 from deltion.rules import EvaluationRule, SearchProfile, for_each_rule
 
@@ -159,7 +159,7 @@ def suppress_linked_duplicates(rows: DataFrame, links: DataFrame) -> DataFrame:
         F.min(F.when(F.col("v_dup"), F.col("target_id"))).alias("_v_id"), F.min(F.when(F.col("s_dup"), F.col("target_id"))).alias("_s_id"),
         F.countDistinct(F.when(F.col("v_dup") | F.col("s_dup"), F.col("target_id"))).alias("_dups"),
     )
-    inbound = verified.groupBy(F.col("target_id").alias("registry_id")).agg(F.count(F.lit(1)).alias("inbound_links"))
+    inbound = verified.groupBy(F.col("target_id").alias("_in")).agg(F.count(F.lit(1)).alias("inbound_links"))
     status = (
         F.when(F.col("official"), "OFFICIAL_ESHIDIS_ROW").when(F.col("_v_dup"), "REPLACED_BY_OFFICIAL_ESHIDIS")
         .when(F.col("_s_dup"), "STRONG_LINKED_ESHIDIS_DUPLICATE").when(F.col("_v"), "VERIFIED_ESHIDIS_LINK_PENDING_OFFICIAL_ROW")
@@ -167,12 +167,13 @@ def suppress_linked_duplicates(rows: DataFrame, links: DataFrame) -> DataFrame:
     )
     hidden = ~F.col("official") & (F.coalesce("_v_dup", F.lit(False)) | F.coalesce("_s_dup", F.lit(False)))
     return (
-        rows.join(per_row, "row_key", "left").join(inbound, "registry_id", "left")
+        # Rows without a registry id have no inbound links; their own key spreads them over the tasks.
+        rows.join(per_row, "row_key", "left").withColumn("_in", F.coalesce("registry_id", F.concat(F.lit("row "), "row_key"))).join(inbound, "_in", "left")
         .withColumn("link_status", status).withColumn("duplicate_hidden", hidden)
         .withColumn("duplicate_of", F.when(hidden, F.coalesce("_v_id", "_s_id")))
         .withColumn("duplicate_count", F.when(hidden, F.col("_dups")).otherwise(0))
         .withColumn("inbound_links", F.when(F.col("official"), F.coalesce("inbound_links", F.lit(0))).otherwise(0))
-        .drop("_v_dup", "_s_dup", "_v", "_v_id", "_s_id", "_dups")
+        .drop("_v_dup", "_s_dup", "_v", "_v_id", "_s_id", "_dups", "_in")
     )
 
 
@@ -289,19 +290,24 @@ def evaluate_rules(docs: DataFrame, rules: Sequence[EvaluationRule], text: str,
         plain = [p for p in (fold_term(x, underscores=True) for x in rule.phrases) if p]
         at = [F.instr(F.col("_folded"), F.lit(p)) for p in plain]
         first = F.least(*[F.when(a > 0, a) for a in at], F.lit(None).cast("int")) if at else F.lit(1)
-        context = snippet(F.col("_text"), first, 260, 260)
-        ok = first.isNotNull()
-        if document_type and rule.document_types:
-            ok = ok & F.col(document_type).isin(list(rule.document_types))
-        value = F.lit(None).cast("double")
-        if rule.operator and rule.threshold is not None:
+        wanted = F.col(document_type).isin(list(rule.document_types)) if document_type and rule.document_types else F.lit(True)
+
+        def hit_at(pos: Column, value: Column, context: Column) -> Column:
+            return F.struct(
+                F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(float(rule.score)).alias("score"),
+                pos.alias("pos"), value.alias("numeric_value"), context.alias("context"),
+            )
+
+        def found_at(pos: Column, context: Column) -> Column:
+            if not rule.operator or rule.threshold is None:
+                return hit_at(pos, F.lit(None).cast("double"), context)
             anchor = F.instr(F.translate(fold_chars(context), "_", " "), F.lit(plain[0])) if plain else F.lit(0)
-            value = number_near(context, anchor)
-            ok = ok & F.coalesce(compare_op(value, F.lit(rule.operator), F.lit(rule.threshold)), F.lit(False))
-        return F.when(ok, F.struct(
-            F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(float(rule.score)).alias("score"),
-            first.alias("pos"), value.alias("numeric_value"), context.alias("context"),
-        ))
+            return let(number_near(context, anchor), lambda value: F.when(
+                F.coalesce(compare_op(value, F.lit(rule.operator), F.lit(rule.threshold)), F.lit(False)), hit_at(pos, value, context)))
+
+        # Snippet and number are only taken where a phrase was found, and each once.
+        return let(first, lambda pos: F.when(
+            pos.isNotNull() & wanted, let(snippet(F.col("_text"), pos, 260, 260), lambda context: found_at(pos, context))))
 
     return for_each_rule(base, list(rules), hit, list(keep))
 

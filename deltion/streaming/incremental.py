@@ -68,14 +68,12 @@ def stamped_at(own: Column, stored: Column, now: Column) -> Column:
 # --- J7 notify once --------------------------------------------------------------------------
 
 
-def notify_once(stream: DataFrame, keys: Sequence[str], at: str, delay: str, ledger: str) -> None:
-    """Each key is handed out once over all runs.
+def notify_once(stream: DataFrame, keys: Sequence[str], ledger: str) -> None:
+    """Each key is handed out once over all runs, however late its event comes.
 
-    Repeats inside the watermark delay are dropped by the state store, older ones by an anti-join
-    with the ledger. A batch writes `ledger/batch=<id>` and ignores its own earlier attempt, so a
-    retried batch gives the same rows.
+    Repeats inside a batch are dropped by the batch, older ones by an anti-join with the ledger; no watermark decides.
+    A batch writes `ledger/batch=<id>` and ignores its own earlier attempt, so a retried batch gives the same rows.
     """
-    once = stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(keys))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -85,7 +83,7 @@ def notify_once(stream: DataFrame, keys: Sequence[str], at: str, delay: str, led
             fresh = fresh.join(sent, list(keys), "left_anti")
         fresh.write.mode("overwrite").parquet(_batch_dir(ledger, batch_id))
 
-    query = once.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", ledger + "-checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", ledger + "-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 

@@ -19,10 +19,10 @@ def test_notify_once_over_two_runs(spark):
     schema = "key string, at timestamp"
     read = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(folder)
     _land(spark, folder, 1, [("a", dt(2024, 1, 1)), ("a", dt(2024, 1, 2)), ("b", dt(2024, 1, 2))])
-    inc.notify_once(read(), ["key"], "at", "1 day", ledger)
-    _land(spark, folder, 2, [("a", dt(2024, 2, 1)), ("c", dt(2024, 2, 1))])
-    inc.notify_once(read(), ["key"], "at", "1 day", ledger)
-    assert sorted(r.key for r in spark.read.parquet(ledger).collect()) == ["a", "b", "c"]
+    inc.notify_once(read(), ["key"], ledger)
+    _land(spark, folder, 2, [("a", dt(2024, 2, 1)), ("c", dt(2024, 2, 1)), ("late", dt(2020, 1, 1))])
+    inc.notify_once(read(), ["key"], ledger)
+    assert sorted(r.key for r in spark.read.parquet(ledger).collect()) == ["a", "b", "c", "late"]
 
 
 def test_first_seen_over_two_runs(spark):
