@@ -26,7 +26,7 @@ def test_segments_by_definition():
     rng = random.Random(2)
     scorer = toxicity.Scorer(toxicity.Model(drift=0.25))
     for _ in range(300):
-        hits = [(i, rng.choice([0.3, 0.7, 1.1, 2.3])) for i in range(rng.randint(0, 40)) if rng.random() < 0.3]
+        hits = [(i, rng.uniform(0.1, 2.5)) for i in range(rng.randint(0, 40)) if rng.random() < 0.3]
         n = hits[-1][0] + 1 if hits else 0
         weights = [dict(hits).get(i, -0.25) for i in range(n)]
         got = scorer.segments(hits)
