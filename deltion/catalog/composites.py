@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from deltion.catalog.aggregating import _POLL_SQL, polling
 from deltion.catalog.base import Tables, cte, query
-from deltion.catalog.linking import _ATTS, _DAT, _DOCS, _TENDERS, PROFILE, RULES, hits_sql
+from deltion.catalog.linking import _ATTS, _DAT, _DOCS, _TENDERS, PROFILE, RULES, deduped_sql, hits_sql
 from deltion.plans import dashboard as dash
 from deltion.plans import discovery
 from deltion.rules import AmbiguousAlias, Scope, SearchProfile, UserProfile
@@ -114,7 +114,12 @@ def _(t: Tables):
     return dash.reverse_search(rows, docs, "ér", None, None).filter("kind = 'document'").select("row_key", "kind", "label")
 
 
-@query("k5_search_profile", None)
+_K5 = deduped_sql("WHERE lang IN ('en', 'fr') AND doc_id % 11 <> 0").replace(", d AS (", ", dd AS (")
+
+
+@query("k5_search_profile", _K5 + ", " + _DAT.removeprefix("WITH ").replace("d AS (", "dx AS (") + """ SELECT 'run-1' AS run_id, t.eshidis_id, u.doc_id, y.match_type AS match_type, y.term AS term, y.confidence AS confidence,
+  CAST(to_json(struct_pack(profile_id := 'words', term := y.term, match_type := y.match_type, pos := y.pos, document_type := dx.document_type, original_name := a.name)) AS VARCHAR) AS provenance
+  FROM u JOIN dx ON dx.doc_id = u.doc_id JOIN a ON a.attachment_id = dx.attachment_id JOIN t ON t.tender_id = a.tender_id""")
 def _(t: Tables):
     profile = SearchProfile(PROFILE.profile_id, document_types=("en", "fr"), exact_phrases=PROFILE.exact_phrases, optional_terms=PROFILE.optional_terms, revision_codes=PROFILE.revision_codes)
     return discovery.search_profile(t.sql(_DOCS), t.sql(_ATTS), t.sql(_TENDERS), profile, "run-1").select("run_id", "eshidis_id", "doc_id", "match_type", "term", "confidence", "provenance")

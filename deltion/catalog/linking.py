@@ -286,6 +286,21 @@ def _(t: Tables):
     return links.linked_ids_of(t.tenders.withColumn("ids", F.array_compact(F.array("linked_id"))), "customer_no", "ids")
 
 
-@query("f9_dedupe_similar", None)
+_TERM_ORDER = "[" + ", ".join(f"'{x}'" for x in (*PROFILE.exact_phrases, *PROFILE.optional_terms, *PROFILE.revision_codes)) + "]"
+
+
+def deduped_sql(extra: str = "") -> str:
+    """CTE `u`: the matches that are left of each document when near-equal evidence is folded, one match after the other."""
+    words = f"list_distinct(list_filter(string_split({sql_clean("replace(" + sql_chars('context') + ", '_', ' ')")}, ' '), lambda w: w <> ''))"
+    near = "y.match_type = q.x.match_type AND coalesce(len(list_intersect(y.w, q.x.w)) / nullif(least(len(y.w), len(q.x.w)), 0) >= 0.7, false)"
+    return _MATCHES.replace("WITH d", "WITH RECURSIVE d", 1) + f""",
+  q AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY list_position({_TERM_ORDER}, term)) AS k, struct_pack(match_type := match_type, term := term, confidence := confidence, pos := pos, w := {words}) AS x FROM m {extra}),
+  r AS (SELECT doc_id, 1::BIGINT AS k, [x] AS kept FROM q WHERE k = 1
+    UNION ALL SELECT z.doc_id, z.k, CASE WHEN z.spot IS NULL THEN list_append(z.kept, z.x) WHEN (z.x.confidence, length(z.x.term)) > (z.kept[z.spot].confidence, length(z.kept[z.spot].term)) THEN list_transform(z.kept, lambda y, i: CASE WHEN i = z.spot THEN z.x ELSE y END) ELSE z.kept END
+      FROM (SELECT q.doc_id, q.k, q.x, r.kept, nullif(list_position(list_transform(r.kept, lambda y: {near}), true), 0) AS spot FROM r JOIN q ON q.doc_id = r.doc_id AND q.k = r.k + 1) z),
+  u AS (SELECT doc_id, unnest(arg_max(kept, k)) AS y FROM r GROUP BY doc_id)"""
+
+
+@query("f9_dedupe_similar", deduped_sql() + " SELECT doc_id, y.match_type AS match_type, y.term AS term, y.confidence AS confidence FROM u")
 def _(t: Tables):
     return links.match_terms(t.documents, PROFILE, "text", "lang", ["doc_id"]).select("doc_id", "match_type", "term", "confidence")

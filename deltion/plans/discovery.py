@@ -37,9 +37,10 @@ def expanded_summary(rows: DataFrame, errors: Column | None = None) -> DataFrame
 def search_profile(docs: DataFrame, attachments: DataFrame, tenders: DataFrame, profile: SearchProfile, run_id: str) -> DataFrame:
     """K5: evidence for a profile in the searchable documents, as hits of a run."""
     searchable = links.searchable_documents(docs, attachments, tenders, profile.document_types)
-    keep = ["tender_id", "eshidis_id", "doc_id", "name"]
-    hits = links.match_terms(searchable, profile, "text", "document_type", keep)
-    return insert_hits(hits, F.lit(run_id), ["match_type", "pos"], [*keep, "match_type", "term", "confidence", "context"])
+    keep = ["tender_id", "eshidis_id", "doc_id", "name", "document_type"]
+    hits = links.match_terms(searchable, profile, "text", "document_type", keep).withColumn("profile_id", F.lit(profile.profile_id))
+    origin = ["profile_id", "term", "match_type", "pos", "document_type", F.col("name").alias("original_name")]
+    return insert_hits(hits, F.lit(run_id), origin, [*keep, "match_type", "term", "confidence", "context"])
 
 
 def evaluate_profile(docs: DataFrame, attachments: DataFrame, tenders: DataFrame, rules: Sequence[EvaluationRule]) -> DataFrame:

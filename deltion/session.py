@@ -29,12 +29,14 @@ def get_session(app: str = "deltion", master: str | None = None, **conf) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: `spark.checkpoint.dir` of the session.
 
-    Only where the cluster names none (tests on one machine) a new folder is made and set.
+    A session on one machine that names none (tests) gets a new folder; a cluster must name its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -50,12 +52,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute a frame that several branches read once, into the shared checkpoint folder.
+    """Compute a frame that several branches read once, as a table in the shared folder.
 
     The written files survive the loss of executors, and the branches do not repeat the work.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    path = new_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
