@@ -90,7 +90,7 @@ def _(t: Tables):
 
 @query("e12_newest_projects", cte("tenders") + " SELECT tender_no, deadline_iso AS first_seen_at FROM tenders WHERE deadline_iso >= '2000-01-01' ORDER BY deadline_iso DESC, tender_no LIMIT 5")
 def _(t: Tables):
-    return agg.newest_projects(t.tenders.select("tender_no", F.col("deadline_iso").alias("first_seen_at")), F.lit("2000-01-01"), "tender_no")
+    return agg.newest_projects(t.tenders.select("tender_no", F.col("deadline_iso").alias("first_seen_at")), F.lit("2000-01-01"), "tender_no", 5)
 
 
 _STATE = "SELECT source_id, max(day) AS last_checked_at, CASE WHEN max(user_id) % 4 = 0 THEN 'CHANGED' WHEN max(user_id) % 4 = 1 THEN 'ERROR' ELSE 'SKIPPED_UNCHANGED' END AS last_status, CASE WHEN max(user_id) % 7 = 0 THEN 'slow' END AS last_error FROM {runs} WHERE day = '2024-01-15' GROUP BY source_id"
@@ -100,7 +100,7 @@ _HEALTH_SQL = """ r20 AS (SELECT *, row_number() OVER (PARTITION BY source_id OR
 
 
 def health(t: Tables):
-    return monitor.source_health(t.runs, "source_id", "ts", "run_no", F.col("family") == "error")
+    return monitor.source_health(t.runs, "source_id", "ts", "run_no", F.col("family") == "error", 20)
 
 
 _POLL_SQL = cte("runs") + f", s AS ({_STATE.format(runs='runs')}), c AS ({_CONF.format(runs='runs')})," + _HEALTH_SQL + """, p AS (SELECT coalesce(c.source_id, s.source_id) AS source_id, c.source_id IS NOT NULL AS conf, s.source_id IS NOT NULL AS tracked, coalesce(c.selective, false) AS sel, coalesce(s.last_status, 'NEVER_CHECKED') AS st, s.last_error AS er, s.last_checked_at, h.status AS hs

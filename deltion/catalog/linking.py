@@ -206,7 +206,7 @@ def _(t: Tables):
     e = t.sql(_EVID).withColumn("linked_ids", F.array_compact(F.array("linked"))).withColumn("is_extension", F.lit(False)).withColumn("confidence", F.lit(0.75)).withColumn("deadline_at", F.col("deadline_key"))
     # The first line of a document stands for it.
     e = e.withColumn("origin", F.struct("origin", "name", "line_id"))
-    out = links.attach_document_evidence(rows, e, document_rank(F.col("name"), F.lit(""), F.size("linked_ids") > 0))
+    out = links.attach_document_evidence(rows, e, document_rank(F.col("name"), F.lit(""), F.size("linked_ids") > 0), 4)
     names = F.array_join(F.transform("document_evidence", lambda d: d["name"]), "|")
     return out.select("row_key", "document_evidence_count", F.array_join(F.array_sort("linked_ids"), ",").alias("linked_ids"), names.alias("names"), "deadline")
 

@@ -31,7 +31,7 @@ def _(t: Tables):
   SELECT project, name, CAST(position AS INTEGER) AS position FROM r WHERE position <= 4""")
 def _(t: Tables):
     docs = t.lines.select("project", F.col("source_document").alias("name"), "document_no").distinct()
-    return rk.top_evidence(docs, "project", "name", rk.document_rank(F.col("name"), F.lit(""), F.col("document_no") % 2 == 0)).select("project", "name", "position")
+    return rk.top_evidence(docs, "project", "name", rk.document_rank(F.col("name"), F.lit(""), F.col("document_no") % 2 == 0), 4).select("project", "name", "position")
 
 
 @query("f6_best_deadline", cte("tenders") + """ SELECT customer_no, arg_max(deadline, (deadline_iso, official, CAST(budget AS DOUBLE), deadline)) AS deadline_at, arg_max(official, (deadline_iso, official, CAST(budget AS DOUBLE), deadline)) AS is_extension FROM tenders WHERE place <> 'ASIA' GROUP BY customer_no""")
@@ -131,14 +131,14 @@ def _(t: Tables):
 
 @query("g3_problem_sources", _POLL_SQL + " SELECT source_id, st AS last_status FROM p WHERE er IS NOT NULL OR st = 'ERROR' OR coalesce(hs IN ('WATCH', 'DEGRADED', 'DISABLE_CANDIDATE'), false) ORDER BY CASE WHEN er IS NOT NULL OR st = 'ERROR' THEN 0 ELSE 1 END, source_id LIMIT 12")
 def _(t: Tables):
-    return rk.problem_sources(polling(t)).select("source_id", "last_status")
+    return rk.problem_sources(polling(t), 12).select("source_id", "last_status")
 
 
 @query("g4_attention_buckets", cte("tenders") + """ SELECT row_key, 'Λήγουν σύντομα' AS bucket FROM tenders WHERE deadline_iso BETWEEN '1998-07-17' AND '1998-07-24' UNION ALL SELECT row_key, 'Χωρίς έγγραφα' FROM tenders WHERE segment = 'BUILDING' UNION ALL SELECT row_key, 'Χωρίς ΕΣΗΔΗΣ' FROM tenders WHERE NOT official
   UNION ALL SELECT row_key, 'Υψηλότεροι προϋπολογισμοί' FROM (SELECT row_key, row_number() OVER (PARTITION BY place ORDER BY budget DESC, row_key) AS rn FROM tenders) WHERE rn <= 3""")
 def _(t: Tables):
     days = F.datediff(F.col("deadline_iso").cast("date"), F.lit("1998-07-17").cast("date"))
-    out = rk.attention_buckets(t.tenders, days, F.col("segment") != "BUILDING", F.col("official"), F.col("budget"), "row_key", ["place"])
+    out = rk.attention_buckets(t.tenders, days, F.col("segment") != "BUILDING", F.col("official"), F.col("budget"), "row_key", ["place"], 3)
     return out.select("row_key", "bucket")
 
 
@@ -175,7 +175,7 @@ def _(t: Tables):
 def _(t: Tables):
     rows = t.tenders.select("row_key", F.col("deadline_iso").alias("day"), F.col("customer_no").alias("at"), F.when(F.col("segment") == "BUILDING", "ARCHIVED").otherwise("VISIBLE").alias("status"))
     recent = rk.list_recent(rows, "day", "at", "row_key", F.date_format(F.date_sub(F.lit("2001-08-01").cast("date"), 14), "yyyy-MM-dd"))
-    return recent.select("row_key", "day").unionByName(rk.list_archived(rows, "at", "day", "row_key").select("row_key", "day"))
+    return recent.select("row_key", "day").unionByName(rk.list_archived(rows, "at", "day", "row_key", 50).select("row_key", "day"))
 
 
 @query("h1_union_of_sources", cte("tenders") + " SELECT row_key, title, NULL AS place FROM tenders WHERE official UNION ALL SELECT row_key, NULL, place FROM tenders WHERE NOT official")

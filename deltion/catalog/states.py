@@ -128,7 +128,7 @@ def _(t: Tables):
 @query("b12_append_capped", cte("runs") + " SELECT run_no, status FROM runs ORDER BY run_no DESC LIMIT 200")
 def _(t: Tables):
     cols = ["run_no", "status"]
-    return state.append_capped(t.runs.filter("day < '2024-01-29'").select(*cols), t.runs.filter("day >= '2024-01-29'").select(*cols), ["run_no"])
+    return state.append_capped(t.runs.filter("day < '2024-01-29'").select(*cols), t.runs.filter("day >= '2024-01-29'").select(*cols), ["run_no"], 200)
 
 
 @query("b13_insert_hits", """SELECT 'run-1' AS run_id, doc_id, '{"lang":"' || lang || '","source":"' || source || '"}' AS provenance FROM documents WHERE contains(text, 'that the')""")

@@ -121,11 +121,11 @@ def live_counts(projects: DataFrame, documents: DataFrame, rows: DataFrame, sinc
     fresh = F.col("fetched_at") >= since
     d = documents.agg(F.count_if(fresh).alias("documents"), F.count_if(fresh & F.col("has_text")).alias("text_docs"))
     r = rows.agg(F.count_if(F.col("extracted_at") >= since).alias("merged_rows"))
-    one = F.lit(1).alias("_one")
-    return p.select("*", one).join(d.select("*", one), "_one").join(r.select("*", one), "_one").drop("_one")
+    stacked = p.unionByName(d, allowMissingColumns=True).unionByName(r, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
-def newest_projects(projects: DataFrame, since: Column, key: str, k: int = 5) -> DataFrame:
+def newest_projects(projects: DataFrame, since: Column, key: str, k: int) -> DataFrame:
     """The newest projects since a run started."""
     return projects.filter(F.col("first_seen_at") >= since).orderBy(F.col("first_seen_at").desc(), F.col(key)).limit(k)
 

@@ -315,7 +315,7 @@ def evaluate_rules(docs: DataFrame, rules: Sequence[EvaluationRule], text: str,
 # --- evidence, enrichment, names -------------------------------------------------------------
 
 
-def attach_document_evidence(rows: DataFrame, docs: DataFrame, rank: Column, k: int = 4) -> DataFrame:
+def attach_document_evidence(rows: DataFrame, docs: DataFrame, rank: Column, k: int) -> DataFrame:
     """Up to k best documents per row; a stored document wins over a legacy one of the same url.
 
     docs: row_key, document_url, name, origin (0 stored, 1 legacy), linked_ids, deadline_key,

@@ -15,7 +15,7 @@ def run_failed(status: Column, error: Column) -> Column:
     return (F.coalesce(status, F.lit("")) == "ERROR") | (F.coalesce(error, F.lit("")) != "")
 
 
-def source_health(runs: DataFrame, source: str, at: str, seq: str, failed: Column, n: int = 20) -> DataFrame:
+def source_health(runs: DataFrame, source: str, at: str, seq: str, failed: Column, n: int) -> DataFrame:
     """health of each source over its last n runs."""
     last = top_per_key(runs.withColumn("_failed", failed), source, [F.col(at).desc(), F.col(seq).desc()], n, rank="_rn")
     stats = last.groupBy(source).agg(
@@ -175,9 +175,9 @@ def refresh_plan(changed: DataFrame, selectable: DataFrame, has_baseline: bool,
 
 def refresh_sources(configured: DataFrame, changed: DataFrame, selectable: DataFrame, has_baseline: bool, key: str = "source_id") -> DataFrame:
     """The sources to refresh."""
-    plan = refresh_plan(changed, selectable, has_baseline, key).select("selective", F.lit(1).alias("_one"))
-    marked = configured.join(changed.select(key, F.lit(True).alias("_changed")), key, "left").withColumn("_one", F.lit(1))
-    return marked.join(F.broadcast(plan), "_one").filter(~F.col("selective") | F.col("_changed")).drop("_one", "_changed", "selective")  # plan is one row
+    selective = refresh_plan(changed, selectable, has_baseline, key).select("selective").scalar()
+    marked = configured.join(changed.select(key, F.lit(True).alias("_changed")), key, "left")
+    return marked.filter(~selective | F.col("_changed")).drop("_changed")
 
 
 def reuse_document(wanted: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -81,7 +81,7 @@ def document_rank(name: Column, document_type: Column, has_links: Column) -> Col
     )
 
 
-def top_evidence(df: DataFrame, key: str, name: str, rank: Column, k: int = 4) -> DataFrame:
+def top_evidence(df: DataFrame, key: str, name: str, rank: Column, k: int) -> DataFrame:
     """the k best documents of each row, by rank then name."""
     return top_per_key(df.withColumn("evidence_rank", rank), key, [F.col("evidence_rank"), norm_text(F.col(name)), F.col(name)], k, rank="position")
 
@@ -240,7 +240,7 @@ def sort_hidden(df: DataFrame, at: str = "audit_at", priority: str | None = None
     return df.orderBy(*order)
 
 
-def problem_sources(df: DataFrame, k: int = 12) -> DataFrame:
+def problem_sources(df: DataFrame, k: int) -> DataFrame:
     """Sources with an error or poor health, errors first, by id."""
     error = (F.coalesce("last_error", F.lit("")) != "") | (F.coalesce("last_status", F.lit("")) == "ERROR")
     poor = F.coalesce(F.col("health_status").isin("WATCH", "DEGRADED", "DISABLE_CANDIDATE"), F.lit(False))
@@ -251,7 +251,7 @@ ATTENTION = ["Λήγουν σύντομα", "Χωρίς έγγραφα", "Χωρ
 
 
 def attention_buckets(df: DataFrame, days_left: Column, has_documents: Column, has_registry_id: Column, budget: Column, key: str,
-                      groups: Sequence[str] = (), top: int = 3) -> DataFrame:
+                      groups: Sequence[str], top: int) -> DataFrame:
     """Rows that need attention, one row per (bucket, row): expiring within a week, without
     documents, without a registry id, and the highest budgets (per group of `groups`)."""
     tests = [days_left.between(0, 7), ~has_documents, ~has_registry_id]
@@ -312,7 +312,7 @@ def list_recent(df: DataFrame, day: str, fetched: str, key: str, cutoff: Column)
     return df.filter(inside).orderBy(F.col(day).desc_nulls_last(), F.col(fetched).desc_nulls_last(), F.col(key))
 
 
-def list_archived(df: DataFrame, archived_at: str, day: str, key: str, limit: int = 50) -> DataFrame:
+def list_archived(df: DataFrame, archived_at: str, day: str, key: str, limit: int) -> DataFrame:
     """Latest archived records."""
     return df.filter(F.col("status") == "ARCHIVED").orderBy(F.col(archived_at).desc_nulls_last(), F.col(day).desc_nulls_last(), F.col(key)).limit(limit)
 

@@ -145,7 +145,7 @@ def latest_run_state(log: DataFrame, key: str, at: str, fields: Sequence[str]) -
     )
 
 
-def append_capped(log: DataFrame, new: DataFrame, seq: Sequence[str], n: int = 200) -> DataFrame:
+def append_capped(log: DataFrame, new: DataFrame, seq: Sequence[str], n: int) -> DataFrame:
     """Append, keep the last n."""
     return log.unionByName(new).orderBy(*[F.col(c).desc() for c in seq]).limit(n)
 

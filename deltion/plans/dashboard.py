@@ -33,6 +33,7 @@ class Inputs:
     triage: DataFrame  # row_key, decision, confidence, keep
     links: DataFrame  # row_key, target_id
     evidence: DataFrame | None = None  # see links.attach_document_evidence
+    evidence_documents: int = 4  # of each row that are shown
     towns: Sequence[Scope] = ()
     regions: Sequence[Scope] = ()
     taxonomy: Sequence[dict] = field(default_factory=lambda: vocab.TAXONOMY)
@@ -45,7 +46,7 @@ def prepared(inp: Inputs) -> DataFrame:
     rows = rows.join(ignored, "row_key", "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
     if inp.evidence is not None:
         rank = document_rank(F.col("name"), F.lit(""), F.size("linked_ids") > 0)
-        rows = links.attach_document_evidence(rows, inp.evidence, rank)
+        rows = links.attach_document_evidence(rows, inp.evidence, rank, inp.evidence_documents)
     else:
         rows = rows.withColumn("document_evidence_count", F.lit(0).cast("long")).withColumn("evidence_deadline", F.lit(None).cast("string"))
     rows = links.suppress_linked_duplicates(rows, inp.links)
@@ -232,7 +233,7 @@ def digest(rows: DataFrame, profiles: Sequence[UserProfile], log: DataFrame, tax
     fresh = matched.join(sent, ["row_key", "channel", "recipient"], "left_anti")
     days = F.datediff(sort_key(F.col("effective_deadline")).try_cast("date"), as_of)
     has_id = F.col("registry_id").isNotNull() | (F.size("linked_ids") > 0)
-    buckets = attention_buckets(fresh, days, F.col("document_evidence_count") > 0, has_id, F.col("budget"), "row_key", ["recipient"])
+    buckets = attention_buckets(fresh, days, F.col("document_evidence_count") > 0, has_id, F.col("budget"), "row_key", ["recipient"], 3)
     return fresh, buckets
 
 

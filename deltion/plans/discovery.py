@@ -80,6 +80,6 @@ def run_report(polling: DataFrame, run: DataFrame) -> dict[str, DataFrame]:
     )
     metrics = summary.join(run.select("*", one), "_one").drop("_one")
     alerts = aggregates.monitoring_alerts(metrics)
-    return {"metrics": metrics, "alerts": alerts, "status": aggregates.monitoring_status(alerts), "problems": problem_sources(polling)}
+    return {"metrics": metrics, "alerts": alerts, "status": aggregates.monitoring_status(alerts), "problems": problem_sources(polling, 12)}
 
 

@@ -43,7 +43,7 @@ def test_status(spark):
 
 def test_source_health(spark):
     runs = spark.createDataFrame([("a", i, "ERROR") for i in range(5)] + [("b", 0, "ERROR"), ("b", 1, "OK"), ("c", 1, "OK")], "source_id string, n int, status string")
-    got = {r.source_id: (r.status, r.consecutive_failures) for r in monitor.source_health(runs, "source_id", "n", "n", F.col("status") == "ERROR").collect()}
+    got = {r.source_id: (r.status, r.consecutive_failures) for r in monitor.source_health(runs, "source_id", "n", "n", F.col("status") == "ERROR", 20).collect()}
     assert got == {"a": ("DISABLE_CANDIDATE", 5), "b": ("WATCH", 0), "c": ("HEALTHY", 0)}
 
 
