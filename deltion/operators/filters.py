@@ -33,6 +33,7 @@ from deltion.functions.text import (
     upper_plain,
     upper_term,
 )
+from deltion.functions.wording import Wording, first_value
 from deltion.rules import Scope, UserProfile
 
 STRINGS = "array<string>"
@@ -419,70 +420,49 @@ OTHER_STUDY = [
     "ΣΤΑΤΙΚΗ", "Η/Μ", "ΗΛΕΚΤΡΟΜΗΧΑΝΟΛ", "ΠΥΡΑΣΦΑΛ", "ΚΛΙΜΑΤΙΣΜ", "FAN COIL", "FAN_COIL", "ΓΕΩΛΟΓ", "ΓΕΩΤΕΧΝ", "ΠΕΡΙΒΑΛ",
     "ΦΥΤΟΤΕΧΝ", "ΣΑΥ", "ΦΑΥ", "ΑΔΕΙΑ", "ΔΙΟΙΚΗΤ",
 ]
-PRICING_STRONG = ["ΠΡΟΥΠΟΛΟΓ", "ΤΙΜΟΛΟΓ", "ΠΡΟΜΕΤΡ", "ΑΝΑΛΥΤΙΚ"]
-PRICING_BROAD = ["ΤΕΧΝΙΚΗΕΚΘΕΣΗ", "ΤΕΧΝΙΚΗ_ΕΚΘΕΣΗ", "ΜΕΛΕΤΗ"]
-
-
-def _squeezed(upper: Column) -> Column:
-    return F.regexp_replace(upper, "[^A-ZΑ-Ω0-9]+", "")
-
-
-def _either(upper: Column, terms) -> Column:
-    return any_term(upper, terms) | let(_squeezed(upper), lambda tight: any_term(tight, terms))
-
-
-def offer_signal(upper: Column) -> Column:
-    return upper.contains("ΟΙΚΟΝΟΜΙΚ") & upper.contains("ΠΡΟΣΦΟΡ")
-
-
-def strong_budget_signal(upper: Column) -> Column:
-    return _either(upper, ["ΠΡΟΥΠΟΛΟΓ"])
-
-
-def weak_budget_signal(upper: Column) -> Column:
-    return upper.rlike("(^|[^A-ZΑ-Ω0-9])(ΠΥ|ΠY|PY)($|[^A-ZΑ-Ω0-9])")
+OFFER = ("ΟΙΚΟΝΟΜΙΚ", "ΠΡΟΣΦΟΡ")
+BUDGET = ("ΠΡΟΥΠΟΛΟΓ",)
+PRICING_STRONG = ("ΠΡΟΥΠΟΛΟΓ", "ΤΙΜΟΛΟΓ", "ΠΡΟΜΕΤΡ", "ΑΝΑΛΥΤΙΚ")
+PRICING_BROAD = ("ΤΕΧΝΙΚΗΕΚΘΕΣΗ", "ΤΕΧΝΙΚΗ_ΕΚΘΕΣΗ", "ΜΕΛΕΤΗ")
+IS_DRAWING = Wording(False, any=(*DRAWING, *OTHER_STUDY), not_squeezed=BUDGET)
+# How surely a stand-alone file is the official budget; the first that holds counts.
+BUDGET_PRIORITY = [
+    Wording(0, all=OFFER), Wording(90, squeezed=BUDGET, all=("ΠΡΟΜΕΤΡΗΣ",)), Wording(80, squeezed=BUDGET), Wording(45, all=("ΠΡΟΜΕΤΡΗΣ",)),
+    Wording(20, pattern="(^|[^A-ZΑ-Ω0-9])(ΠΥ|ΠY|PY)($|[^A-ZΑ-Ω0-9])"),
+]
+PRESERVE = [IS_DRAWING, Wording(False, all=OFFER), Wording(True, any=tuple(ESSENTIAL))]
+# Whether a file is worth reading for prices by its own name (2: by that of its folder).
+PRICING_NAME = [Wording(0, any=IS_DRAWING.any, not_squeezed=BUDGET), Wording(1, all=OFFER), Wording(1, squeezed=PRICING_STRONG)]
 
 
-def drawing_signal(upper: Column) -> Column:
-    return ~strong_budget_signal(upper) & any_term(upper, [*DRAWING, *OTHER_STUDY])
+def _named(name: Column, document_type: Column) -> Column:
+    return upper_plain(F.concat_ws(" ", name, F.coalesce(document_type, F.lit(""))))
 
 
 def budget_priority(name: Column, document_type: Column) -> Column:
     """0/20/45/80/90: how surely a stand-alone file is the official budget."""
-    alone = ~F.translate(name, "\\", "/").contains("/")
-
-    def rate(upper: Column) -> Column:
-        strong, measured = strong_budget_signal(upper), upper.contains("ΠΡΟΜΕΤΡΗΣ")
-        return (
-            F.when(~alone | offer_signal(upper), 0).when(strong & measured, 90).when(strong, 80).when(measured, 45)
-            .when(weak_budget_signal(upper), 20).otherwise(0)
-        )
-
-    return let(upper_plain(F.concat_ws(" ", name, F.coalesce(document_type, F.lit("")))), rate)
+    inside = F.translate(name, "\\", "/").contains("/")
+    return F.when(inside, 0).otherwise(let(_named(name, document_type), lambda upper: first_value(upper, BUDGET_PRIORITY, 0)))
 
 
 def preserve_document(name: Column, document_type: Column) -> Column:
     """Keep the file until the deadline."""
     archive = F.lower(name).rlike(r"\.(zip|rar|7z)$") | (F.lower(F.coalesce(document_type, F.lit(""))) == "archive")
-    upper = upper_plain(F.concat_ws(" ", name, F.coalesce(document_type, F.lit(""))))
-    return ~archive & let(upper, lambda u: ~drawing_signal(u) & ~offer_signal(u) & any_term(u, ESSENTIAL))
+    return ~archive & let(_named(name, document_type), lambda upper: first_value(upper, PRESERVE, False))
 
 
 def pricing_candidate(name: Column) -> Column:
-    """Worth reading for priced lines."""
+    """Worth reading for priced lines. A file in a folder may have it from the folder's name."""
     path = F.translate(name, "\\", "/")
-    parent = upper_plain(F.regexp_extract(path, "^(.*)/[^/]*$", 1))
+    folder = upper_plain(F.regexp_extract(path, "^(.*)/[^/]*$", 1))
     suffix = F.lower(F.regexp_extract(name, r"(\.[^./\\]+)$", 1))
+    by_folder = let(folder, lambda upper: first_value(upper, [Wording(True, squeezed=PRICING_STRONG)], False))
 
-    def decide(leaf: Column) -> Column:
-        return (
-            F.when(drawing_signal(leaf), F.lit(False))
-            .when(offer_signal(leaf) | _either(leaf, PRICING_STRONG), F.lit(True))
-            .when(path.contains("/"), _either(parent, PRICING_STRONG))
-            .otherwise(_either(leaf, PRICING_BROAD))
-        )
+    def by_name(leaf: Column) -> Column:
+        broad = F.when(path.contains("/"), by_folder).otherwise(first_value(leaf, [Wording(True, squeezed=PRICING_BROAD)], False))
+        return let(first_value(leaf, PRICING_NAME, 2), lambda told: F.when(told < 2, told == 1).otherwise(broad))
 
-    signal = let(upper_plain(F.substring_index(path, "/", -1)), decide)
+    signal = let(upper_plain(F.substring_index(path, "/", -1)), by_name)
     return F.when(suffix.isin(".txt", ".text"), F.lit(True)).when(suffix != ".pdf", F.lit(False)).otherwise(signal)
 
 

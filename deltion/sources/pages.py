@@ -225,6 +225,7 @@ def extract_attachment_listing(df: DataFrame, xml: str, keep: Sequence[str], pat
     )
 
 
+# Addresses that are never documents, and wording of those that are.
 LINK_SKIP = "(?i)(facebook|twitter|instagram|youtube|linkedin|wp-content/themes|wp-json)"
 LINK_WANTED = "(?iu)(pdf|zip|docx?|xlsx?|prokir|diagon|tender|διαγωνισ|διακηρ|προκηρ|πρόσκλη|προσκλη|αποφασ|απόφασ)"
 
