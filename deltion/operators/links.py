@@ -8,12 +8,13 @@ before they are joined, so no group is gathered whole.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltion import vocab
-from deltion.functions.dates import deadline_instant
+from deltion.functions.dates import NO_DEADLINE, deadline_instant, sort_key
 from deltion.functions.numbers import compare_op, number_near
 from deltion.functions.text import clean, fold_chars, fold_term, let, norm_text, snippet, title_tokens, token_overlap, unnest
 from deltion.operators.ranking import dedupe_similar, top_evidence, top_per_key
@@ -177,6 +178,63 @@ def suppress_linked_duplicates(rows: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def row_facts(rows: DataFrame, dismissed: DataFrame, overrides: DataFrame, triage: DataFrame, links: DataFrame) -> DataFrame:
+    """K2: every row with what is known about its key, in one shuffle instead of a join per input.
+
+    Adds dismissed, ignored (D7), decision, confidence, keep, override_action, triage_hidden (D5) and verified_ids, the targets
+    of the row's verified edges.
+    """
+    parts = [
+        rows.select("row_key", F.struct(*[c for c in rows.columns if c != "row_key"]).alias("_row")), dismissed.select("row_key", F.lit(True).alias("_dismissed")),
+        overrides.select("row_key", "action"), triage.select("row_key", F.struct("decision", "confidence", "keep").alias("_label")),
+        links.filter(F.col("target_id").rlike(r"^\d+$")).select("row_key", "target_id"),
+    ]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    known = stacked.groupBy("row_key").agg(
+        F.first("_row", True).alias("_row"), F.coalesce(F.bool_or("_dismissed"), F.lit(False)).alias("dismissed"), F.max("action").alias("override_action"),
+        F.first("_label", True).alias("_label"), F.array_sort(F.collect_set("target_id")).alias("verified_ids"),
+    )
+    action = F.coalesce("override_action", F.lit(""))
+    kept = F.coalesce("_label.keep", F.lit(False)) | (action == "FORCE_KEEP")
+    return known.filter("_row is not null").select(
+        "row_key", "_row.*", "dismissed", "override_action", "verified_ids", "_label.decision", "_label.confidence", "_label.keep",
+        ((F.col("dismissed") | (action == "CONFIRM_DROP")) & (action != "FORCE_KEEP")).alias("ignored"), (F.col("_label.decision").isNotNull() & ~kept).alias("triage_hidden"),
+    )
+
+
+def resolve_targets(rows: DataFrame) -> DataFrame:
+    """K2: link status, duplicates, inbound links (D11) and linked deadline (D17) of `row_facts`, with one join on the target.
+
+    A resolved edge tells something about both its ends, so one aggregation by key serves rows and official rows alike.
+    """
+    none = F.array().cast("array<string>")
+    fields = F.struct("title", "deadline", "budget", "authority")
+    at = sort_key(F.col("deadline"))
+    official = rows.filter("official").select(
+        F.col("registry_id").alias("target_id"), F.col("row_key").alias("_official_key"), fields.alias("_official"), F.when(~F.col("ignored") & (at != NO_DEADLINE), at).alias("_at")
+    )
+    edges = rows.select("row_key", "official", fields.alias("_row"), "verified_ids", F.coalesce("linked_ids", none).alias("_linked"))
+    edges = edges.withColumn("target_id", F.explode(F.array_union("_linked", "verified_ids")))
+    verified, extracted = F.array_contains("verified_ids", F.col("target_id")), ~F.col("official") & F.array_contains("_linked", F.col("target_id"))
+    strong = extracted & strong_duplicate(F.col("_row"), F.col("_official"))
+    own = F.struct(F.col("row_key").alias("row_key"), F.col("target_id").alias("t"), verified.alias("v"), strong.alias("s"), F.when(extracted, F.col("_at")).alias("at"), F.lit(0).cast("long").alias("inbound"))
+    other = F.struct(F.col("_official_key").alias("row_key"), F.lit(None).cast("string").alias("t"), F.lit(False).alias("v"), F.lit(False).alias("s"), F.lit(None).cast("string").alias("at"), verified.cast("long").alias("inbound"))
+    facts = edges.join(official, "target_id").select(F.explode(F.array(own, other)).alias("_e")).select("_e.*").groupBy("row_key").agg(
+        F.bool_or("v").alias("_v_dup"), F.bool_or("s").alias("_s_dup"), F.min(F.when(F.col("v"), F.col("t"))).alias("_v_id"), F.min(F.when(F.col("s"), F.col("t"))).alias("_s_id"),
+        F.count_if(F.col("v") | F.col("s")).alias("_dups"), F.max("at").alias("linked_deadline"), F.sum("inbound").alias("inbound_links"),
+    )
+    hidden = ~F.col("official") & (F.coalesce("_v_dup", F.lit(False)) | F.coalesce("_s_dup", F.lit(False)))
+    status = (
+        F.when(F.col("official"), "OFFICIAL_ESHIDIS_ROW").when(F.col("_v_dup"), "REPLACED_BY_OFFICIAL_ESHIDIS").when(F.col("_s_dup"), "STRONG_LINKED_ESHIDIS_DUPLICATE")
+        .when(F.size("verified_ids") > 0, "VERIFIED_ESHIDIS_LINK_PENDING_OFFICIAL_ROW").otherwise("NO_VERIFIED_ESHIDIS_LINK")
+    )
+    return (
+        rows.join(facts, "row_key", "left").withColumn("link_status", status).withColumn("duplicate_hidden", hidden)
+        .withColumn("duplicate_of", F.when(hidden, F.coalesce("_v_id", "_s_id"))).withColumn("duplicate_count", F.when(hidden, F.col("_dups")).otherwise(0))
+        .withColumn("inbound_links", F.when(F.col("official"), F.coalesce("inbound_links", F.lit(0))).otherwise(0)).drop("_v_dup", "_s_dup", "_v_id", "_s_id", "_dups")
+    )
+
+
 # --- fuzzy match -----------------------------------------------------------------------------
 
 

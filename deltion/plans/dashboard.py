@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltion import vocab
-from deltion.functions.dates import NO_DEADLINE, display, sort_key
+from deltion.functions.dates import display, sort_key
 from deltion.functions.extract import identity, official_url
 from deltion.functions.text import fold_term, haystack, let, norm_text, snippet, unnest
 from deltion.operators import filters, links
@@ -41,18 +41,13 @@ class Inputs:
 
 def prepared(inp: Inputs) -> DataFrame:
     """K2: all rows with label, evidence, link status, effective deadline and place of interest."""
-    rows = links.attach_triage(inp.rows, inp.triage, inp.overrides, "row_key")
-    ignored = links.ignored_keys(inp.dismissed, inp.overrides, "row_key").withColumn("ignored", F.lit(True))
-    rows = rows.join(ignored, "row_key", "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
+    rows = links.row_facts(inp.rows, inp.dismissed, inp.overrides, inp.triage, inp.links)
     if inp.evidence is not None:
         rank = document_rank(F.col("name"), F.lit(""), F.size("linked_ids") > 0)
         rows = links.attach_document_evidence(rows, inp.evidence, rank, inp.evidence_documents)
     else:
         rows = rows.withColumn("document_evidence_count", F.lit(0).cast("long")).withColumn("evidence_deadline", F.lit(None).cast("string"))
-    rows = links.suppress_linked_duplicates(rows, inp.links)
-    edges = rows.filter("NOT official").select("row_key", F.explode("linked_ids").alias("registry_id"))
-    official = rows.filter(F.col("official") & ~F.col("ignored")).select("registry_id", sort_key(F.col("deadline")).alias("deadline_sort")).filter(F.col("deadline_sort") != NO_DEADLINE)
-    rows = rows.join(links.official_deadlines(official, edges), "row_key", "left")
+    rows = links.resolve_targets(rows)
     deadline = filters.effective_deadline(F.col("deadline"), F.col("linked_deadline"), F.col("evidence_deadline"))
     rows = rows.withColumn("effective_deadline", deadline)
     text = F.concat_ws(" ", "title", "authority", "place")
@@ -152,7 +147,7 @@ def hidden_audit(inp: Inputs, as_of: Column, fuzzy: bool = True, rows: DataFrame
     """
     rows = settle(prepared(inp)) if rows is None else rows
     forced = F.coalesce(F.col("override_action") == "FORCE_KEEP", F.lit(False))
-    dismissed = rows.join(inp.dismissed.select("row_key").distinct(), "row_key", "left_semi").filter(~forced)
+    dismissed = rows.filter("dismissed").filter(~forced)
     fields = ["row_key", "official_id", "title", "authority", "decision", "confidence", "override_action", "effective_deadline"]
 
     def listing(df: DataFrame, category: Column) -> DataFrame:
