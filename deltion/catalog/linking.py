@@ -119,8 +119,8 @@ def _(t: Tables):
     return left.join(right, "registry_id").select("row_key", links.strong_duplicate(F.col("l"), F.col("r")).alias("strong"))
 
 
-# Titles from the first words of documents; English ones are the official records.
-_FUZZY = """SELECT doc_id, CAST(doc_id AS STRING) AS id, lang = 'en' AND doc_id % 2 = 0 AS official, substr(text, 1, 60) AS title, CASE WHEN doc_id % 3 = 0 THEN source ELSE source || ' council' END AS authority, CASE WHEN doc_id % 5 = 0 THEN 'src' END AS place,
+# Titles are the first sentences of documents; English ones are the official records.
+_FUZZY = """SELECT doc_id, CAST(doc_id AS STRING) AS id, lang = 'en' AND doc_id % 2 = 0 AS official, split_part(text, '.', 1) AS title, CASE WHEN doc_id % 3 = 0 THEN source ELSE source || ' council' END AS authority, CASE WHEN doc_id % 5 = 0 THEN 'src' END AS place,
   CASE WHEN doc_id % 9 = 0 THEN CAST(doc_id - doc_id % 4 AS STRING) END AS linked_id, CAST(10000 + doc_id % 1000 AS STRING) AS deadline FROM {documents}"""
 _T4 = "list_distinct(regexp_extract_all({}, '[a-zα-ω0-9]{{4,}}'))"
 

@@ -139,11 +139,13 @@ _TOK = "list_distinct(regexp_extract_all({f}, '[a-zα-ω0-9]{{4,}}'))"
 
 
 @query("i12_tokens_overlap", f"""
-  WITH d AS (SELECT doc_id, lang, {_TOK.format(f=sql_fold("substr(text, 1, 300)"))} AS tok, {_TOK.format(f=sql_fold("substr(text, 200, 300)"))} AS tok2 FROM documents)
+  WITH d AS (SELECT doc_id, lang, {_TOK.format(f=sql_fold("substr(text, 1, length(text) // 2)"))} AS tok, {_TOK.format(f=sql_fold("substr(text, length(text) // 2 + 1)"))} AS tok2 FROM documents)
   SELECT doc_id, array_to_string(list_sort(tok), ' ') AS tokens,
     CASE WHEN least(len(tok), len(tok2)) > 0 THEN round(len(list_intersect(tok, tok2)) / least(len(tok), len(tok2)), 6) ELSE 0.0 END AS overlap FROM d""")
 def _(t: Tables):
-    docs = t.documents.select("doc_id", text.title_tokens(F.substring("text", 1, 300)).alias("tok"), text.title_tokens(F.substring("text", 200, 300)).alias("tok2"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
+    docs = t.documents.select("doc_id", text.title_tokens(first).alias("tok"), text.title_tokens(second).alias("tok2"))
     return docs.select("doc_id", F.array_join("tok", " ").alias("tokens"), F.round(text.token_overlap(F.col("tok"), F.col("tok2")), 6).alias("overlap"))
 
 
