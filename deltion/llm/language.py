@@ -135,11 +135,13 @@ def train(rows: list[tuple[str, str]], settings: Settings) -> Model:
 def training_rows(docs: DataFrame, settings: Settings) -> DataFrame:
     """(text, lang): for every language the `docs_per_language` documents with the smallest hashes of doc_id.
 
-    The rank is cut to that number in every map task before the shuffle, so a frequent language costs no more.
+    Only ids are ranked, cut to that number in every map task before the shuffle, so a frequent language costs no more; the
+    chosen ones, which that number and the languages bound, are broadcast to fetch the texts.
     """
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return usable.withColumn("_rank", rank).where(F.col("_rank") <= settings.docs_per_language).select("text", "lang")
+    chosen = usable.select("doc_id", "lang").withColumn("_rank", rank).where(F.col("_rank") <= settings.docs_per_language).select("doc_id", "lang").distinct()
+    return usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang")
 
 
 def fit(docs: DataFrame, settings: Settings | None = None) -> Model:

@@ -32,13 +32,13 @@ RECORD_FIELDS = "path string, offset long, record_type string, page_id long, uri
 
 
 def with_record_types(pages: DataFrame) -> DataFrame:
-    """Add payload_sha1 (hex) and refers_to: the smallest page_id with the same payload, null on that page itself.
+    """page_id, url, html with payload_sha1 (hex) and refers_to: the smallest page_id with the same payload, null on that page itself.
 
     Only digests and ids are gathered; a digest with a third of all rows is summed up before the shuffle, and the join
     back is a plain equi-join that adaptive execution can split. Rows that repeat the smallest id are all responses,
     and so are rows without an id and copies of which none has an id.
     """
-    pages = pages.withColumn("payload_sha1", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
+    pages = pages.select("page_id", "url", "html").withColumn("payload_sha1", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
     first = pages.groupBy("payload_sha1").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_sha1", "first_id")
     return pages.join(first, "payload_sha1", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id"))).drop("first_id")
 
