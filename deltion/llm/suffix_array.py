@@ -21,7 +21,7 @@ def _ranks(groups: np.ndarray) -> np.ndarray:
 
 def _induce(s: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All suffixes in order, given the leftmost smaller ones in theirs."""
-    out = np.full(len(s), -1, np.int64)
+    out = np.full(len(s), -1, np.int32)
     chars = s[leftmost]
     order = np.argsort(chars, kind="stable")
     chars = chars[order]
@@ -65,11 +65,11 @@ def _sorted_suffixes(s: np.ndarray, size: int) -> np.ndarray:
     """Suffix array of `s`, whose last symbol is its only 0; symbols are below `size`."""
     n = len(s)
     if n == 1:
-        return np.zeros(1, np.int64)
-    step = np.sign(np.diff(s.astype(np.int64)))
-    change = np.where(step != 0, np.arange(n - 1), n)
+        return np.zeros(1, np.int32)
+    step = (s[1:] > s[:-1]).astype(np.int8) - (s[1:] < s[:-1]).astype(np.int8)
+    change = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n))
     smaller = np.append(step[np.minimum.accumulate(change[::-1])[::-1]] > 0, True)
-    leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    leftmost = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     ends = np.cumsum(np.bincount(s, minlength=size))
     starts = np.concatenate([[0], ends[:-1]])
     order = _induce(s, smaller, leftmost, starts, ends)
@@ -77,7 +77,7 @@ def _sorted_suffixes(s: np.ndarray, size: int) -> np.ndarray:
     is_leftmost[leftmost] = True
     by_substring = order[is_leftmost[order]]
 
-    length = np.zeros(n, np.int64)  # up to and with the next leftmost smaller suffix
+    length = np.zeros(n, np.int32)  # up to and with the next leftmost smaller suffix
     length[leftmost] = np.append(np.diff(leftmost), 0) + 1
     a, b = by_substring[:-1], by_substring[1:]
     same = length[a] == length[b]
@@ -90,7 +90,7 @@ def _sorted_suffixes(s: np.ndarray, size: int) -> np.ndarray:
     names = np.concatenate([[0], np.cumsum(~same)])
     count = int(names[-1]) + 1
     if count < len(leftmost):
-        place = np.zeros(n, np.int64)
+        place = np.zeros(n, np.int32)
         place[by_substring] = names
         reduced = place[leftmost]
         if count <= DIGITS:

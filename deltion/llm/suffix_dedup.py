@@ -22,6 +22,7 @@ from deltion.llm.suffix_array import common_prefixes, suffix_array
 GRAM = 24
 NO_ID = (1 << 63) - 1  # a null id comes after all others
 PIECE = 2_000_000  # bytes of a document that are hashed at a time
+COMBINED = 200_000  # runs among which equal contexts are settled before the shuffle
 SHARD = 4_000_000  # bytes of contexts in one suffix array
 WIDE = 4096  # contexts of one anchor from which on windows are settled one by one
 SAMPLE_DOCS = 4000  # documents in which frequent anchors are looked for; they only decide how rows are dealt
@@ -108,31 +109,35 @@ def _first_of_equal(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.nda
 
 
 def document_runs(docs: DataFrame, length: int, frequent: frozenset[int]) -> DataFrame:
-    """Runs of all documents, without those whose context is in the same batch before, which are settled."""
+    """Runs of all documents, without those whose context a task has seen shortly before, which are settled."""
     import xxhash
 
     def work(batches):
         for batch in batches:
             columns: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for doc, version, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            held, last_row = 0, batch.num_rows - 1
+            for row, (doc, version, text) in enumerate(zip(*batch.columns, strict=True)):
                 data = text.as_py().encode()
                 gram, first, last = runs(data, length, GRAM)
                 context = np.array([xxhash.xxh3_64_intdigest(data[a:z]) for a, z in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64).view(np.int64)
                 hot = np.isin(gram, hot_grams)
                 for column, values in zip(columns, (gram, context, np.full(len(gram), doc.as_py()), np.full(len(gram), version.as_py()), first << 13 | (last - first + length) << 1 | hot), strict=True):
                     column.append(values)
-            if not columns[0]:
-                continue
-            gram, context, doc, version, span = (np.concatenate(c) for c in columns)
-            order = np.lexsort((span, doc, context, gram))
-            gram, context, doc, version, span = (x[order] for x in (gram, context, doc, version, span))
-            start = span >> 13
-            keep = _first_of_equal((gram, context), doc, start)
-            yield _batch(RUN, *(x[keep] for x in (gram, context, doc, version, span)))
-            gone = ~keep
-            if gone.any():
-                d, v, s, e = _settled(doc[gone], version[gone], start[gone], start[gone] + (span[gone] >> 1 & 4095))
-                yield _batch(RUN, s, e, d, v, np.zeros(len(d), np.int64))
+                held += len(gram)
+                if held >= COMBINED or row == last_row and held:
+                    yield from combined(*(np.concatenate(c) for c in columns))
+                    columns, held = [[] for _ in range(5)], 0
+
+    def combined(gram, context, doc, version, span):
+        order = np.lexsort((span, doc, context, gram))
+        gram, context, doc, version, span = (x[order] for x in (gram, context, doc, version, span))
+        start = span >> 13
+        keep = _first_of_equal((gram, context), doc, start)
+        yield _batch(RUN, *(x[keep] for x in (gram, context, doc, version, span)))
+        gone = ~keep
+        if gone.any():
+            d, v, s, e = _settled(doc[gone], version[gone], start[gone], start[gone] + (span[gone] >> 1 & 4095))
+            yield _batch(RUN, s, e, d, v, np.zeros(len(d), np.int64))
 
     hot_grams = np.array(sorted(frequent), np.int64)
     return docs.mapInArrow(work, RUN_FIELDS)
@@ -160,30 +165,28 @@ def frequent_grams(docs: DataFrame, length: int) -> frozenset[int]:
     return frozenset(r.gram for r in found)
 
 
-FOUND = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("gram", pa.int64()), ("wide", pa.bool_())])
-FOUND_FIELDS = "doc long, version long, start long, end long, gram long, wide boolean"
+FOUND = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("gram", pa.int64())])
+FOUND_FIELDS = "doc long, version long, start long, end long, gram long"
 
 
 def compare_runs(rows: DataFrame) -> DataFrame:
-    """Settle equal contexts; leave those that share an anchor and differ (gram not null) to a closer look.
+    """Settle equal contexts; leave those that share an anchor and differ, or may do so, to a closer look (gram not null).
 
     A task streams through its anchors in order. It holds the contexts of one anchor, WIDE of them at most.
     """
 
-    def out(doc, version, start, end, gram=None, wide=False):
-        n = len(doc)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, version, start, end)] + [pa.nulls(n, pa.int64()) if gram is None else pa.array(gram, pa.int64()), pa.array(np.broadcast_to(wide, n), pa.bool_())], schema=FOUND)
+    def out(doc, version, start, end, gram=None):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, version, start, end)] + [pa.nulls(len(doc), pa.int64()) if gram is None else pa.array(gram, pa.int64())], schema=FOUND)
 
     def work(batches):
         at, context_at, owner = None, None, (0, 0)  # anchor and context that the last batch ended in, and its first place
         held: list[tuple[np.ndarray, ...]] = []  # doc, version, span of the contexts of that anchor
-        contexts, wide = 0, False
+        contexts = 0
 
-        def closer(parts, contexts, wide):
+        def closer(parts, contexts):
             doc, version, span = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if contexts > 1 or wide or (span & 1).any():
-                start = span >> 13
-                yield out(doc, version, start, start + (span >> 1 & 4095), np.full(len(doc), at), wide or contexts > WIDE or bool((span & 1).any()))
+            if contexts > 1 or (span & 1).any():
+                yield out(doc, version, span >> 13, (span >> 13) + (span >> 1 & 4095), np.full(len(doc), at))
 
         for batch in batches:
             gram, context, doc, version, span = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -194,6 +197,7 @@ def compare_runs(rows: DataFrame) -> DataFrame:
             if not len(gram):
                 continue
             start = span >> 13
+            end = start + (span >> 1 & 4095)
             new_gram = np.concatenate([[gram[0] != at], gram[1:] != gram[:-1]])
             new = new_gram | np.concatenate([[context[0] != context_at], context[1:] != context[:-1]])
             head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), -1))
@@ -201,34 +205,30 @@ def compare_runs(rows: DataFrame) -> DataFrame:
             first_start = np.where(head < 0, owner[1], start[head])
             gone = (doc != first_doc) | (start != first_start)
             if gone.any():
-                yield out(*_settled(doc[gone], version[gone], start[gone], start[gone] + (span[gone] >> 1 & 4095)))
+                yield out(*_settled(doc[gone], version[gone], start[gone], end[gone]))
             owner, context_at = (first_doc[-1], first_start[-1]), context[-1]
-            edges = np.append(np.flatnonzero(new_gram), len(gram))
-            cut = np.concatenate([[0], edges]) if edges[0] > 0 else edges
             # Anchors that begin and end in this batch, all at once.
-            kept, number = np.flatnonzero(~gone), np.cumsum(new_gram)
-            inner = (number[kept] > 0) & (number[kept] < number[-1])
-            several = np.bincount(number, weights=new, minlength=number[-1] + 1)
+            number = np.cumsum(new_gram)
+            several = np.bincount(number, weights=new, minlength=number[-1] + 1) > 1
             frequent = np.bincount(number, weights=span & 1, minlength=number[-1] + 1) > 0
-            pick = kept[inner]
-            pick = pick[(several[number[pick]] > 1) | frequent[number[pick]]]
+            pick = np.flatnonzero(~gone & (number > 0) & (number < number[-1]) & (several | frequent)[number])
             if len(pick):
-                yield out(doc[pick], version[pick], start[pick], start[pick] + (span[pick] >> 1 & 4095), gram[pick], (several[number[pick]] > WIDE) | frequent[number[pick]])
+                yield out(doc[pick], version[pick], start[pick], end[pick], gram[pick])
             # The anchor that the last batch ended in, and the one that this batch ends in.
-            for a, z in ([(cut[0], cut[1])] if number[0] == 0 else []) + ([(cut[-2], cut[-1])] if number[-1] > 0 else []):
-                if gram[a] != at or at is None:
+            for n in sorted({0, int(number[-1])} & {int(number[0]), int(number[-1])}):
+                here = np.flatnonzero(number == n)
+                if at is None or gram[here[0]] != at:
                     if held:
-                        yield from closer(held, contexts, wide)
-                    held, contexts, wide, at = [], 0, False, gram[a]
-                here = np.arange(a, z)[~gone[a:z]]
+                        yield from closer(held, contexts)
+                    held, contexts, at = [], 0, gram[here[0]]
+                contexts += int(new[here].sum())
+                here = here[~gone[here]]
                 held.append((doc[here], version[here], span[here]))
-                contexts += int(new[a:z].sum())
-                if contexts > WIDE or wide:
-                    wide = True
-                    yield from closer(held, contexts, wide)
+                if contexts > WIDE:
+                    yield from closer(held, contexts)
                     held = []
         if held:
-            yield from closer(held, contexts, wide)
+            yield from closer(held, contexts)
 
     return rows.mapInArrow(work, FOUND_FIELDS)
 
@@ -263,21 +263,56 @@ def cut_contexts(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(work, "gram long, doc long, version long, start long, bytes binary")
 
 
+def trimmed(contexts: list[bytes], length: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(number, bytes, offset) of the contexts from their first window to their last whose hash the shard has twice."""
+    keys, portion, size = [], [], 0
+    for k, context in enumerate(contexts):
+        portion.append(context)
+        size += len(context)
+        if size >= PIECE // 4 or k == len(contexts) - 1:
+            sizes = np.array([len(c) for c in portion])
+            inside = np.repeat(np.cumsum(sizes) - np.cumsum(sizes - length + 1), sizes - length + 1) - np.repeat(sizes - (sizes - length + 1), sizes - length + 1)
+            at = np.arange(len(inside)) + inside
+            keys.append(gram_hashes(np.frombuffer(b"".join(portion), np.uint8), length)[at])
+            portion, size = [], 0
+    key = np.concatenate(keys)
+    windows = np.array([len(c) - length + 1 for c in contexts])
+    owner = np.repeat(np.arange(len(contexts)), windows)
+    offset = np.arange(len(key)) - np.repeat(np.cumsum(windows) - windows, windows)
+    order = np.argsort(key)
+    equal = np.concatenate([[False], key[order][1:] == key[order][:-1], [False]])
+    twice = np.sort(order[equal[1:] | equal[:-1]])
+    if not len(twice):
+        return twice, [], twice
+    own, first = np.unique(owner[twice], return_index=True)
+    low, high = offset[twice][first], offset[twice][np.append(first[1:], len(twice)) - 1]
+    return own, [contexts[k][a : z + length] for k, a, z in zip(own.tolist(), low.tolist(), high.tolist(), strict=True)], low
+
+
 def repeated_windows(contexts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, offset) of the windows of a shard that are equal to one at a smaller doc or start, by its suffix array."""
+    """(context, offset) of the windows of a shard that are equal to one at a smaller doc or start, by its suffix array.
+
+    Bytes that no repeated hash touches are left out first: they cannot be part of an equal window.
+    """
+    number, contexts, low = trimmed(contexts, length)
+    if not len(number):
+        return number, number
+    doc, start = doc[number], start[number] + low
     sizes = np.array([len(c) for c in contexts])
     text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
     base = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    symbols = text.astype(np.int64) + 1
+    symbols = text.astype(np.int16) + 1
     symbols[base + sizes] = 0
-    owner = np.repeat(np.arange(len(contexts)), sizes + 1)
-    offset = np.arange(len(text)) - base[owner]
+    owner = np.repeat(np.arange(len(contexts), dtype=np.int32), sizes + 1)
+    offset = (np.arange(len(text)) - base[owner]).astype(np.int32)
     order = suffix_array(symbols)
     order = order[offset[order] <= sizes[owner[order]] - length]
     group = np.cumsum(common_prefixes(text, order, length) < length)
-    order = order[np.lexsort((start[owner[order]] + offset[order], doc[owner[order]], group))]
-    first = _first_of_equal((group,), doc[owner[order]], start[owner[order]] + offset[order])
-    return owner[order][~first], offset[order][~first]
+    owner, offset = owner[order], offset[order]
+    order = np.lexsort((start[owner] + offset, doc[owner], group))
+    owner, offset, group = owner[order], offset[order], group[order]
+    first = _first_of_equal((group,), doc[owner], start[owner] + offset)
+    return number[owner[~first]], offset[~first] + low[owner[~first]]
 
 
 def settle_shards(windows: DataFrame, length: int) -> DataFrame:
@@ -343,7 +378,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_column: str = "doc_id"
     cell = F.when(F.col("span") == 0, F.xxhash64("doc", "gram")).when(F.col("span") % 2 == 1, F.xxhash64("gram", "context")).otherwise(F.col("gram"))
     dealt = rows.repartition(partitions, cell).sortWithinPartitions("gram", "context", "doc", "span")
     found = settle(compare_runs(dealt), "suffix-runs")
-    places = found.where(F.col("gram").isNotNull()).groupBy("doc", "version").agg(F.collect_list(F.struct("start", "end", "gram", "wide")).alias("places"))
+    unclear = found.where(F.col("gram").isNotNull())
+    # An anchor that was dealt by context may have one context only, and many are too many for one shard.
+    several = unclear.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("gram", (F.col("contexts") > WIDE).alias("wide"))
+    places = unclear.join(several, "gram").groupBy("doc", "version").agg(F.collect_list(F.struct("start", "end", "gram", "wide")).alias("places"))
     contexts = cut_contexts(long.join(places, ["doc", "version"]).select("doc", "version", "text", "places"), length)
     sharded = contexts.repartition(partitions, F.col("gram")).sortWithinPartitions("gram", "bytes", "doc", "start")
     more = settle_shards(sharded, length)

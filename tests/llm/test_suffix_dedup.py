@@ -58,7 +58,7 @@ def test_query_equals_brute_force(spark, tmp_path):
     assert op7_suffix_dedup(spark, write(spark, tmp_path / "e")).collect() == []
 
 
-@pytest.mark.parametrize("changes", [{"WIDE": 2}, {"SHARD": 2000}, {"PIECE": 150}, {"SAMPLE_DOCS": 100}, {"WIDE": 0}])
+@pytest.mark.parametrize("changes", [{"WIDE": 2}, {"SHARD": 2000}, {"PIECE": 150}, {"SAMPLE_DOCS": 100}, {"WIDE": 1}, {"COMBINED": 5}])
 def test_any_cut_gives_the_same(spark, monkeypatch, changes):
     for name, value in changes.items():
         monkeypatch.setattr(suffix_dedup, name, value)
