@@ -6,6 +6,9 @@ fingerprints are sorted by Gray rank, where neighbours differ in few bits, and s
 that all fingerprints below it share and its ancestors do not hold. A search adds up the differences from the top and
 drops a whole subtree once they exceed d. A cell gives a spanning star of each of its groups, not its pairs; stars of
 different cells are joined by alternating large-star and small-star steps.
+
+`one_of_each` removes rows, so it takes links only as candidates: they are pairs of rows there, each compared by the Jaccard
+similarity of its distinct shingles before groups are made.
 """
 
 from __future__ import annotations
@@ -53,6 +56,60 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", t
     return docs.select(id_column, text_column).mapInArrow(work, f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, fp long")
 
 
+def shingle_set(data: bytes, shingle: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of a text, cut into words as `fingerprint` does; fewer words are one shingle."""
+    import xxhash
+
+    words, digest = data.lower().split(), xxhash.xxh64_intdigest
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.unique(np.fromiter((digest(b" ".join(words[k : k + shingle]), SEED) for k in range(n)), np.uint64, n))
+
+
+def set_fingerprint(hashes: np.ndarray, chunk: int = 65_536) -> int:
+    """64-bit SimHash of distinct shingles as a signed integer; 0 without any."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), chunk):
+        ones += np.unpackbits(hashes[k : k + chunk].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return signed(int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big"))
+
+
+def shingle_sets(docs: DataFrame, shingle: int, id_column: str, text_column: str) -> DataFrame:
+    """(id, digest, fp, members) of every row. Rows with equal shingles have the same digest; members are their hashes in 32 bits."""
+    import xxhash
+
+    def work(batches):
+        for batch in batches:
+            digests, fps, members = [], [], []
+            for text in batch.column(1):
+                hashes = shingle_set((text.as_py() or "").encode(), shingle)
+                digests.append(signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)))
+                fps.append(set_fingerprint(hashes))
+                members.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes())
+            columns = [pa.array(digests, pa.int64()), pa.array(fps, pa.int64()), pa.array(members, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_column, "digest", "fp", "members"])
+
+    return docs.select(id_column, text_column).mapInArrow(work, f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, digest long, fp long, members binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of digests whose sets have at least this Jaccard similarity; `sets` has (digest, members) once for each."""
+
+    def work(batches):
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(m.as_py(), np.uint32) for m in (x, y))
+                both = 0
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    merged = np.sort(np.concatenate([x, y]), kind="stable")
+                    both = int((merged[1:] == merged[:-1]).sum())
+                near.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    one, other = (sets.select(F.col("digest").alias(c), F.col("members").alias(f"members_{c}")) for c in ("a", "b"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "members_a", "members_b").mapInArrow(work, "a long, b long")
+
+
 def blocks_of(free: list[int], parts: int) -> list[int]:
     """Masks of `parts` blocks of about equal size over the free bit positions."""
     cuts = [len(free) * i // parts for i in range(parts + 1)]
@@ -150,8 +207,31 @@ def stars(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return own[value[label] != own], value[label][value[label] != own]
 
 
-def cell_links(cells: DataFrame, distance: int, partitions: int) -> DataFrame:
-    """Star edges (a, b), a > b, of all cells. Cells are small here, and a task streams through its own."""
+def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (larger, smaller) of the cell that hold its groups together: a spanning forest of pairs within `distance`."""
+    index = GrayIndex(fps)
+    own, label, found = index.fps.view(np.int64), np.arange(len(fps)), []
+    for i, j in index.links(distance):
+        while True:
+            a, b = label[i], label[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, low, high = i[apart], j[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            # Each root is hung below a smaller one by one link, which stays.
+            chosen = np.unique(high, return_index=True)[1]
+            found.append((i[chosen], j[chosen]))
+            root = np.arange(len(own))
+            root[high[chosen]] = low[chosen]
+            while (root[root] != root).any():
+                root = root[root]
+            label = root[label]
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    return np.maximum(own[i], own[j]), np.minimum(own[i], own[j])
+
+
+def cell_links(cells: DataFrame, distance: int, partitions: int, edges_of=stars) -> DataFrame:
+    """Edges (a, b), a > b, of all cells as `edges_of` gives them. Cells are small here, and a task streams through its own."""
 
     def work(batches):
         held: list[np.ndarray] = []
@@ -160,7 +240,7 @@ def cell_links(cells: DataFrame, distance: int, partitions: int) -> DataFrame:
         def emit(parts: list[np.ndarray]):
             fps = np.unique(np.concatenate(parts))
             if len(fps) > 1:
-                yield stars(fps, distance)
+                yield edges_of(fps, distance)
 
         def pack(found):
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -189,7 +269,7 @@ def cell_links(cells: DataFrame, distance: int, partitions: int) -> DataFrame:
     return dealt.select("mask", "value", "fp").mapInArrow(work, "a long, b long")
 
 
-def links(fps: DataFrame, distance: int) -> DataFrame:
+def links(fps: DataFrame, distance: int, edges_of=stars) -> DataFrame:
     """Edges (a, b), a > b, that connect the distinct fingerprints (fp) as links of at most `distance` bits do.
 
     Cells of more than CELL fingerprints are cut again, by one level for all of them at a time. A cell has each fingerprint
@@ -204,7 +284,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     while True:
         large = settle(cells.groupBy("mask", "value").count().where(F.col("count") > CELL).select("mask", "value"), "simhash-large")
         last = large.isEmpty()
-        out.append(cell_links(cells if last else cells.join(large, ["mask", "value"], "left_anti"), distance, partitions))
+        out.append(cell_links(cells if last else cells.join(large, ["mask", "value"], "left_anti"), distance, partitions, edges_of))
         if last:
             break
         cells = settle(cut(cells.join(large, ["mask", "value"], "left_semi"), distance).distinct(), "simhash-cells")
@@ -254,14 +334,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col
     return rows.join(by_fp, "fp").select(id_column, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def fingerprint_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of digests to compare: those of one fingerprint with its smallest, and the smallest of fingerprints that are linked."""
+    by_fp = settle(nodes.groupBy("fp").agg(F.min("digest").alias("least")), "simhash-nodes")
+    same = nodes.join(by_fp, "fp").select(F.col("digest").alias("a"), F.col("least").alias("b"))
+    ends = [by_fp.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in ("a", "b")]
+    linked = links(by_fp.select("fp"), distance, forest).join(ends[0], "a").join(ends[1], "b")
+    return same.unionByName(linked.select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 7, id_column: str = "doc_id", text_column: str = "text", similarity: float = 0.8) -> DataFrame:
     """The rows with the smallest id of their group, all columns kept; a row that is there twice stays once.
 
-    Rows without an id come after those with one. The defaults take fingerprints of five-word shingles within 7 of 64
-    bits: a cosine of at least cos(7/64 pi) = 0.94 between the shingle counts, which is a similarity of 0.8 or more.
+    Rows without an id come after those with one. Groups are what pairs of at least `similarity` connect, the Jaccard
+    similarity of their distinct shingles. Pairs to compare come from fingerprints of distinct shingles within `distance`
+    bits. Rows with equal shingles are one node throughout; null and empty texts are equal.
     """
     key = F.struct(F.col(id_column).isNull().alias("n"), F.col(id_column).alias("i"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("t"))
-    groups = near_duplicates(docs.select(key.alias("_key"), F.col(text_column).alias("_text")), shingle, distance, "_key", "_text")
-    kept = groups.select(F.col("component_id").alias("_key")).distinct()
+    rows = settle(shingle_sets(docs.select(key.alias("_key"), F.col(text_column).alias("_text")), shingle, "_key", "_text"), "shingle-sets")
+    nodes = settle(rows.groupBy("digest", "fp").agg(F.min("_key").alias("_key")), "shingle-nodes")
+    pairs = fingerprint_pairs(nodes, distance)
+    pairs = settle(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "simhash-pairs")
+    compared = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    sets = settle(rows.join(compared, "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), "compared-sets")
+    roots = components(similar(pairs, sets, similarity))
+    placed = nodes.join(roots, nodes["digest"] == roots["node"], "left").select("_key", F.coalesce("root", "digest").alias("root"))
+    kept = placed.groupBy("root").agg(F.min("_key").alias("_key")).select("_key")
     rows = docs.withColumn("_key", key).join(kept, "_key", "left_semi")
     return rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_copy = 1").drop("_key", "_copy")

@@ -91,3 +91,29 @@ def test_large_cells_are_cut_again(spark, monkeypatch):
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(500, 400)], "a long, b long")
     assert {(r.node, r.root) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 201)} | {(500, 400)}
+
+
+def jaccard(a, b, k=5):
+    one, other = ({tuple(t.split()[i : i + k]) for i in range(max(1, len(t.split()) - k + 1))} for t in (a, b))
+    return len(one & other) / len(one | other)
+
+
+def test_forest_connects_as_links_do():
+    for n, distance in ((2, 2), (700, 2), (1500, 5)):
+        fps = clustered(n, n)
+        edges = list(zip(*(x.tolist() for x in simhash.forest(np.array(fps, np.uint64), distance)), strict=True))
+        assert all(a > b and ((a ^ b) & (1 << 64) - 1).bit_count() <= distance for a, b in edges)
+        groups = set(brute_components({f: [f] for f in fps}, distance).values())
+        assert len(edges) == n - len(groups)  # as many as a spanning forest has
+
+
+def test_a_repeated_line_does_not_make_copies(spark):
+    rng = random.Random(3)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line = " home products news about contact" * 60
+    docs = [(i, own(240) + line) for i in range(40)] + [(100, None), (101, ""), (102, "One"), (103, "one")]
+    text = own(300).split()
+    docs += [(200, " ".join(text)), (201, " ".join([*text[:290], *own(10).split()]))]
+    assert jaccard(docs[0][1], docs[1][1]) < 0.03 and jaccard(docs[-2][1], docs[-1][1]) > 0.9
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == {*range(40), 100, 102, 200}
