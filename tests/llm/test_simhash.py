@@ -117,3 +117,15 @@ def test_a_repeated_line_does_not_make_copies(spark):
     assert jaccard(docs[0][1], docs[1][1]) < 0.03 and jaccard(docs[-2][1], docs[-1][1]) > 0.9
     kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert kept == {*range(40), 100, 102, 200}
+
+
+def test_copies_at_a_similarity_of_four_fifths_meet(spark):
+    rng, docs, pairs = random.Random(5), [], []
+    while len(pairs) < 120:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(80, 400))]
+        changed = [w if rng.random() > 0.03 else f"x{rng.randrange(10**6)}" for w in words]
+        if 0.8 <= jaccard(" ".join(words), " ".join(changed)) < 0.85:
+            pairs.append((len(docs), len(docs) + 1))
+            docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join(changed))]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {a for a, _ in pairs} <= kept and sum(b not in kept for _, b in pairs) >= 0.95 * len(pairs)
