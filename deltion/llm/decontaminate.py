@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +22,11 @@ from deltion.llm.shared import settle
 class Settings:
     features: int = 1 << 14  # hashed words
     passage: int = 64  # words of a passage in the sketch
-    sketch: int = 96  # columns of the sketch
-    rank: int = 48  # dimensions of the latent space
+    sketch: int = 192  # columns of the sketch
+    rank: int = 96  # dimensions of the latent space
     skipped: int = 5  # leading dimensions left out: they only tell what all texts have in common
     block: int = 8  # words between the starts of two windows
-    min_cosine: float = 0.5
+    min_cosine: float = 0.4
     min_overlap: float = 0.5  # share of an item's words that must be around a candidate
     near_exact: float = 0.85  # share of an item found in order that is enough by itself
     paraphrase: float = 0.6  # share that is enough if the answer is found too
@@ -45,6 +44,11 @@ FACTOR = 0x9E3779B97F4A7C15
 VALUES = np.random.default_rng(21).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ hashes >> np.uint64(32)) * np.uint64(FACTOR)
+    return hashes ^ hashes >> np.uint64(29)
+
+
 class Words:
     """Hashes of the words of many texts at once."""
 
@@ -71,10 +75,7 @@ class Words:
         starts, ends = edge[::2], edge[1::2]
         self.powers(len(data))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUES[folded] * self.up[: len(data)])])
-        hashes = (sums[ends] - sums[starts]) * self.down[starts]
-        hashes ^= hashes >> np.uint64(32)
-        hashes *= np.uint64(FACTOR)
-        hashes ^= hashes >> np.uint64(29)
+        hashes = mixed((sums[ends] - sums[starts]) * self.down[starts])
         cuts = np.cumsum([len(t) + 1 for t in texts])
         return hashes, np.diff(np.concatenate([[0], np.searchsorted(starts, cuts)]))
 
@@ -96,13 +97,13 @@ def portions(texts, most: int = 1_000_000):
 def sketch(docs: DataFrame, settings: Settings, text_column: str = "text") -> tuple[np.ndarray, np.ndarray, int]:
     """(passages with each feature, sketch of features by columns, number of passages) over all passages of all documents.
 
-    Every passage is added, with a random sign, to one column of the sketch. A task adds up what it reads; the sums are
+    Every passage is added to one column of the sketch, with a sign; both are drawn by a hash of its words. A task adds up what it reads; the sums are
     added in slices, and the driver gets one matrix whose size the settings bound.
     """
     d, width, slices = settings.features, settings.sketch + 1, 32
 
     def work(batches):
-        words, total, passages, seed = Words(), np.zeros((d, width), np.float64), 0, np.random.default_rng(TaskContext.get().partitionId())
+        words, total, passages = Words(), np.zeros((d, width), np.float64), 0
         for batch in batches:
             for _, texts in portions(batch.column(0)):
                 hashes, counts = words.split(texts)
@@ -117,8 +118,9 @@ def sketch(docs: DataFrame, settings: Settings, text_column: str = "text") -> tu
                 matrix = np.sort(matrix.reshape(-1, settings.passage), axis=1)
                 first = matrix < d
                 first[:, 1:] &= matrix[:, 1:] != matrix[:, :-1]
-                column = seed.integers(0, settings.sketch, len(matrix))
-                sign = seed.choice(np.array([-1.0, 1.0]), len(matrix))
+                drawn = mixed(np.where(first, VALUES[matrix & 255] * (matrix.astype(np.uint64) + np.uint64(1)), 0).sum(1, dtype=np.uint64))
+                column = (drawn >> np.uint64(33)).astype(np.int64) % settings.sketch
+                sign = np.where(drawn & np.uint64(1), 1.0, -1.0)
                 where = matrix.astype(np.int64) * width + column[:, None]
                 total += np.bincount(where[first], np.broadcast_to(sign[:, None], first.shape)[first], (d + 1) * width)[: d * width].reshape(d, width)
                 total[:, -1] += np.bincount(matrix[first], minlength=d)[:d]
@@ -164,6 +166,7 @@ class Items:
     whole: list[bool] = field(default_factory=list)  # common words are compared too
     answers: list[dict[int, int]] = field(default_factory=list)
     answer_words: list[int] = field(default_factory=list)
+    reach: list[int] = field(default_factory=list)  # words around a candidate that are compared
     by_length: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # window: item numbers, unit vectors
     masks: list[dict[int, int]] = field(default_factory=list)  # word: its places in the item as bits
 
@@ -175,6 +178,14 @@ def scale_of(words: int, settings: Settings) -> int:
     return scale
 
 
+def window_of(words: int, settings: Settings) -> int:
+    """The shortest window that holds so many words; windows are whole blocks, at most a quarter or one block apart."""
+    window = 2 * settings.block
+    while window < words:
+        window = settings.block * max(window // settings.block + 1, int(1.25 * window) // settings.block)
+    return window
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
@@ -193,7 +204,7 @@ def places_of(words: np.ndarray) -> dict[int, int]:
 
 def prepare(rows: list, space: Space, settings: Settings) -> Items:
     """Items with at least one word, with their latent vectors by the window length they are searched with."""
-    items, split, scales, vectors = Items(), Words(), [], []
+    items, split, windows, vectors = Items(), Words(), [], []
     for item_id, text, answer in rows:
         words = split.split([(text or "").encode()])[0]
         if not len(words):
@@ -210,11 +221,12 @@ def prepare(rows: list, space: Space, settings: Settings) -> Items:
         items.masks.append(places_of(items.words[-1]))
         items.answers.append(places_of(own))
         items.answer_words.append(len(own))
-        scales.append(scale_of(len(words), settings))
+        items.reach.append(scale_of(len(words), settings))
+        windows.append(window_of(len(words), settings))
         vectors.append(space.vectors[feature_of(words, settings)].sum(0))
-    for scale in sorted(set(scales)):
-        chosen = np.flatnonzero(np.array(scales) == scale)
-        items.by_length[scale] = (chosen, unit(np.stack([vectors[i] for i in chosen])))
+    for window in sorted(set(windows)):
+        chosen = np.flatnonzero(np.array(windows) == window)
+        items.by_length[window] = (chosen, unit(np.stack([vectors[i] for i in chosen])))
     return items
 
 
@@ -245,16 +257,16 @@ def candidates(hashes: np.ndarray, counts: np.ndarray, space: Space, items: Item
     owner = np.repeat(np.arange(len(counts)), blocks)
     end_of = np.repeat(first_block + blocks, blocks)
     at = np.arange(len(features))
-    for scale, (numbers, vectors) in items.by_length.items():
+    for window, (numbers, vectors) in items.by_length.items():
         # A window that would start inside the last one of its document, and end with it, adds nothing.
-        starts = at[(at == first_block[owner]) | (at + scale // block <= end_of)]
-        ends = np.minimum(starts + scale // block, end_of[starts])
+        starts = at[(at == first_block[owner]) | (at + window // block <= end_of)]
+        ends = np.minimum(starts + window // block, end_of[starts])
         for k in range(0, len(starts), 8192):
             s, e = starts[k : k + 8192], ends[k : k + 8192]
             near = unit(totals[e] - totals[s]).astype(np.float32) @ vectors.T
             i, j = np.nonzero(near >= settings.min_cosine)
             if len(i):
-                yield owner[s[i]], (s[i] - first_block[owner[s[i]]]) * block, np.full(len(i), scale), numbers[j], near[i, j]
+                yield owner[s[i]], (s[i] - first_block[owner[s[i]]]) * block, np.full(len(i), window), numbers[j], near[i, j]
 
 
 MATCHES = "item int, cosine double, item_words int, in_order int, first_word int, last_word int, answer_found double, kind string"
@@ -293,11 +305,11 @@ def search(docs: DataFrame, space: Space, items: Items, settings: Settings, id_c
                 begins = np.cumsum(counts) - counts
                 best: dict[tuple[int, int], list] = {}
                 for found in candidates(hashes, counts, space, items, settings):
-                    for doc, first, scale, item, cosine in zip(*(x.tolist() for x in found), strict=True):
+                    for doc, first, window, item, cosine in zip(*(x.tolist() for x in found), strict=True):
                         words = hashes[begins[doc] : begins[doc] + counts[doc]]
-                        hit = checked(words, first, scale, item, space, items, settings)
+                        hit = checked(words, first, items.reach[item], item, space, items, settings)
                         if hit and (hit[0], cosine) > tuple(best.get((doc, item), (0, 0.0))[:2]):
-                            best[doc, item] = [hit[0], cosine, first, min(first + scale, int(counts[doc])), hit[1], hit[2]]
+                            best[doc, item] = [hit[0], cosine, first, min(first + window, int(counts[doc])), hit[1], hit[2]]
                 rows += [(base + doc, item, *values) for (doc, item), values in best.items()]
             if rows:
                 at, item, found, cosine, first, last, share, verdict = (list(c) for c in zip(*rows, strict=True))

@@ -120,3 +120,19 @@ def test_words_and_order():
         for k, w in enumerate(a):
             places[w] = places.get(w, 0) | 1 << k
         assert dc.in_order(places, len(a), b) == plain_lcs(a, b)
+
+
+def test_windows_are_close_to_the_items(spark):
+    settings = dc.Settings()
+    assert all(n <= dc.window_of(n, settings) <= max(16, 1.25 * n + settings.block) for n in range(1, 3000))
+    rng = np.random.default_rng(6)
+    run = lambda n: [f"w{k}" for k in rng.zipf(1.3, n)]
+    items = [(k, run(int(rng.integers(33, 42)))) for k in range(60)]
+    docs = []
+    for k, own in items:
+        kept = [w if rng.random() < 0.75 or at >= len(own) - 8 else f"x{rng.integers(10**6)}" for at, w in enumerate(own)]
+        docs.append((k, " ".join(run(120) + kept + run(120))))
+    texts = [(k, " ".join(own)) for k, own in items]
+    want = {p for p in brute(docs, texts, settings) if p[0] == p[1]}
+    found = dc.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(texts, "item_id long, text string")).collect()
+    assert len(want) >= 30 and len({(r.doc_id, r.item_id) for r in found} & want) >= 0.95 * len(want)
