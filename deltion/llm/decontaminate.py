@@ -32,7 +32,7 @@ class Settings:
     paraphrase: float = 0.6  # share that is enough if the answer is found too
     answer_share: float = 0.75
     answer_words: int = 8  # an item without an answer has its last words for one
-    common: float = 0.1  # words in a larger share of all passages are left out of the comparison; an item with few others must be there word by word
+    common: float = 0.1  # words in a larger share of the distinct passages are left out of the comparison; an item with few others is compared whole, in a run of about its length
     least_words: int = 4  # other words that an item needs for that
     items_at_once: int = 20_000  # items are searched in blocks of about so many: the bound of what is sent to the tasks
 
@@ -95,15 +95,17 @@ def portions(texts, most: int = 1_000_000):
 
 
 def sketch(docs: DataFrame, settings: Settings, text_column: str = "text") -> tuple[np.ndarray, np.ndarray, int]:
-    """(passages with each feature, sketch of features by columns, number of passages) over all passages of all documents.
+    """(passages with each feature, sketch of features by columns, number of passages) over the distinct passages of all documents.
 
-    Every passage is added to one column of the sketch, with a sign; both are drawn by a hash of its words. A task adds up what it reads; the sums are
-    added in slices, and the driver gets one matrix whose size the settings bound.
+    Passages with the same features count once, so copies of a text do not make its words common. Every passage is added to
+    one column of the sketch, with a sign; both are drawn by a hash of its features. A task adds up what it reads; the sums
+    are added in slices, and the driver gets one matrix whose size the settings bound.
     """
     d, width, slices = settings.features, settings.sketch + 1, 32
+    kind = np.dtype(np.uint16 if d < 1 << 16 else np.uint32)
 
-    def work(batches):
-        words, total, passages = Words(), np.zeros((d, width), np.float64), 0
+    def passages_of(batches):
+        words = Words()
         for batch in batches:
             for _, texts in portions(batch.column(0)):
                 hashes, counts = words.split(texts)
@@ -113,18 +115,28 @@ def sketch(docs: DataFrame, settings: Settings, text_column: str = "text") -> tu
                 rows = -(-counts // settings.passage)
                 starts = np.cumsum(rows) - rows
                 place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts) * settings.passage
-                matrix = np.full(int(rows.sum()) * settings.passage, d, np.uint32)
+                matrix = np.full(int(rows.sum()) * settings.passage, d, kind)
                 matrix[place] = hashes >> np.uint64(64 - (d.bit_length() - 1))
                 matrix = np.sort(matrix.reshape(-1, settings.passage), axis=1)
-                first = matrix < d
-                first[:, 1:] &= matrix[:, 1:] != matrix[:, :-1]
-                drawn = mixed(np.where(first, VALUES[matrix & 255] * (matrix.astype(np.uint64) + np.uint64(1)), 0).sum(1, dtype=np.uint64))
-                column = (drawn >> np.uint64(33)).astype(np.int64) % settings.sketch
-                sign = np.where(drawn & np.uint64(1), 1.0, -1.0)
-                where = matrix.astype(np.int64) * width + column[:, None]
-                total += np.bincount(where[first], np.broadcast_to(sign[:, None], first.shape)[first], (d + 1) * width)[: d * width].reshape(d, width)
-                total[:, -1] += np.bincount(matrix[first], minlength=d)[:d]
-                passages += len(matrix)
+                matrix[:, 1:][matrix[:, 1:] == matrix[:, :-1]] = d
+                data = pa.py_buffer(np.sort(matrix, axis=1).tobytes())
+                found = pa.FixedSizeBinaryArray.from_buffers(pa.binary(settings.passage * kind.itemsize), len(matrix), [None, data])
+                yield pa.RecordBatch.from_arrays([found.cast(pa.binary())], names=["passage"])
+
+    def work(batches):
+        total, passages = np.zeros((d, width), np.float64), 0
+        for batch in batches:
+            matrix = np.frombuffer(b"".join(batch.column(0).to_pylist()), kind).reshape(-1, settings.passage).astype(np.int64)
+            if not len(matrix):
+                continue
+            first = matrix < d
+            drawn = mixed(np.where(first, VALUES[matrix & 255] * (matrix + 1).astype(np.uint64), 0).sum(1, dtype=np.uint64))
+            column = (drawn >> np.uint64(33)).astype(np.int64) % settings.sketch
+            sign = np.where(drawn & np.uint64(1), 1.0, -1.0)
+            where = matrix * width + column[:, None]
+            total += np.bincount(where[first], np.broadcast_to(sign[:, None], first.shape)[first], (d + 1) * width)[: d * width].reshape(d, width)
+            total[:, -1] += np.bincount(matrix[first], minlength=d)[:d]
+            passages += len(matrix)
         for k, part in enumerate(np.split(total, slices)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary()), pa.array([passages if k == 0 else 0], pa.int64())], names=["slice", "part", "passages"])
 
@@ -138,7 +150,9 @@ def sketch(docs: DataFrame, settings: Settings, text_column: str = "text") -> tu
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([passages[k]], pa.int64())], names=["slice", "part", "passages"])
 
     fields = "slice int, part binary, passages long"
-    found = sorted(docs.select(text_column).mapInArrow(work, fields).repartition(slices, "slice").mapInArrow(add, fields).collect())
+    # Few tasks: each gives a whole matrix.
+    distinct = docs.select(text_column).mapInArrow(passages_of, "passage binary").distinct().coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
+    found = sorted(distinct.mapInArrow(work, fields).repartition(slices, "slice").mapInArrow(add, fields).collect())
     if not found:
         return np.zeros(d), np.zeros((d, settings.sketch)), 0
     whole = np.concatenate([np.frombuffer(r.part).reshape(-1, width) for r in found])
@@ -279,9 +293,12 @@ def checked(words: np.ndarray, first: int, scale: int, item: int, space: Space,
     here = set(around.tolist())
     if sum(p.bit_count() for w, p in places.items() if w in here) < settings.min_overlap * size:
         return None
-    if items.whole[item]:  # common words are in order anywhere: such an item must be there as it is
-        return (size, 1.0, "near exact") if items.words[item].tobytes() in around.tobytes() else None
-    around = around[~space.common[feature_of(around, settings)]].tolist()
+    if items.whole[item]:  # common words are in order anywhere: words far from the window do not count, unless the item is there as it is
+        if items.words[item].tobytes() in around.tobytes():
+            return size, 1.0, "near exact"
+        around = words[max(0, first - settings.block) : first + window_of(size, settings)].tolist()
+    else:
+        around = around[~space.common[feature_of(around, settings)]].tolist()
     found = in_order(places, size, around)
     if found < settings.paraphrase * size:
         return None

@@ -136,3 +136,16 @@ def test_windows_are_close_to_the_items(spark):
     want = {p for p in brute(docs, texts, settings) if p[0] == p[1]}
     found = dc.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(texts, "item_id long, text string")).collect()
     assert len(want) >= 30 and len({(r.doc_id, r.item_id) for r in found} & want) >= 0.95 * len(want)
+
+
+def test_copies_do_not_hide_an_item(spark):
+    rng = np.random.default_rng(9)
+    run = lambda n: [f"w{k}" for k in rng.integers(0, 4000, n)]
+    own = run(36)
+    one_changed = " ".join([*run(10), *own[:20], "changed", *own[21:], *run(10)])
+    docs = [(k, " ".join(run(60))) for k in range(400)] + [(1000 + k, one_changed) for k in range(200)]
+    # Every copy has another word changed: its passages differ, and the item's words stay common.
+    docs += [(2000 + k, " ".join([*own[:k % 36], f"v{k}", *own[k % 36 + 1 :]])) for k in range(200)]
+    for chosen in (docs[:600], docs[:400] + docs[600:]):
+        found = dc.find_items(spark.createDataFrame(chosen, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(own))], "item_id long, text string")).collect()
+        assert {r.doc_id for r in found} == {i for i, _ in chosen if i >= 1000}
