@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,24 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the rows that no model may learn from; a null id is never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Add the position (from 0) of each row in its group by `order`, and, with keys, the size of the group as `<name>_of`.
+
+    Rows are sorted by ranges over all tasks; a group may fill many of them, and equal rows, told apart by where they were
+    read, too. Only the number of rows of a group in a task goes on to a window. The sorted rows are written once, so a
+    task that is repeated finds the same numbers. Nulls come first and are a key like any other.
+    """
+    columns = df.columns
+    rows = df.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
+    rows = rows.repartitionByRange(*keys, *order, "_salt").sortWithinPartitions(*keys, *order, "_salt").drop("_salt")
+    rows = settle(rows.withColumns({"_task": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "numbered")
+    counts = rows.groupBy("_task", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_from"))
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("_task").alias("_at"), *(F.col(k).alias(f"_{k}_at") for k in keys), "_from", before.alias("_before"), F.sum("_n").over(group).alias(f"{name}_of"))
+    same = F.col("_task") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}_at"))
+    return rows.join(counts, same).select(*columns, (F.col("_before") + F.col("_row") - F.col("_from")).alias(name), *([f"{name}_of"] if keys else []))

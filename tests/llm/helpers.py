@@ -20,6 +20,12 @@ def write(spark, folder, **rows) -> str:
     return str(folder)
 
 
+def write_vectors(spark, folder, rows) -> str:
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df.selectExpr("*", "'x' AS v", "1 AS cluster", "'y' AS state").write.parquet(os.path.join(str(folder), "embeddings.parquet"))
+    return str(folder)
+
+
 def against_sql(spark, folder, name) -> list[str]:
     from deltion.llm.queries import QUERIES, SQL
 
@@ -33,6 +39,6 @@ def connect_folder(folder):
     if all(os.path.isfile(os.path.join(folder, f)) for f in os.listdir(folder)):
         return connect(folder)
     con = duckdb.connect()
-    for name in TABLES:
+    for name in sorted(f.removesuffix(".parquet") for f in os.listdir(folder)):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
     return con
