@@ -1,33 +1,34 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Tokens get the log-odds of toxic against clean documents under an informative Dirichlet prior (the corpus itself), kept
+Tokens get the log-odds of toxic against clean documents under an informative Dirichlet prior (the whole corpus), kept
 where they stand out by their own standard error. A scan over the text finds all maximal scoring segments in linear time.
-How high segments get by chance follows an extreme-value law; its scale and size are fitted to clean documents, and the
+How high segments get by chance follows an extreme-value law; its scale and size are fitted to all clean documents, and the
 evidence of all significant segments together gives the score.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltion.llm.shared import held_out
+from deltion.llm.shared import held_out, settle
 
-WORD = regex.compile(r"\p{L}+")
+WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 BIN = 0.25
-TOP_BIN = 800
+WIDE_BIN = 800  # bins from here on grow by a hundredth each
 
 
 @dataclass
 class Settings:
-    max_training_rows: int = 50_000  # labelled rows that are learned from: those with the smallest hashes of doc_id
+    max_training_rows: int = 50_000  # labelled rows whose words are counted by label: those with the smallest hashes of doc_id
     max_features: int = 50_000  # features that are kept: those that stand out most
     min_documents: int = 5
     min_z: float = 4.0
@@ -52,45 +53,59 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in STEMS if len(word) > k)]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """(text, toxic) of the labelled documents that may be learned from, at most `max_training_rows` of them.
+def label_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the documents that may be learned from: toxic if one of their labels says so; null labels are left out."""
+    return labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
-    Which rows these are depends on a hash of doc_id only. That bound is also the bound of the broadcast side, so the
-    texts are not shuffled. A document with several labels is toxic if one of them says so; null labels are left out.
-    """
-    chosen = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_training_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+
+def training_sample(labels: DataFrame, settings: Settings) -> DataFrame:
+    """At most `max_training_rows` of them, chosen by a hash of doc_id. That bound is the bound of the broadcast side."""
+    return label_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_training_rows)
 
 
-def count_features(rows: DataFrame, flush: int = 200_000) -> DataFrame:
-    """Documents with each feature by label: (feature, toxic, clean). A task sends its counts on whenever it holds `flush`."""
+def count_features(rows: DataFrame, flush: int = 400_000) -> DataFrame:
+    """Documents with each feature: (feature, toxic, clean, corpus); `toxic` is null where the label is not known.
 
-    def batch_of(toxic: Counter, clean: Counter) -> pa.RecordBatch:
-        names = list(toxic.keys() | clean.keys())
-        return pa.RecordBatch.from_pydict({"feature": names, "toxic": [toxic[n] for n in names], "clean": [clean[n] for n in names]}, schema=pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())]))
+    The feature of the empty word counts the documents themselves. A task sends its counts on whenever it holds `flush`.
+    """
+    fields = pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64()), ("corpus", pa.int64())])
 
     def work(batches):
-        toxic, clean = Counter(), Counter()
+        # Plain words and the stems of each length are counted apart; what is marked as a stem is written when counts are sent.
+        empty = lambda: [[Counter() for _ in range(1 + len(STEMS))] for _ in range(3)]
+        counts, size = empty(), 0
+
+        def flushed():
+            out = {}
+            for side, parts in enumerate(counts):
+                for k, part in enumerate(parts):
+                    for name, n in part.items():
+                        out.setdefault(f"{name}*" if k else name, [0, 0, 0])[side] += n
+            names = list(out)
+            return pa.RecordBatch.from_pydict({"feature": names, **{c: [out[n][i] for n in names] for i, c in enumerate(("toxic", "clean", "corpus"))}}, schema=fields)
+
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1), strict=True):
-                found = set()
-                for word in set(WORD.findall((text.as_py() or "").lower())):
-                    found.update(features(word))
-                (toxic if label.as_py() else clean).update(found)
-                if len(toxic) + len(clean) > flush:
-                    yield batch_of(toxic, clean)
-                    toxic, clean = Counter(), Counter()
-        yield batch_of(toxic, clean)
-
-    return rows.mapInArrow(work, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-
-
-def log_odds(counts: DataFrame, toxic_docs: int, clean_docs: int, settings: Settings) -> DataFrame:
+                words = set(WORD.findall((text.as_py() or "").lower()))
+                found = [words, *({w[:k] for w in words if len(w) > k} for k in STEMS)]
+                words.add("")
+                label = label.as_py()
+                for parts in [counts[2]] if label is None else [counts[2], counts[0 if label else 1]]:
+                    for part, names in zip(parts, found, strict=True):
+                        part.update(names)
+                if sum(map(len, counts[2])) > flush:
+                    yield flushed()
+                    counts = empty()
+        yield flushed()
+
+    sums = [F.sum(c).alias(c) for c in ("toxic", "clean", "corpus")]
+    return rows.mapInArrow(work, "feature string, toxic long, clean long, corpus long").groupBy("feature").agg(*sums)
+
+
+def log_odds(counts: DataFrame, toxic_docs: int, clean_docs: int, all_docs: int, settings: Settings) -> DataFrame:
     """(feature, weight, z): log-odds with a Dirichlet prior in proportion to the corpus, and by their standard error."""
     n1, n0 = float(toxic_docs), float(clean_docs)
-    prior = (F.col("toxic") + F.col("clean")) / (n1 + n0) * settings.prior_documents
-    rows = counts.where(F.col("toxic") + F.col("clean") >= settings.min_documents).withColumn("prior", prior)
+    rows = counts.where((F.col("toxic") + F.col("clean") >= settings.min_documents) & (F.col("feature") != "")).withColumn("prior", F.col("corpus") / float(all_docs) * settings.prior_documents)
     side = lambda c, n: F.log((F.col(c) + F.col("prior")) / (n + settings.prior_documents + 1 - F.col(c) - F.col("prior")))
     rows = rows.withColumn("weight", side("toxic", n1) - side("clean", n0))
     rows = rows.withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("toxic") + F.col("prior")) + 1 / (F.col("clean") + F.col("prior"))))
@@ -98,49 +113,52 @@ def log_odds(counts: DataFrame, toxic_docs: int, clean_docs: int, settings: Sett
 
 
 class Scorer:
-    """Scores texts with a model; keeps the weights of the words it has met."""
+    """Scores texts with a model. Most words are answered by their first letters alone: those of no feature that speaks for."""
 
-    def __init__(self, model: Model, cache_words: int = 200_000):
-        self.model, self.known, self.cache_words = model, {}, cache_words
-        self.signs = {f: w for f, w in model.weights.items()}
+    def __init__(self, model: Model, cache_words: int = 100_000):
+        self.model = model
+        self.begins = {f.rstrip("*")[: STEMS[0]] for f, w in model.weights.items() if w > 0}
+        self.weight = lru_cache(cache_words)(self.word_weight)
 
-    def weight(self, word: str) -> float:
+    def word_weight(self, word: str) -> float:
         """The most telling feature of the word decides; 0 if none has a weight, or the word speaks against."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= self.cache_words:
-                self.known.clear()
-            values = [self.signs[f] for f in features(word) if f in self.signs]
-            found = self.known[word] = max(0.0, max(values, key=abs)) if values else 0.0
-        return found
+        weights = self.model.weights
+        values = [weights[f] for f in features(word) if f in weights]
+        return max(0.0, max(values, key=abs)) if values else 0.0
 
     def hits(self, text: str) -> tuple[int, list[tuple[int, float]]]:
         """Number of words, and (position, weight) of those that have one."""
-        words, weight = WORD.findall(text.lower()), self.weight
-        return len(words), [(i, x) for i, w in enumerate(words) if (x := weight(w))]
+        words, weight, begins, k = WORD.findall(text.lower()), self.weight, self.begins, STEMS[0]
+        return len(words), [(i, x) for i, w in enumerate(words) if w[:k] in begins and (x := weight(w))]
 
     def segments(self, hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
         """All maximal scoring segments (first and last position, score), from left to right, in linear time.
 
-        Each candidate keeps the sums before and after it. A new one is joined to the nearest candidate that starts
-        lower, if it also ends lower; all between them go into it.
+        Each candidate keeps the sums before and after it, and the place of the nearest earlier candidate that starts lower, so
+        no candidate is passed twice. A new one is joined to the nearest that starts lower, if that also ends lower;
+        all between go into it. Where none starts lower, all before are final.
         """
-        found: list[list[float]] = []  # first, last, sum before, sum after
-        total, at = 0.0, -1
+        done: list[tuple[int, int, float]] = []
+        found: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, place of the nearest that starts lower
+        total, at, drift = 0.0, -1, self.model.drift
         for position, weight in hits:
-            total -= self.model.drift * (position - at - 1)
-            new = [position, position, total, total + weight]
-            total, at = total + weight, position
+            total -= drift * (position - at - 1)
+            first, before, total, at = position, total, total + weight, position
+            k = len(found) - 1
             while True:
-                k = len(found) - 1
-                while k >= 0 and found[k][2] >= new[2]:
-                    k -= 1
-                if k < 0 or found[k][3] >= new[3]:
-                    found.append(new)
+                while k >= 0 and found[k][2] >= before:
+                    k = found[k][4]
+                if k < 0:
+                    done += [(a, b, y - x) for a, b, x, y, _ in found]
+                    found = [(first, position, before, total, -1)]
                     break
-                new = [found[k][0], new[1], found[k][2], new[3]]
+                if found[k][3] >= total:
+                    found.append((first, position, before, total, k))
+                    break
+                first, _, before, _, lower = found[k]
                 del found[k:]
-        return [(int(a), int(b), after - before) for a, b, before, after in found]
+                k = lower
+        return done + [(a, b, y - x) for a, b, x, y, _ in found]
 
     def expect(self, score: float, words: int) -> float:
         """How many segments of this score chance gives in a clean text of so many words."""
@@ -152,23 +170,22 @@ class Scorer:
         return sum(-math.log(max(e, 1e-300)) for e in values if e < self.model.max_expect)
 
     def score(self, evidence: float) -> float:
-        x = self.model.intercept + self.model.slope * min(evidence, BIN * TOP_BIN)
+        x = self.model.intercept + self.model.slope * evidence
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
 
 
-def score_histogram(rows: DataFrame, model: Model) -> DataFrame:
-    """Over clean training texts: tokens by weight (in bins), as (bin, tokens)."""
+def found_hits(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, n_words, weights of the hits, scores of the segments) of every row; no text goes further."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches):
-        scorer, bins = Scorer(model), Counter()
+        scorer = Scorer(model)
         for batch in batches:
-            for text in batch.column(0):
-                n, hits = scorer.hits(text.as_py() or "")
-                bins[0] += n - len(hits)
-                bins.update(1 + int(w / BIN) for _, w in hits)
-        yield pa.RecordBatch.from_pydict({"bin": list(bins), "tokens": list(bins.values())}, schema=pa.schema([("bin", pa.int32()), ("tokens", pa.int64())]))
+            rows = [scorer.hits(text.as_py() or "") for text in batch.column(1)]
+            columns = [pa.array([n for n, _ in rows], pa.int64()), pa.array([[w for _, w in hits] for _, hits in rows], pa.list_(pa.float64())), pa.array([[s for _, _, s in scorer.segments(hits)] for _, hits in rows], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "weights", "scores"])
 
-    return rows.where("toxic = 0").select("text").mapInArrow(work, "bin int, tokens long").groupBy("bin").agg(F.sum("tokens").alias("tokens"))
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_words long, weights array<double>, scores array<double>")
 
 
 def decay_of(bins: dict[int, int], model: Model) -> float:
@@ -187,43 +204,46 @@ def decay_of(bins: dict[int, int], model: Model) -> float:
     return max(low, 0.05)
 
 
-def chance_size(rows: DataFrame, model: Model) -> float:
-    """K by maximum likelihood from the best segments of clean texts; texts without one are censored at 0."""
+def weight_bins(clean: DataFrame) -> dict[int, int]:
+    """Tokens of clean texts by weight (in bins, a bounded number); bin 0 has those without."""
+    plain = clean.agg(F.sum(F.col("n_words") - F.size("weights")).alias("n")).first().n or 0
+    found = clean.select(F.explode("weights").alias("w")).groupBy((1 + F.floor(F.col("w") / BIN)).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return {0: plain, **{r.bin: r.n for r in found}}
 
-    def work(batches):
-        scorer, best, weight = Scorer(model), 0, 0.0
-        for batch in batches:
-            for text in batch.column(0):
-                n, hits = scorer.hits(text.as_py() or "")
-                top = max((s for _, _, s in scorer.segments(hits)), default=0.0)
-                best += top > 0
-                weight += max(n, 1) * math.exp(-min(model.decay * top, 700.0))
-        yield pa.RecordBatch.from_pydict({"best": [best], "weight": [weight]}, schema=pa.schema([("best", pa.int64()), ("weight", pa.float64())]))
 
-    one = rows.where("toxic = 0").select("text").mapInArrow(work, "best long, weight double").agg(F.sum("best").alias("best"), F.sum("weight").alias("weight")).first()
-    return ((one.best or 0) + 1) / ((one.weight or 0.0) + 1)
+def chance_size(clean: DataFrame, model: Model) -> float:
+    """K by maximum likelihood from the best segments of clean texts; texts without one are censored at 0.
 
+    Millionths are added up as integers, so the order of rows does not show.
+    """
+    top = F.coalesce(F.array_max("scores"), F.lit(0.0))
+    weight = F.round(F.greatest("n_words", F.lit(1)) * F.exp(-F.least(top * model.decay, F.lit(700.0))) * 1e6).cast("long")
+    one = clean.agg(F.count_if(top > 0).alias("best"), F.sum(weight).alias("weight")).first()
+    return (one.best + 1) / ((one.weight or 0) / 1e6 + 1)
 
-def evidence_by_label(rows: DataFrame, model: Model) -> dict[tuple[int, int], int]:
-    """Training documents by evidence (in bins, a bounded number) and label."""
 
-    def work(batches):
-        scorer, bins = Scorer(model), Counter()
-        for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1), strict=True):
-                n, hits = scorer.hits(text.as_py() or "")
-                bins[min(TOP_BIN, math.ceil(scorer.evidence(n, scorer.segments(hits)) / BIN)), int(bool(label.as_py()))] += 1
-        yield pa.RecordBatch.from_pydict({"bin": [b for b, _ in bins], "toxic": [y for _, y in bins], "docs": list(bins.values())}, schema=pa.schema([("bin", pa.int32()), ("toxic", pa.int32()), ("docs", pa.int64())]))
+def evidence_bin(evidence: Column) -> Column:
+    edge = BIN * WIDE_BIN
+    return F.when(evidence <= edge, F.ceil(evidence / BIN)).otherwise(WIDE_BIN + F.ceil(F.log(evidence / edge) * 100)).cast("int")
+
 
-    found = rows.select("text", "toxic").mapInArrow(work, "bin int, toxic int, docs long").groupBy("bin", "toxic").agg(F.sum("docs").alias("docs")).collect()
-    return {(r.bin, r.toxic): r.docs for r in found}
+def bin_value(b: int) -> float:
+    return b * BIN if b <= WIDE_BIN else BIN * WIDE_BIN * math.exp((b - WIDE_BIN) / 100)
+
+
+def evidence_by_label(rows: DataFrame, model: Model) -> dict[tuple[int, int], int]:
+    """Labelled documents by evidence (in bins, a bounded number) and label."""
+    expect = lambda s: F.lit(model.size) * F.greatest(F.col("n_words"), F.lit(1)) * F.exp(-F.least(s * model.decay, F.lit(700.0)))
+    evidence = F.aggregate("scores", F.lit(0.0), lambda a, s: a + F.when(expect(s) < model.max_expect, -F.log(F.greatest(expect(s), F.lit(1e-300)))).otherwise(0.0))
+    found = rows.groupBy(evidence_bin(evidence).alias("bin"), (F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return {(r.bin, r.toxic): r.n for r in found}
 
 
 def logistic(bins: dict[tuple[int, int], int]) -> tuple[float, float]:
     """Intercept and slope of the label on the evidence, by Newton steps with a weak penalty on the slope."""
     import numpy as np
 
-    x, y, n = (np.array(v, float) for v in zip(*((b * BIN, t, c) for (b, t), c in bins.items()), strict=True))
+    x, y, n = (np.array(v, float) for v in zip(*((bin_value(b), t, c) for (b, t), c in sorted(bins.items())), strict=True))
     toxic, total = float((n * y).sum()), float(n.sum())
     design, beta = np.stack([np.ones_like(x), x], 1), np.array([math.log((toxic + 0.5) / (total - toxic + 0.5)), 0.0])
     for _ in range(200):
@@ -237,19 +257,28 @@ def logistic(bins: dict[tuple[int, int], int]) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
-    """Learn the model from labelled documents; without toxic or without clean ones it scores all documents near 0 or 1 alike."""
+    """Learn the model from labelled documents; without toxic or without clean ones it scores all documents near 0 or 1 alike.
+
+    Texts are read twice: the first pass counts features over all rows that are not held out (the prior) and by label over the
+    sampled ones; the second finds hits and segments of all that are not held out. What that gives is written without
+    texts and joined to all labels; histogram, extreme-value law and the fit of the score come from it. Null and empty
+    texts have no words; null ids and held-out rows are never learned from; rows with equal ids count each.
+    """
     settings = settings or Settings()
-    rows = training_rows(docs, labels, settings)
-    sizes = {int(r.toxic > 0): r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
+    sample = training_sample(labels, settings)
+    counts = settle(count_features(usable.join(F.broadcast(sample), "doc_id", "left").select("text", "toxic")), "toxicity-features")
+    sizes = counts.where("feature = ''").first()
     model = Model(drift=settings.drift, max_expect=settings.max_expect)
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    toxic, clean = (sizes.toxic, sizes.clean) if sizes else (0, 0)
     if not toxic or not clean:
         model.intercept = 20.0 if toxic else -20.0
         return model
-    found = log_odds(count_features(rows), toxic, clean, settings).orderBy(F.abs("z").desc(), "feature").limit(settings.max_features).collect()
+    found = log_odds(counts, toxic, clean, sizes.corpus, settings).orderBy(F.abs("z").desc(), "feature").limit(settings.max_features).collect()
     model.weights = {r.feature: r.weight for r in found}
-    model.decay = decay_of({r.bin: r.tokens for r in score_histogram(rows, model).collect()}, model)
-    model.size = chance_size(rows, model)
+    rows = settle(found_hits(usable, model).join(label_of(labels), "doc_id"), "toxicity-hits")
+    model.decay = decay_of(weight_bins(rows.where("toxic = 0")), model)
+    model.size = chance_size(rows.where("toxic = 0"), model)
     model.intercept, model.slope = logistic(evidence_by_label(rows, model))
     return model
 
@@ -288,7 +317,11 @@ def score_documents(docs: DataFrame, model: Model, passages: bool = True) -> Dat
 
 
 def without_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """The rows whose text is not predicted toxic, with all their columns. A narrow step."""
+    """The rows whose text is not predicted toxic, with all their columns. A narrow step over whole texts.
+
+    Null and empty texts have no evidence and stay wherever clean documents do; repeated rows are judged alike; an empty table
+    stays empty.
+    """
 
     def work(batches):
         scorer = Scorer(model)

@@ -35,6 +35,62 @@ def test_segments_by_definition():
         assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
 
 
+def test_segments_of_long_texts_in_linear_time():
+    import time
+
+    scorer = toxicity.Scorer(toxicity.Model(drift=0.25))
+    rng = random.Random(3)
+    hits = [(i, rng.uniform(0.1, 2.5)) for i in range(4000) if rng.random() < 0.5]
+    assert len(scorer.segments(hits)) > 0
+    for n, step, weight in ((8_000, 20, 1.0), (8_000, 1, 0.1), (8_000, 3, 0.5)):
+        apart = [(i * step, weight) for i in range(n)]
+        took = []
+        for _ in range(3):
+            start = time.perf_counter()
+            found = scorer.segments(apart)
+            took.append(time.perf_counter() - start)
+        assert min(took) < 0.2 and sum(1 for _ in found) in (1, n)
+    fall = [(i * 7, 1.0) for i in range(4000)] + [(28_000 + i, 3.0) for i in range(4000)]  # every one of the first starts higher than the last
+    start = time.perf_counter()
+    scorer.segments(fall)
+    assert time.perf_counter() - start < 0.5
+
+
+def test_long_texts_by_definition():
+    rng = random.Random(5)
+    scorer = toxicity.Scorer(toxicity.Model(drift=1.0))
+    for _ in range(4):
+        hits = [(i, float(rng.randint(1, 4))) for i in range(3000) if rng.random() < 0.4]
+        got = scorer.segments(hits)
+        # A maximal segment has no proper prefix or suffix that is not positive, and segments next to each other cannot be joined to a better one.
+        weight, drift = dict(hits), 1.0
+        values = [weight.get(i, -drift) for i in range(3000)]
+        assert all(got[i][1] < got[i + 1][0] for i in range(len(got) - 1))
+        covered = set()
+        for a, b, s in got:
+            assert sum(values[a : b + 1]) == s
+            run = 0.0
+            for i in range(a, b + 1):
+                run += values[i]
+                assert run > 0
+            run = 0.0
+            for i in range(b, a - 1, -1):
+                run += values[i]
+                assert run > 0
+            covered.update(range(a, b + 1))
+        assert set(weight) <= covered
+
+
+def test_given_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score_documents(docs, model, passages=False).where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    toxic = [r for r in got if r.toxic]
+    assert len(got) > 500 and sum(r.predicted == r.toxic for r in got) >= 0.97 * len(got)
+    assert sum(r.predicted for r in toxic) >= 0.7 * len(toxic), (len(toxic), sum(r.predicted for r in toxic))
+    print("held-out toxic", len(toxic), "found", sum(r.predicted for r in toxic), "of", len(got), "right", sum(r.predicted == r.toxic for r in got))
+
+
 def corpus(n, seed=1):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
