@@ -362,8 +362,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame, settings: Settings | None
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item. Rows with a null id are told apart by their text."""
-    marked = docs.withColumns({"_key": F.struct(F.col(id_column).alias("i"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("t"))})
-    held = settle(find_items(marked.select("_key", text_column), benchmark, settings, "_key", text_column).select("_key").distinct(), "contaminated")
+    """The documents that hold no benchmark item, with all their columns. Rows with a null id are told apart by their text.
+
+    Null and empty texts hold nothing and stay; equal rows go or stay together.
+    """
+    key = F.struct(F.col(id_column).alias("i"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("t"))
+    texts = docs.select(key.alias("_key"), F.col(text_column).alias("_text"))
+    held = settle(find_items(texts, benchmark, settings, "_key", "_text").select("_key").distinct(), "contaminated")
     held = held.select(F.col("_key.i").alias("_i"), F.col("_key.t").alias("_t"))
-    return marked.join(held, marked["_key.i"].eqNullSafe(held["_i"]) & (marked["_key.t"] == held["_t"]), "left_anti").drop("_key")
+    marked = docs.select(F.struct("*").alias("row"), key.alias("_key"))
+    return marked.join(held, F.col("_key.i").eqNullSafe(F.col("_i")) & (F.col("_key.t") == F.col("_t")), "left_anti").select("row.*")

@@ -63,3 +63,11 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}_at"))
     return rows.join(counts, same).select(*columns, (F.col("_before") + F.col("_row") - F.col("_from")).alias(name), *([f"{name}_of"] if keys else []))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """The name, or the name and underscores, that none of the columns has (upper and lower case count as equal)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

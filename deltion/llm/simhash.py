@@ -382,5 +382,5 @@ def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 7, id_column:
     roots = components(similar(pairs, sets, similarity))
     placed = nodes.join(roots, nodes["digest"] == roots["node"], "left").select("_key", F.coalesce("root", "digest").alias("root"))
     kept = placed.groupBy("root").agg(F.min("_key").alias("_key")).select("_key")
-    rows = docs.withColumn("_key", key).join(kept, "_key", "left_semi")
-    return rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_copy = 1").drop("_key", "_copy")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("_key")).join(kept, "_key", "left_semi")
+    return rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_copy = 1").select("row.*")

@@ -13,10 +13,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltion.llm.shared import settle
+from deltion.llm.shared import free_name, settle
 from deltion.llm.suffix_array import common_prefixes, suffix_array
 
 GRAM = 24
@@ -356,9 +356,16 @@ def settle_shards(windows: DataFrame, length: int) -> DataFrame:
     return windows.mapInArrow(work, "doc long, version long, start long, end long")
 
 
+def document_of(docs: DataFrame, id_column: str) -> Column:
+    """The id as a long, null last. Ids of another kind would all become null and count as one document, so they raise."""
+    if docs.schema[id_column].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_column} must be an integer column")
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))
+
+
 def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     text = F.coalesce(F.col(text_column), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
+    return docs.select(document_of(docs, id_column).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -378,11 +385,13 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_column: str = "doc_id"
     cell = F.when(F.col("span") == 0, F.xxhash64("doc", "gram")).when(F.col("span") % 2 == 1, F.xxhash64("gram", "context")).otherwise(F.col("gram"))
     dealt = rows.repartition(partitions, cell).sortWithinPartitions("gram", "context", "doc", "span")
     found = settle(compare_runs(dealt), "suffix-runs")
-    unclear = found.where(F.col("gram").isNotNull())
+    # Equal rows of a document are one from here on: their runs and their text count once.
+    unclear = found.where(F.col("gram").isNotNull()).distinct()
     # An anchor that was dealt by context may have one context only, and many are too many for one shard.
     several = unclear.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("gram", (F.col("contexts") > WIDE).alias("wide"))
     places = unclear.join(several, "gram").groupBy("doc", "version").agg(F.collect_list(F.struct("start", "end", "gram", "wide")).alias("places"))
-    contexts = cut_contexts(long.join(places, ["doc", "version"]).select("doc", "version", "text", "places"), length)
+    once = long.select("doc", "version", "text").dropDuplicates(["doc", "version"])
+    contexts = cut_contexts(once.join(places, ["doc", "version"]).select("doc", "version", "text", "places"), length)
     sharded = contexts.repartition(partitions, F.col("gram")).sortWithinPartitions("gram", "bytes", "doc", "start")
     more = settle_shards(sharded, length)
     spans = found.where(F.col("gram").isNull()).select("doc", "version", "start", "end").unionByName(more)
@@ -402,9 +411,9 @@ def kept_parts(data: bytes, spans: list[dict] | None) -> tuple[list[bytes], int,
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The rows with the `spans` that they lose."""
-    marked = docs.withColumns({"_doc": F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), "_version": F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))})
-    return marked.join(spans.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("spans").alias("_spans")), ["_doc", "_version"], "left").drop("_doc", "_version")
+    """The rows, and in a last column the spans that they lose; all other columns are kept whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), document_of(docs, id_column).alias("doc"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("version"))
+    return rows.join(spans.select("doc", "version", "spans"), ["doc", "version"], "left").select("row.*", F.col("spans").alias(free_name(docs.columns, "spans")))
 
 
 def removal_report(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -424,11 +433,15 @@ def removal_report(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.string())], names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return with_spans(docs.select(id_column, text_column), spans, id_column, text_column).select(id_column, text_column, "_spans").mapInArrow(work, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs.select(id_column, text_column), spans, id_column, text_column).mapInArrow(work, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows with what is left of their text. A character of which only some bytes go stays whole."""
+    """The rows with what is left of their text. A character of which only some bytes go stays whole.
+
+    Null and empty texts lose nothing, and neither do texts without spans; a text that goes altogether is empty; equal rows
+    lose the same.
+    """
 
     def work(batches):
         place = -1
@@ -454,4 +467,4 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id",
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return with_spans(docs, spans, id_column, text_column).select(*docs.columns, "_spans").mapInArrow(work, docs.schema)
+    return with_spans(docs, spans, id_column, text_column).mapInArrow(work, docs.schema)

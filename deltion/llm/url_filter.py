@@ -26,15 +26,26 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def canonical(host: Column) -> Column:
-    """`www.example.com` as `com\\x01example\\x01www\\x01`: the key of a domain is a prefix of its subdomains' keys."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01"))
+    """`www.example.com` as `com\\x01example\\x01www\\x01`: the key of a domain is a prefix of its subdomains' keys, and of no others'.
+
+    The separator inside a label is written as \\x02\\x03, and \\x02 as \\x02\\x02.
+    """
+    plain = F.replace(F.replace(host, F.lit("\x02"), F.lit("\x02\x02")), F.lit("\x01"), F.lit("\x02\x03"))
+    return F.concat(F.array_join(F.reverse(F.split(plain, r"\.")), "\x01"), F.lit("\x01"))
+
+
+def after(key: str) -> str:
+    """The smallest text that is above all keys that begin with this one (which ends with the separator)."""
+    return key[:-1] + "\x02"
 
 
 def range_bounds(keys: DataFrame, ranges: int, sample_rows: int) -> list[str]:
     """Borders that cut the keys into about equal ranges, from a sample of at most about `sample_rows` keys.
 
-    They only decide which task sweeps a row, as in Spark's own range partitioning; no row is left out.
+    They only decide which task sweeps a row, as in Spark's own range partitioning; no row is left out. The first 300
+    characters of a key are enough for that.
     """
+    keys = keys.select(F.substring("key", 1, 300).alias("key"))
     n = keys.count()
     sampled = keys if n <= sample_rows else keys.sample(fraction=sample_rows / n, seed=7)
     found = sorted(r[0] for r in sampled.collect())
@@ -71,7 +82,7 @@ def apply_rules(urls: DataFrame, rules: DataFrame, default: str = "allow", id_co
         for batch in batches:
             out = {n: [] for n in ("range", "host", "path", "key", "verdict")}
             for host, path, key, verdict in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for at in range(bisect_right(bounds, key), bisect_left(bounds, key + "\U0010ffff") + 1):
+                for at in range(bisect_right(bounds, key), bisect_left(bounds, after(key)) + 1):
                     for name, value in zip(out, (at, host, path, key, verdict), strict=True):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("range", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("key", pa.string()), ("verdict", pa.string())]))

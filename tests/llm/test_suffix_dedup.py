@@ -97,3 +97,18 @@ def test_two_digit_names(monkeypatch):
     monkeypatch.setattr(suffix_array, "DIGITS", 4)
     data = np.random.default_rng(4).integers(0, 9, 3000).astype(np.uint8)
     assert suffix_array.suffix_array(data.astype(np.int64)).tolist() == sorted(range(3000), key=lambda i: bytes(data[i:]))
+
+
+def test_many_equal_rows_without_id(spark):
+    rng = random.Random(9)
+    passage, own = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(k)) for k in (40, 400))
+    rows = [(1, "start " + passage + " end")] + [(None, own + passage + own)] * 10_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = [tuple(r) for r in suffix_dedup.removal_report(docs, suffix_dedup.repeated_spans(docs, length=100)).collect()]
+    want = brute([rows[0], rows[1]], 100)
+    assert sorted(set(got), key=str) == want and len(got) == 10_001
+
+
+def test_text_ids_raise(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        suffix_dedup.repeated_spans(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

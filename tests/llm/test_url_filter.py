@@ -28,3 +28,17 @@ def test_many_rules_over_many_ranges(spark):
 
     assert len(got) == len(urls) and sorted(r.page_id for r in got) == sorted(u[0] for u in urls)
     assert all((r.rule, r.verdict) == judge(r) for r in got)
+
+
+def test_separators_and_borders_in_hosts(spark, tmp_path):
+    hosts = ["a.com\x01b", "a.\x01com", "com\x01", "\x01.com", "com\x02", "x.com\x02\x03y", "\x02.com", "\U0010ffff.com", "com\U0010ffff", "\U0010ffff\U0010ffff.net", "x.net\U0010ffff", "a.com", ".com", "com.", "..com", "example.com\x00", "www.example.com\x01", "EXAMPLE.com"]
+    pages = [(i, f"http://{h}{path}", None) for i, (h, path) in enumerate((h, p) for h in hosts for p in ("", "/", "/en/x", "/es/", "?q"))]
+    assert against_sql(spark, write(spark, tmp_path / "t", pages=pages), "op2_url_rules") == []
+
+
+def test_every_range_gets_the_rules_of_its_keys(spark):
+    from deltion.llm.url_filter import apply_rules
+
+    urls = spark.createDataFrame([(i, f"http://{chr(0x10ffff) if i % 2 else 'a'}{i}.com\x01x.com/") for i in range(200)], "page_id long, url string")
+    rules = spark.createDataFrame([("block", "com", "/")], "verdict string, host string, path string")
+    assert all(r.verdict == "block" for r in apply_rules(urls, rules, ranges=40).collect())
