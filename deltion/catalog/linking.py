@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from deltion.catalog.base import Tables, cte, query, sql_chars, sql_clean, sql_fold
 from deltion.functions.codes import signature
 from deltion.functions.text import fold_term
-from deltion.operators import links
+from deltion.operators import composite, links
 from deltion.operators.ranking import document_rank
 from deltion.rules import EvaluationRule, SearchProfile
 
@@ -274,6 +274,28 @@ def _(t: Tables):
     return links.composite_match(left.join(right, "registry_id")).select("row_key", F.size("agreements").alias("agreements"), "relation")
 
 
+def _composite_fields() -> dict:
+    return {"authority": F.col("authority"), "place": F.col("place"), "budget": F.col("budget"), "code": F.col("segment"), "date": F.col("deadline_iso").cast("date"), "programme": F.col("order_status")}
+
+
+_ALL_PAIRS = cte("tenders") + """, x AS MATERIALIZED (SELECT tender_no AS k, authority AS a, place AS p, CAST(round(budget * 100) AS BIGINT) AS b, segment AS c, CAST(deadline_iso AS DATE) AS d, order_status AS o FROM tenders),
+  m AS (SELECT l.k AS lk, r.k AS rk, coalesce(l.a = r.a, false)::INT AS a, coalesce(l.p = r.p, false)::INT AS p, coalesce(l.c = r.c, false)::INT AS c, coalesce(l.o = r.o, false)::INT AS o, coalesce(100 * abs(l.b - r.b) <= greatest(l.b, r.b), false)::INT AS b, coalesce(abs(l.d - r.d) <= 3, false)::INT AS d FROM x l, x r WHERE l.k <> r.k),
+  g AS (SELECT k, min(k) OVER (PARTITION BY a, p, b, c, d, o) AS class_id FROM x)"""
+
+
+@query("d23_composite_links", _ALL_PAIRS + """ SELECT g.k AS tender_no, class_id, coalesce(n, 0) AS links, CASE WHEN n > 0 THEN 'STRONG_COMPOSITE_MATCH' ELSE 'UNRELATED' END AS relation
+  FROM g LEFT JOIN (SELECT lk, count(*) AS n FROM m WHERE a + p + c + o + b + d >= 4 GROUP BY lk) s ON s.lk = g.k""")
+def _(t: Tables):
+    return composite.composite_links(t.tenders, "tender_no", **_composite_fields())
+
+
+@query("d23_composite_pairs", _ALL_PAIRS + """ SELECT DISTINCT l.class_id, r.class_id AS other_id, concat_ws(',', CASE WHEN a = 1 THEN 'authority' END, CASE WHEN p = 1 THEN 'place' END, CASE WHEN c = 1 THEN 'code' END, CASE WHEN o = 1 THEN 'programme' END, 'budget', 'date') AS agreements
+  FROM m JOIN g l ON l.k = lk JOIN g r ON r.k = rk WHERE b + d = 2 AND a + p + c + o >= 2 AND l.class_id < r.class_id""")
+def _(t: Tables):
+    pairs = composite.composite_pairs(t.tenders, "tender_no", **_composite_fields())
+    return pairs.select("class_id", "other_id", F.array_join("agreements", ",").alias("agreements"))
+
+
 @query("d24_document_preview", _DAT + f""" SELECT t.tender_id, a.attachment_id, CASE WHEN d.document_type = 'de' THEN 'budget' ELSE 'other' END AS kind, CASE WHEN d.document_type = 'de' THEN 'Προϋπολογισμός' ELSE 'Λοιπό αρχείο' END AS kind_label,
   CASE WHEN length({sql_clean('d.text')}) = 0 THEN NULL WHEN length({sql_clean('d.text')}) <= 420 THEN {sql_clean('d.text')} ELSE rtrim(substr({sql_clean('d.text')}, 1, 420)) || '...' END AS sample FROM t JOIN a ON a.tender_id = t.tender_id JOIN d ON d.attachment_id = a.attachment_id WHERE a.is_latest""")
 def _(t: Tables):
