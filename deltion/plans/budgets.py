@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltion.functions.text import any_term, fold_terms, norm_text
-from deltion.operators import aggregates, budget
+from deltion.operators import aggregates, budget, budget_text
 from deltion.operators.state import replace_slice
 from deltion.rules import SearchRequest
 from deltion.session import settle, spread
@@ -15,7 +15,7 @@ from deltion.session import settle, spread
 def parse_documents(docs: DataFrame) -> DataFrame:
     """K7: lines of budget documents (project, document_id, source_document, text)."""
     keep = ["project", "document_id", "source_document"]
-    parsed = budget.budget_lines(spread(docs.select(*keep, "text")), "text", keep)
+    parsed = budget_text.budget_lines(spread(docs.select(*keep, "text")), "text", keep)
     return parsed.withColumn("line_id", F.struct("document_id", "line_index"))
 
 

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from deltion.functions.text import fold_term
-from deltion.operators import budget, filters, links, monitor, ranking
+from deltion.operators import budget, budget_text, filters, links, monitor, ranking
 from deltion.rules import AmbiguousAlias, EvaluationRule, Scope, SearchProfile
 
 
@@ -107,11 +107,11 @@ def test_budget_line_and_blocks(spark):
     regular = "Α/Α Περιγραφή Ποσότητα Τιμή\n 1 Β-29.3 Σκυρόδεμα C16/20 ΟΔΟ-2532 m3 22,50 25,40 571,50\n 2 ΟΔΟ 3121 Υπόβαση μεταβλητή m\n 2 120,00 19,10 2.292,00\n1204 Β-29.3 Σκυρόδεμα C16/20 ΟΔΟ-2532 m3 1,00 25,40 25,40\nΣΥΝΟΛΟ"
     block = "   23     Β-18.6      Φράκτης απορρόφησης ενεργείας\n     μέχρι 2000 kJ ύψους 5 m\n     30%Ο∆Ο-2312+\n     40%Ο∆Ο-2653+\n     30%Ο∆Ο-2311\n     m        100.00       1.680.00      168.000.00\n"
     df = spark.createDataFrame([(1, regular)], "d int, text string")
-    rows = {r.row_number: r for r in budget.budget_lines(df, "text", ["d"]).collect()}
+    rows = {r.row_number: r for r in budget_text.budget_lines(df, "text", ["d"]).collect()}
     assert (rows[1].article_code, rows[1].unit, float(rows[1].quantity), float(rows[1].amount), rows[1].revision_codes) == ("Β-29.3", "m3", 22.5, 571.5, ["ΟΔΟ-2532"])
     assert (rows[2].unit, float(rows[2].quantity), float(rows[2].unit_price), float(rows[2].amount)) == ("m2", 120, 19.1, 2292)
     assert sorted(rows) == [1, 2, 1204] and float(rows[1204].amount) == 25.4
-    b = budget.block_lines(spark.createDataFrame([(1, block)], "d int, text string"), "text", ["d"]).first()
+    b = budget_text.block_lines(spark.createDataFrame([(1, block)], "d int, text string"), "text", ["d"]).first()
     assert (b.row_number, b.canonical_article_code, b.unit, float(b.quantity), float(b.unit_price), float(b.amount)) == (23, "Β18.6", "m", 100, 1680, 168000)
     assert set(b.revision_codes) == {"30%ΟΔΟ-2312", "40%ΟΔΟ-2653", "30%ΟΔΟ-2311"}
 
