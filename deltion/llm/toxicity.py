@@ -164,10 +164,15 @@ class Scorer:
         """How many segments of this score chance gives in a clean text of so many words."""
         return self.model.size * max(words, 1) * math.exp(-min(self.model.decay * score, 700.0))
 
+    def significant(self, words: int, segments: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+        """The segments of which chance gives fewer than `max_expect` in a text of so many words."""
+        least = math.log(self.model.size * max(words, 1) / self.model.max_expect) / self.model.decay
+        return [x for x in segments if x[2] > least]
+
     def evidence(self, words: int, segments: list[tuple[int, int, float]]) -> float:
-        """Sum of -ln(expectation) over the significant segments."""
-        values = [self.expect(s, words) for _, _, s in segments]
-        return sum(-math.log(max(e, 1e-300)) for e in values if e < self.model.max_expect)
+        """Sum of -ln(expectation) over significant segments."""
+        chance = math.log(self.model.size * max(words, 1))
+        return sum(min(min(self.model.decay * s, 700.0) - chance, 690.0) for _, _, s in segments)
 
     def score(self, evidence: float) -> float:
         x = self.model.intercept + self.model.slope * evidence
@@ -175,17 +180,23 @@ class Scorer:
 
 
 def found_hits(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_words, weights of the hits, scores of the segments) of every row; no text goes further."""
+    """(doc_id, n_words, hits by bin of their weight, scores of the segments) of every row; no text goes further."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches):
         scorer = Scorer(model)
         for batch in batches:
-            rows = [scorer.hits(text.as_py() or "") for text in batch.column(1)]
-            columns = [pa.array([n for n, _ in rows], pa.int64()), pa.array([[w for _, w in hits] for _, hits in rows], pa.list_(pa.float64())), pa.array([[s for _, _, s in scorer.segments(hits)] for _, hits in rows], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "weights", "scores"])
+            counts, bins, scores = [], [], []
+            for text in batch.column(1):
+                n, hits = scorer.hits(text.as_py() or "")
+                found = Counter([int(w / BIN) for _, w in hits])
+                counts.append(n)
+                bins.append([found[b] for b in range(max(found) + 1)] if found else [])
+                scores.append([s for _, _, s in scorer.segments(hits)])
+            columns = [pa.array(counts, pa.int64()), pa.array(bins, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "bins", "scores"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_words long, weights array<double>, scores array<double>")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_words long, bins array<int>, scores array<float>")
 
 
 def decay_of(bins: dict[int, int], model: Model) -> float:
@@ -205,10 +216,21 @@ def decay_of(bins: dict[int, int], model: Model) -> float:
 
 
 def weight_bins(clean: DataFrame) -> dict[int, int]:
-    """Tokens of clean texts by weight (in bins, a bounded number); bin 0 has those without."""
-    plain = clean.agg(F.sum(F.col("n_words") - F.size("weights")).alias("n")).first().n or 0
-    found = clean.select(F.explode("weights").alias("w")).groupBy((1 + F.floor(F.col("w") / BIN)).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return {0: plain, **{r.bin: r.n for r in found}}
+    """Tokens of clean texts by weight (in bins, a bounded number); bin 0 has those without. A task sends one row for each bin."""
+
+    def work(batches):
+        total = Counter()
+        for batch in batches:
+            total[0] += sum(batch.column(0).to_pylist())
+            for bins in batch.column(1).to_pylist():
+                for b, n in enumerate(bins):
+                    if n:
+                        total[b + 1] += n
+                        total[0] -= n
+        yield pa.RecordBatch.from_pydict({"bin": list(total), "n": list(total.values())}, schema=pa.schema([("bin", pa.int32()), ("n", pa.int64())]))
+
+    found = clean.select("n_words", "bins").mapInArrow(work, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    return {r.bin: r.n for r in found}
 
 
 def chance_size(clean: DataFrame, model: Model) -> float:
@@ -216,7 +238,7 @@ def chance_size(clean: DataFrame, model: Model) -> float:
 
     Millionths are added up as integers, so the order of rows does not show.
     """
-    top = F.coalesce(F.array_max("scores"), F.lit(0.0))
+    top = F.coalesce(F.array_max("scores").cast("double"), F.lit(0.0))
     weight = F.round(F.greatest("n_words", F.lit(1)) * F.exp(-F.least(top * model.decay, F.lit(700.0))) * 1e6).cast("long")
     one = clean.agg(F.count_if(top > 0).alias("best"), F.sum(weight).alias("weight")).first()
     return (one.best + 1) / ((one.weight or 0) / 1e6 + 1)
@@ -233,8 +255,10 @@ def bin_value(b: int) -> float:
 
 def evidence_by_label(rows: DataFrame, model: Model) -> dict[tuple[int, int], int]:
     """Labelled documents by evidence (in bins, a bounded number) and label."""
-    expect = lambda s: F.lit(model.size) * F.greatest(F.col("n_words"), F.lit(1)) * F.exp(-F.least(s * model.decay, F.lit(700.0)))
-    evidence = F.aggregate("scores", F.lit(0.0), lambda a, s: a + F.when(expect(s) < model.max_expect, -F.log(F.greatest(expect(s), F.lit(1e-300)))).otherwise(0.0))
+    chance = F.log(F.lit(model.size) * F.greatest("n_words", F.lit(1)))
+    least = (chance - math.log(model.max_expect)) / model.decay
+    one = lambda s: F.when(s > least, F.least(F.least(s * model.decay, F.lit(700.0)) - chance, F.lit(690.0))).otherwise(0.0)
+    evidence = F.aggregate("scores", F.lit(0.0), lambda a, s: a + one(s.cast("double")))
     found = rows.groupBy(evidence_bin(evidence).alias("bin"), (F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()
     return {(r.bin, r.toxic): r.n for r in found}
 
@@ -301,14 +325,13 @@ def score_documents(docs: DataFrame, model: Model, passages: bool = True) -> Dat
             for text in batch.column(2):
                 text = text.as_py() or ""
                 n, hits = scorer.hits(text)
-                segments = scorer.segments(hits)
+                segments = scorer.significant(n, scorer.segments(hits))
                 evidence = scorer.evidence(n, segments)
                 scores.append(scorer.score(evidence))
                 counts.append(n)
                 evidences.append(evidence)
-                significant = [x for x in segments if passages and scorer.expect(x[2], n) < model.max_expect]
-                at = [m.span() for m in WORD.finditer(text.lower())] if significant else []
-                spans.append([{"start": at[a][0], "end": at[b][1], "score": s, "expect": scorer.expect(s, n)} for a, b, s in significant])
+                at = [m.span() for m in WORD.finditer(text.lower())] if segments and passages else []
+                spans.append([{"start": at[a][0], "end": at[b][1], "score": s, "expect": scorer.expect(s, n)} for a, b, s in segments] if at else [])
             columns = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(counts, pa.int64()), pa.array(evidences, pa.float64()), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted", "n_words", "evidence", "passages"])
 
@@ -329,7 +352,7 @@ def without_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> D
             keep = []
             for text in batch.column(batch.schema.get_field_index(text_column)):
                 n, hits = scorer.hits(text.as_py() or "")
-                keep.append(scorer.score(scorer.evidence(n, scorer.segments(hits))) < 0.5)
+                keep.append(scorer.score(scorer.evidence(n, scorer.significant(n, scorer.segments(hits)))) < 0.5)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
