@@ -385,12 +385,17 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_column: str = "doc_id"
     cell = F.when(F.col("span") == 0, F.xxhash64("doc", "gram")).when(F.col("span") % 2 == 1, F.xxhash64("gram", "context")).otherwise(F.col("gram"))
     dealt = rows.repartition(partitions, cell).sortWithinPartitions("gram", "context", "doc", "span")
     found = settle(compare_runs(dealt), "suffix-runs")
-    # Equal rows of a document are one from here on: their runs and their text count once.
-    unclear = found.where(F.col("gram").isNotNull()).distinct()
+    unclear = found.where(F.col("gram").isNotNull())
+    # Equal rows of a document are one from here on: their runs and their text count once. Most tables have none.
+    repeated = not long.groupBy("doc", "version").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    if repeated:
+        unclear = unclear.distinct()
     # An anchor that was dealt by context may have one context only, and many are too many for one shard.
     several = unclear.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("gram", (F.col("contexts") > WIDE).alias("wide"))
     places = unclear.join(several, "gram").groupBy("doc", "version").agg(F.collect_list(F.struct("start", "end", "gram", "wide")).alias("places"))
-    once = long.select("doc", "version", "text").dropDuplicates(["doc", "version"])
+    once = long.select("doc", "version", "text")
+    if repeated:
+        once = once.dropDuplicates(["doc", "version"])
     contexts = cut_contexts(once.join(places, ["doc", "version"]).select("doc", "version", "text", "places"), length)
     sharded = contexts.repartition(partitions, F.col("gram")).sortWithinPartitions("gram", "bytes", "doc", "start")
     more = settle_shards(sharded, length)
