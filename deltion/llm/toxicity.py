@@ -12,7 +12,6 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -48,11 +47,6 @@ class Model:
     slope: float = 0.0
 
 
-def features(word: str) -> list[str]:
-    """The word and its stems (marked), so that inflected forms share what they have in common."""
-    return [word, *(f"{word[:k]}*" for k in STEMS if len(word) > k)]
-
-
 def label_of(labels: DataFrame) -> DataFrame:
     """(doc_id, toxic) of the documents that may be learned from: toxic if one of their labels says so; null labels are left out."""
     return labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -112,24 +106,43 @@ def log_odds(counts: DataFrame, toxic_docs: int, clean_docs: int, all_docs: int,
     return rows.select("feature", "weight", "z").where(F.abs("z") >= settings.min_z)
 
 
-class Scorer:
-    """Scores texts with a model. Most words are answered by their first letters alone: those of no feature that speaks for."""
+class Weights(dict):
+    """Weights of words as they are met; no more than `most` are kept, the others are worked out each time.
+
+    Of those, most are answered by their first letters alone: no feature that speaks for begins so.
+    """
 
-    def __init__(self, model: Model, cache_words: int = 100_000):
-        self.model = model
-        self.begins = {f.rstrip("*")[: STEMS[0]] for f, w in model.weights.items() if w > 0}
-        self.weight = lru_cache(cache_words)(self.word_weight)
+    def __init__(self, features_of: dict[str, float], most: int):
+        super().__init__()
+        self.features, self.most = features_of, most
+        self.begins = {f.rstrip("*")[: STEMS[0]] for f, w in features_of.items() if w > 0}
 
-    def word_weight(self, word: str) -> float:
+    def __missing__(self, word: str) -> float:
+        found = self.weight(word) if word[: STEMS[0]] in self.begins else 0.0
+        if len(self) < self.most:
+            self[word] = found
+        return found
+
+    def weight(self, word: str) -> float:
         """The most telling feature of the word decides; 0 if none has a weight, or the word speaks against."""
-        weights = self.model.weights
-        values = [weights[f] for f in features(word) if f in weights]
-        return max(0.0, max(values, key=abs)) if values else 0.0
+        get = self.features.get
+        best = get(word, 0.0)
+        for k in STEMS:
+            if len(word) > k and abs(other := get(word[:k] + "*", 0.0)) > abs(best):
+                best = other
+        return max(0.0, best)
+
+
+class Scorer:
+    """Scores texts with a model."""
+
+    def __init__(self, model: Model, cache_words: int = 400_000):
+        self.model, self.weights = model, Weights(model.weights, cache_words)
 
     def hits(self, text: str) -> tuple[int, list[tuple[int, float]]]:
         """Number of words, and (position, weight) of those that have one."""
-        words, weight, begins, k = WORD.findall(text.lower()), self.weight, self.begins, STEMS[0]
-        return len(words), [(i, x) for i, w in enumerate(words) if w[:k] in begins and (x := weight(w))]
+        words, weights = WORD.findall(text.lower()), self.weights
+        return len(words), [(i, x) for i, w in enumerate(words) if (x := weights[w])]
 
     def segments(self, hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
         """All maximal scoring segments (first and last position, score), from left to right, in linear time.
