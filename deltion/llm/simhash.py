@@ -365,21 +365,67 @@ def band_pairs(nodes: DataFrame) -> DataFrame:
     return banded.join(ends, "band").select(F.col("digest").alias("a"), F.explode(F.array("low", "high")).alias("b"))
 
 
+def compare(pairs: DataFrame, rows: DataFrame, similarity: float, label: str) -> DataFrame:
+    """The pairs (a, b) of digests, a > b, whose sets have at least this similarity, as a written table; each is compared once."""
+    pairs = settle(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-pairs")
+    compared = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    sets = settle(rows.join(compared, "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), f"{label}-sets")
+    return settle(similar(pairs, sets, similarity), f"{label}-links")
+
+
+def apart(cells: DataFrame, roots: DataFrame) -> DataFrame:
+    """(digest, size, cell, root) of the cells whose members are not of one group, as a written table."""
+    placed = cells.join(roots, cells["digest"] == roots["node"], "left").select("digest", "size", "cell", F.coalesce("root", "digest").alias("root"))
+    several = placed.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("cell")
+    return settle(placed.join(several, "cell", "left_semi"), "simhash-apart")
+
+
+def linked_in_rounds(nodes: DataFrame, rows: DataFrame, found: DataFrame, similarity: float, patience: int = 2) -> DataFrame:
+    """(node, root) after members of bands that are still apart were compared with other members of them.
+
+    A member that is not similar to one hub of a large family may be to another. So bands that hold several groups are cut
+    again, into cells of two bands (at a similarity of 0.8, 98 % of pairs share two bands or more; at 0.7 few do). In every
+    round a cell takes the member with the smallest hash of digest, cell and round as its hub; members of other groups than
+    the hub's are compared with it, if the sizes of their sets allow that similarity at all. The rounds end when
+    `patience` of them in a row find no link, or no cell holds several groups. A cell gives one pair for each member in a
+    round, however large it is.
+    """
+    roots, misses, round_ = components(found), 0, 0
+    single = apart(nodes.select("digest", "size", F.explode("bands").alias("cell")), roots)
+    own = single.groupBy("digest", "size").agg(F.collect_list("cell").alias("bands"))  # as many as a node has bands, at most
+    both = F.flatten(F.transform("bands", lambda x, i: F.transform(F.slice("bands", i + 2, F.size("bands")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
+    cells = own.select("digest", "size", F.explode(both).alias("cell"))
+    while misses < patience:
+        cells = apart(cells, roots)
+        if cells.isEmpty():
+            break
+        hub = F.min(F.struct(F.xxhash64("digest", "cell", F.lit(round_)), F.col("digest").alias("hub"), F.col("root").alias("hub_root"), F.col("size").alias("hub_size"))).alias("h")
+        pairs = cells.join(cells.groupBy("cell").agg(hub), "cell").where(F.col("root") != F.col("h.hub_root"))
+        pairs = pairs.where(F.least("size", "h.hub_size") >= similarity * F.greatest("size", "h.hub_size"))
+        more = compare(pairs.select(F.col("digest").alias("a"), F.col("h.hub").alias("b")), rows, similarity, f"simhash-round-{round_}")
+        cells, round_ = cells.select("digest", "size", "cell"), round_ + 1
+        if more.isEmpty():
+            misses += 1
+        else:
+            misses, found = 0, found.unionByName(more)
+            roots = components(found)
+    return roots
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 7, id_column: str = "doc_id", text_column: str = "text", similarity: float = 0.8) -> DataFrame:
     """The rows with the smallest id of their group, all columns kept; a row that is there twice stays once.
 
     Rows without an id come after those with one. Groups are what pairs of at least `similarity` connect, the Jaccard
     similarity of their distinct shingles. Pairs to compare come from fingerprints of distinct shingles within `distance`
-    bits, and from bands of smallest hashes: at a similarity of 0.8 two fingerprints differ in about 10 bits. Rows with equal shingles are one node throughout; null and empty texts are equal.
+    bits, and from bands of smallest hashes: at a similarity of 0.8 two fingerprints differ in about 10 bits. What a band holds
+    apart is compared again with other members of the band (`linked_in_rounds`). Rows with equal shingles are one node
+    throughout; null and empty texts are equal.
     """
     key = F.struct(F.col(id_column).isNull().alias("n"), F.col(id_column).alias("i"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("t"))
     rows = settle(shingle_sets(docs.select(key.alias("_key"), F.col(text_column).alias("_text")), shingle, "_key", "_text"), "shingle-sets")
-    nodes = settle(rows.groupBy("digest", "fp", "bands").agg(F.min("_key").alias("_key")), "shingle-nodes")
-    pairs = fingerprint_pairs(nodes, distance).unionByName(band_pairs(nodes))
-    pairs = settle(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "simhash-pairs")
-    compared = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    sets = settle(rows.join(compared, "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), "compared-sets")
-    roots = components(similar(pairs, sets, similarity))
+    nodes = settle(rows.groupBy("digest", "fp", "bands", F.octet_length("members").alias("size")).agg(F.min("_key").alias("_key")), "shingle-nodes")
+    first = compare(fingerprint_pairs(nodes, distance).unionByName(band_pairs(nodes)), rows, similarity, "simhash")
+    roots = linked_in_rounds(nodes, rows, first, similarity)
     placed = nodes.join(roots, nodes["digest"] == roots["node"], "left").select("_key", F.coalesce("root", "digest").alias("root"))
     kept = placed.groupBy("root").agg(F.min("_key").alias("_key")).select("_key")
     rows = docs.select(F.struct("*").alias("row"), key.alias("_key")).join(kept, "_key", "left_semi")
