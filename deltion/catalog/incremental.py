@@ -88,9 +88,9 @@ def _stream(t: Tables):
 
 @query("j3_preflight_stream", _PERSIST)
 def _(t: Tables):
-    base = new_path(t.spark, "preflight")
-    inc.preflight_batches(t.spark.sql(_CHECKS, runs=_stream(t)), base, t.sql(_INIT))
-    return inc.last_state(t.spark, base)
+    base, initial = new_path(t.spark, "preflight"), t.sql(_INIT)
+    inc.preflight_batches(t.spark.sql(_CHECKS, runs=_stream(t)), base, initial)
+    return inc.last_state(t.spark, base, initial.schema)
 
 
 @query("j4_incremental_pending", cte("triage") + """ SELECT d.doc_id, t.doc_id IS NULL OR t.toxic = 1 AS pending, CASE WHEN t.doc_id IS NULL THEN CASE WHEN d.lang = 'de' THEN 'DROP_ADMIN' ELSE 'REVIEW_TENDER_CANDIDATE' END WHEN t.toxic = 1 THEN CASE WHEN d.lang = 'de' THEN 'DROP_ADMIN' ELSE 'REVIEW_TENDER_CANDIDATE' END ELSE t.decision END AS decision,
@@ -123,11 +123,21 @@ def _(t: Tables):
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "records")
 
 
+_DATED = "SELECT run_no, CAST(day AS DATE) AS day, CASE WHEN family = 'error' THEN 'REJECTED' ELSE 'VISIBLE' END AS status FROM {runs}"
+
+
+@query("j5_archive_stream", cte("runs") + f", r AS ({_DATED.format(runs='runs')})" + """ SELECT run_no, day, CASE WHEN status = 'VISIBLE' AND day < (SELECT max(day) FROM r) - INTERVAL 14 DAY THEN 'ARCHIVED' ELSE status END AS status FROM r""")
+def _(t: Tables):
+    base, rows = new_path(t.spark, "window"), t.spark.sql(_DATED, runs=_stream(t))
+    inc.archive_stream(rows, "day", base)
+    return inc.read_window(t.spark, base, rows.schema, "day").select("run_no", "day", "status")
+
+
 @query("j6_stamp_first_seen", cte("runs") + " SELECT source_id, family, min(day) AS first_seen, max(day) AS last_seen FROM runs GROUP BY source_id, family")
 def _(t: Tables):
-    base = new_path(t.spark, "seen")
-    inc.stamp_first_seen(_stream(t), ["source_id", "family"], "day", base)
-    return inc.read_first_seen(t.spark, ["source_id", "family"], base)
+    base, keys = new_path(t.spark, "seen"), ["source_id", "family"]
+    inc.stamp_first_seen(_stream(t), keys, "day", base)
+    return inc.read_first_seen(t.spark, keys, base, inc.first_seen_stream(t.runs, keys, "day").schema)
 
 
 @query("j7_notify_once", cte("runs") + " SELECT DISTINCT source_id, family FROM runs")
