@@ -108,7 +108,23 @@ def _(t: Tables):
     return items.select("page_id", "position", "title", "detail_url", F.size("attachment_urls").alias("documents"), "published_at", "row_text")
 
 
-@query("a4_page_containers", None)
+# The same fold over the tags of a page, from list functions; anchors of these pages are no documents.
+_CONTAINERS = """WITH e AS (SELECT page_id, url, html, regexp_extract_all(html, '{m}') AS tags, string_split_regex(html, '{m}') AS gaps FROM pages),
+  t AS (SELECT page_id, unnest(tags) AS tag, unnest(gaps[:len(tags)]) AS gap, generate_subscripts(tags, 1) AS i FROM e),
+  p AS (SELECT page_id, i, tag, lower(regexp_extract(tag, '(?is)^</?([a-z][a-z0-9-]*)', 1)) AS name, 1 + sum(length(gap)) OVER w + coalesce(sum(length(tag)) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM t WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+  v AS (SELECT *, starts_with(tag, '</') AS ends, NOT starts_with(tag, '</') AND (name IN ('article', 'li') OR (regexp_matches(tag, '(?is)class\\s*=\\s*["''][^"'']*(views-row|post|article|blog)') AND name <> '' AND name NOT IN ('br', 'img', 'input', 'meta', 'link', 'hr'))) AS opens FROM p),
+  f AS (SELECT page_id, list_reduce(list_prepend({{'name': '', 'opens': false, 'first': 0::BIGINT, 'last': 0::BIGINT, 'open': []::VARCHAR[], 'spans': []::STRUCT(a BIGINT, z BIGINT)[]}},
+      list({{'name': name, 'opens': opens, 'first': first::BIGINT, 'last': (first + length(tag) - 1)::BIGINT, 'open': []::VARCHAR[], 'spans': []::STRUCT(a BIGINT, z BIGINT)[]}} ORDER BY i)),
+    lambda s, x: {{'name': '', 'opens': false, 'first': CASE WHEN x.opens AND len(s.open) = 0 THEN x.first ELSE s.first END, 'last': 0::BIGINT,
+      'open': CASE WHEN x.opens THEN list_append(s.open, x.name) WHEN len(s.open) > 0 AND s.open[-1] = x.name THEN s.open[:-2] ELSE s.open END,
+      'spans': CASE WHEN NOT x.opens AND len(s.open) = 1 AND s.open[-1] = x.name THEN list_append(s.spans, {{'a': s.first, 'z': x.last}}) ELSE s.spans END}}).spans AS spans FROM v WHERE opens OR ends GROUP BY page_id),
+  c AS (SELECT page_id, unnest(spans) AS s, generate_subscripts(spans, 1) - 1 AS position FROM f),
+  d AS (SELECT e.page_id, e.url, position, substr(html, s.a, s.z - s.a + 1) AS part FROM c JOIN e USING (page_id)),
+  l AS (SELECT *, regexp_extract(part, '(?is)<a\\b[^>]*?href=["'']([^"'']+)["'']', 1) AS href, regexp_extract(part, '(?is)<a\\b[^>]*?href=["''][^"'']+["''][^>]*>(.*?)</a>', 1) AS label FROM d)
+  SELECT page_id, CAST(position AS INTEGER) AS position, nullif({label}, '') AS title, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS detail_url FROM l WHERE href <> ''"""
+
+
+@query("a4_page_containers", _CONTAINERS.format(m=pages.MARKUP, label=sql_clean("replace(regexp_replace(label, '<[^>]+>', ' ', 'g'), '&amp;', '&')")))
 def _(t: Tables):
     return pages.extract_html_listing(t.pages, "html", "url", ["page_id"]).select("page_id", "position", "title", "detail_url")
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltion.functions.dates import listing_dates
 from deltion.functions.extract import first_system_id
-from deltion.functions.text import clean, strip_tags, unescape, unnest
+from deltion.functions.text import clean, match_positions, strip_tags, unescape, unnest
 from deltion.operators.filters import is_document_url, is_landing
 from deltion.operators.ranking import first_wins
 
@@ -61,84 +60,69 @@ def table_listing(pages: DataFrame, html: str, url: str, keep: Sequence[str], ro
     return items.filter(some & ~is_landing(F.col("title"), F.col("detail_url")))
 
 
-LISTING_SCHEMA = "position int, title string, detail_url string, attachment_urls array<string>, published_at string, row_text string"
+# Elements and classes that hold an item of a listing, and elements that never have an end.
+CONTAINER_TAGS = ("article", "li")
 CONTAINER_HINTS = ("views-row", "premium-blog-post", "post", "article", "blog")
+VOID_TAGS = ("br", "img", "input", "meta", "link", "hr")
 
+#: A comment, a script or style with its text, or a tag; the parts of a page that text stands between.
+MARKUP = r"(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>|<!?/?[a-z][^>]*>"
+TAG_NAME, TAG_CLASS = r"(?is)^</?([a-z][a-z0-9-]*)", r"""(?is)\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
-def _read_containers(html: str) -> list[dict]:
-    """Outermost listing containers of one page, with nesting; links as written."""
-    from html.parser import HTMLParser
-
-    class Reader(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.items, self.open, self.item, self.link = [], [], None, None
-
-        def handle_starttag(self, tag, attrs):
-            attrs = dict(attrs)
-            holds = tag in ("article", "li") or any(h in (attrs.get("class") or "") for h in CONTAINER_HINTS)
-            if holds and tag not in ("br", "img", "input", "meta", "link", "hr"):
-                self.open.append(tag)
-                if self.item is None:
-                    self.item = {"links": [], "text": [], "published_at": None}
-            if self.item is not None and tag == "a" and attrs.get("href"):
-                self.link = [attrs["href"], []]
-            if self.item is not None and tag == "time" and attrs.get("datetime"):
-                self.item["published_at"] = attrs["datetime"]
-
-        def handle_endtag(self, tag):
-            if tag == "a" and self.link and self.item is not None:
-                self.item["links"].append((self.link[0], " ".join(" ".join(self.link[1]).split())))
-                self.link = None
-            if self.open and tag == self.open[-1]:
-                self.open.pop()
-                if not self.open:
-                    self.items.append(self.item)
-                    self.item = None
-
-        def handle_data(self, data):
-            if self.item is not None and data.strip():
-                self.item["text"].append(" ".join(data.split()))
-                if self.link:
-                    self.link[1].append(data)
-
-    reader = Reader()
-    reader.feed(html or "")
-    return reader.items
+
+def container_spans(html: Column) -> Column:
+    """Outermost listing containers of a page with what nests in them: array<struct<first, last>>, 1-based places of characters.
+
+    A stack of open containers is folded over the tags of the page: a start tag that holds an item is put on it, an end tag
+    takes the top off if it has the same name, and a container ends where the stack gets empty. One left open is no item.
+    """
+    def event(hit: Column) -> Column:
+        tag = hit["m"]
+        name = F.lower(F.regexp_extract(tag, TAG_NAME, 1))
+        styles = F.concat(F.regexp_extract(tag, TAG_CLASS, 1), F.regexp_extract(tag, TAG_CLASS, 2), F.regexp_extract(tag, TAG_CLASS, 3))
+        holds = name.isin(*CONTAINER_TAGS) | (styles.rlike("|".join(CONTAINER_HINTS)) & ~name.isin(*VOID_TAGS))
+        opens = ~tag.startswith("</") & holds & (name != "")
+        return F.struct(name.alias("name"), opens.alias("opens"), tag.startswith("</").alias("ends"), hit["pos"].cast("int").alias("first"), (hit["pos"] + F.length(tag) - 1).cast("int").alias("last"))
+
+    def step(acc: Column, e: Column) -> Column:
+        depth = F.size(acc["open"])
+        closes = e["ends"] & (depth > 0) & F.coalesce(F.try_element_at(acc["open"], F.lit(-1)) == e["name"], F.lit(False))
+        return F.struct(
+            F.when(e["opens"], F.array_append(acc["open"], e["name"])).when(closes, F.slice(acc["open"], F.lit(1), depth - 1)).otherwise(acc["open"]).alias("open"),
+            F.when(e["opens"] & (depth == 0), e["first"]).otherwise(acc["first"]).alias("first"),
+            F.when(closes & (depth == 1), F.array_append(acc["spans"], F.struct(acc["first"].alias("first"), e["last"].alias("last")))).otherwise(acc["spans"]).alias("spans"),
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit(0).alias("first"), F.array().cast("array<struct<first:int,last:int>>").alias("spans"))
+    events = F.filter(F.transform(match_positions(html, MARKUP), event), lambda e: e["opens"] | e["ends"])
+    return F.aggregate(events, start, step, lambda acc: acc["spans"])
 
 
 def extract_html_listing(pages: DataFrame, html: str, url: str, keep: Sequence[str]) -> DataFrame:
-    """A4: items of article or post listings whose containers nest; pages are read in Arrow batches.
+    """A4: items of article or post listings whose containers nest: first link that is no document, documents, last time, text.
 
-    Only the nesting needs Python; addresses, document links and landing rows are columns again.
+    All in columns, inside the row of a page until its items are known; a page without containers gives none.
     """
-    keys = list(keep)
-    key_schema = ", ".join(f"{name} {kind}" for name, kind in pages.select(*keys, url).dtypes)
-    raw = f"{key_schema}, position int, links array<struct<href:string,text:string>>, published_at string, row_text string"
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for record in batch.to_dict("records"):
-                for n, item in enumerate(_read_containers(record[html])):
-                    row = {k: record[k] for k in [*keys, url]}
-                    row.update(position=n, links=[{"href": h, "text": t} for h, t in item["links"]], published_at=item["published_at"], row_text=" ".join(item["text"]))
-                    rows.append(row)
-            yield pd.DataFrame(rows, columns=[*keys, url, "position", "links", "published_at", "row_text"])
-
-    items = pages.select(*keys, url, html).mapInPandas(read, raw)
-    pairs = F.transform("links", lambda p: F.struct(resolve(F.col(url), p["href"]).alias("href"), p["text"].alias("text")))
-    items = items.withColumn("links", pairs)
+    spans = unnest(pages, [*keep, url, html], container_spans(F.col(html)), "_s", "position")
+    part = spans.select(*keep, url, "position", F.substr(F.col(html), F.col("_s.first"), F.col("_s.last") - F.col("_s.first") + 1).alias("_part"))
+    part = part.withColumn("_part", F.regexp_replace("_part", r"(?is)<!--.*?-->", ""))
+    links = F.transform(F.regexp_extract_all("_part", F.lit(ANCHOR), F.lit(0)), lambda a: F.struct(
+        resolve(F.col(url), unescape(F.regexp_extract(a, ANCHOR, 1))).alias("href"), clean(unescape(strip_tags(F.regexp_extract(a, ANCHOR, 2)))).alias("text")
+    ))
+    times = F.regexp_extract_all("_part", F.lit(r"""(?is)<time\b[^>]*?datetime\s*=\s*["']([^"']+)["']"""), F.lit(1))
+    items = part.withColumn("links", links)
     others = F.filter("links", lambda p: ~is_document_url(p["href"]))
     first = F.try_element_at(others, F.lit(1))
     out = items.select(
-        *keys, "position", F.nullif(first["text"], F.lit("")).alias("title"), first["href"].alias("detail_url"),
-        F.transform(F.filter("links", lambda p: is_document_url(p["href"])), lambda p: p["href"]).alias("attachment_urls"), "published_at", "row_text",
+        *keep, "position", F.nullif(first["text"], F.lit("")).alias("title"), first["href"].alias("detail_url"),
+        F.transform(F.filter("links", lambda p: is_document_url(p["href"])), lambda p: p["href"]).alias("attachment_urls"),
+        F.try_element_at(times, F.lit(-1)).alias("published_at"), clean(unescape(strip_tags(F.col("_part")))).alias("row_text"),
     )
     some = F.col("title").isNotNull() | F.col("detail_url").isNotNull() | (F.size("attachment_urls") > 0)
     return out.filter(some & ~is_landing(F.col("title"), F.col("detail_url")))
 
 
+# Words that the name of an authority has.
 AUTHORITY_WORDS = ["ΔΗΜΟΣ", "ΠΕΡΙΦΕΡΕΙΑ", "ΥΠΟΥΡΓ", "ΕΦΟΡΕΙΑ", "ΑΡΧΗ"]
 
 
