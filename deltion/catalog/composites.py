@@ -40,6 +40,15 @@ def _(t: Tables):
     return rows.select("official_id", "source", F.col("gate.decision").alias("decision"), "keep", F.array_join(F.transform("scope_matches", lambda s: s["scope"]), ",").alias("scopes"))
 
 
+@query("k1_cached_sources", _K1 + """ SELECT official_id, source, decision, decision NOT LIKE 'DROP%' AS keep, scopes, CASE WHEN source = 'KIMDIS' THEN 'SKIPPED_UNCHANGED cached from previous report' ELSE '' END AS notes FROM g""")
+def _(t: Tables):
+    official, again, feed = _producers(t)
+    previous = feed.filter("source = 'KIMDIS'").withColumn("match_notes", F.array().cast("array<string>"))
+    skipped = t.spark.createDataFrame([("KIMDIS",), ("OTHER",)], "source string")
+    rows = discovery.expanded_candidates([official, again, feed.filter("source <> 'KIMDIS'")], _SCOPES, _GATE, previous=previous, skipped=skipped)
+    return rows.select("official_id", "source", F.col("gate.decision").alias("decision"), "keep", F.array_join(F.transform("scope_matches", lambda s: s["scope"]), ",").alias("scopes"), F.array_join("match_notes", "|").alias("notes"))
+
+
 @query("k1_expanded_summary", _K1 + f""", s AS (SELECT *, scopes <> '' AS foc, decision NOT LIKE 'DROP%' AS kp, deadline_iso > '{AS_OF}' AS opn FROM g) SELECT count(*) AS total_candidates, count(*) FILTER (foc AND kp) AS focus_candidates, count(*) FILTER (source = 'ESHIDIS') AS eshidis_candidates, count(*) FILTER (source = 'KIMDIS') AS kimdis_candidates,
   count(*) FILTER (source = 'AUTHORITY') AS authority_candidates, count(*) FILTER (foc AND kp AND record_type = 'PROC' AND opn) AS focus_open_proc, count(*) FILTER (foc AND kp AND source = 'AUTHORITY') AS focus_authority, count(*) FILTER (foc AND NOT kp) AS focus_filtered_non_public_works,
   count(*) FILTER (foc AND record_type = 'PROC' AND NOT opn) AS focus_expired_proc, count(*) FILTER (foc AND record_type IN ('AWRD', 'SYMV')) AS focus_historical, 3::BIGINT AS errors FROM s""")
@@ -114,7 +123,7 @@ def _(t: Tables):
     return dash.reverse_search(rows, docs, "ér", None, None).filter("kind = 'document'").select("row_key", "kind", "label")
 
 
-_K5 = deduped_sql("WHERE lang IN ('en', 'fr') AND doc_id % 11 <> 0").replace(", d AS (", ", dd AS (")
+_K5 = deduped_sql("WHERE lang IN ('en', 'fr')").replace(", d AS (", ", dd AS (")
 
 
 @query("k5_search_profile", _K5 + ", " + _DAT.removeprefix("WITH ").replace("d AS (", "dx AS (") + """ SELECT 'run-1' AS run_id, t.eshidis_id, u.doc_id, y.match_type AS match_type, y.term AS term, y.confidence AS confidence,
@@ -171,15 +180,57 @@ _DECISIONS = """SELECT place AS org, CAST(year(CAST(deadline_iso AS DATE)) * -1
   CASE WHEN official THEN 'VISIBLE' ELSE 'REJECTED' END AS previous_status FROM {tenders}"""
 
 
-@query("k11_payment_orders", cte("tenders") + f", d AS ({_DECISIONS.format(tenders='tenders').replace('AS INT)', 'AS INTEGER)')})" + """, p AS (SELECT org, page, bool_and(issue_date < DATE '1999-06-17') AS out FROM d GROUP BY ALL), s AS (SELECT org, min(page) FILTER (out) AS stop FROM p GROUP BY org),
-  r AS (SELECT d.*, issue_date >= DATE '1999-06-17' AS in_window, document_url <> '' AS has_document, contains(lower(text), 'building') OR contains(lower(text), 'site 7') AS hit FROM d JOIN s ON s.org = d.org WHERE stop IS NULL OR page <= stop),
-  x AS (SELECT *, CASE WHEN in_window AND has_document THEN CASE WHEN hit THEN 'VISIBLE' ELSE 'REJECTED' END ELSE previous_status END AS st FROM r)
-  SELECT ada, in_window, has_document, hit AS matched, CASE WHEN st = 'VISIBLE' AND NOT in_window THEN 'ARCHIVED' ELSE st END AS status, st = 'VISIBLE' AND NOT in_window AS archived FROM x""")
+_ORDERS = cte("tenders") + f", d AS ({_DECISIONS.format(tenders='tenders').replace('AS INT)', 'AS INTEGER)')})" + """, pg AS (SELECT org, page, bool_and(issue_date < DATE '1999-06-17') AS out FROM d GROUP BY ALL), stp AS (SELECT org, min(page) FILTER (out) AS stop FROM pg GROUP BY org),
+  r AS (SELECT d.*, issue_date >= DATE '1999-06-17' AS in_window, document_url <> '' AS has_document, contains(lower(text), 'building') OR contains(lower(text), 'site 7') AS hit FROM d JOIN stp ON stp.org = d.org WHERE stop IS NULL OR page <= stop),
+  x AS (SELECT *, CASE WHEN in_window AND has_document THEN CASE WHEN hit THEN 'VISIBLE' ELSE 'REJECTED' END ELSE previous_status END AS st FROM r),
+  y AS (SELECT *, CASE WHEN st = 'VISIBLE' AND NOT in_window THEN 'ARCHIVED' ELSE st END AS status, st = 'VISIBLE' AND NOT in_window AS archived FROM x)"""
+
+
+@query("k11_payment_orders", _ORDERS + " SELECT ada, in_window, has_document, hit AS matched, status, archived FROM y")
 def _(t: Tables):
-    rows = discovery.payment_orders(t.sql(_DECISIONS), ["BUILDING", "Site 7"], F.lit("1999-07-01").cast("date"))
+    rows = discovery.payment_orders(t.sql(_DECISIONS), _KEYWORDS, F.lit("1999-07-01").cast("date"))
     return rows.select("ada", "in_window", "has_document", "matched", "status", "archived")
 
 
+_KEYWORDS = ["BUILDING", "Site 7"]
+
+
+def _order_report(t: Tables):
+    return discovery.payment_order_report(t.sql(_DECISIONS).withColumn("fetched_at", F.col("issue_date")), _KEYWORDS, F.lit("1999-07-01").cast("date"))
+
+
+@query("k11_scan_summary", _ORDERS + """ SELECT count(*) AS decisions_seen, count(*) FILTER (NOT in_window) AS outside_window, count(*) FILTER (in_window AND NOT has_document) AS without_document, count(*) FILTER (in_window AND has_document AND hit) AS matched,
+  count(*) FILTER (in_window AND has_document AND NOT hit) AS rejected, count(*) FILTER (archived) AS archived FROM y""")
+def _(t: Tables):
+    return _order_report(t)["summary"]
+
+
+@query("k11_recent_orders", _ORDERS + " SELECT ada, issue_date FROM y WHERE status = 'VISIBLE'")
+def _(t: Tables):
+    return _order_report(t)["recent"].select("ada", "issue_date")
+
+
+def _order_rows(t: Tables):
+    recent = _order_report(t)["recent"]
+    orders = recent.select("ada", F.when(F.col("org") == "ASIA", F.col("text")).alias("project_title"), F.lit("7").alias("protocol"), "issue_date", F.col("text").alias("subject"), "document_url", "matched_keywords")
+    log = recent.filter("org = 'EUROPE'").select(F.concat(F.lit("ENTALMA:"), "ada").alias("row_key"), F.lit("orders_email").alias("channel"), F.lit("Bob@example.org ").alias("recipient"))
+    return dash.digest_orders(orders, [p.user for p in _PEOPLE], log)
+
+
+_ORDER_ROWS = _ORDERS + """, po AS (SELECT y.*, r.recipient FROM y, (VALUES ('ann@example.org'), ('bob@example.org'), ('eve@example.org')) r(recipient) WHERE status = 'VISIBLE' AND NOT (org = 'EUROPE' AND r.recipient = 'bob@example.org'))"""
+
+
+@query("k9_digest_orders", _ORDER_ROWS + """ SELECT recipient, 'ENTALMA:' || ada AS row_key, CASE WHEN org = 'ASIA' THEN text ELSE 'ΕΝΤΟΛΗ ΠΛΗΡΩΜΗΣ 7-' || strftime(issue_date, '%Y-%m-%d') END AS title FROM po""")
+def _(t: Tables):
+    return _order_rows(t).select("recipient", "row_key", "title")
+
+
+@query("k9_digest_summary", _FRESH + _ORDER_ROWS.removeprefix(cte("tenders")) + """, z AS (SELECT r.recipient, (SELECT count(*) FROM n WHERE n.recipient = r.recipient) AS a, (SELECT count(*) FROM po WHERE po.recipient = r.recipient) AS b FROM (VALUES ('ann@example.org'), ('bob@example.org'), ('eve@example.org')) r(recipient))
+  SELECT recipient, a AS new_count, b AS new_order_count, CASE WHEN a + b = 0 THEN 'καμία νέα ειδοποίηση' ELSE concat_ws(', ', CASE WHEN a > 0 THEN a || ' νέα έργα' END, CASE WHEN b > 0 THEN b || ' νέα εντάλματα' END) END AS subject FROM z""")
+def _(t: Tables):
+    return dash.digest_summary(_digest(t)[0], _order_rows(t), [p.user for p in _PEOPLE])
+
+
 def _run(t: Tables):
     rows = t.tenders.agg(F.count_if("official").alias("new_rows"), F.count(F.lit(1)).alias("candidate_rows"), F.lit(1).alias("sent"))
     return discovery.run_report(polling(t), rows)

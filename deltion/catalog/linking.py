@@ -14,7 +14,7 @@ from deltion.rules import EvaluationRule, SearchProfile
 RECIPIENTS = ["ann@example.org", " Bob@Example.org ", "eve@example.org"]
 
 # Documents hang on tenders by their number; the source is the attachment's name.
-_DOCS = "SELECT doc_id, doc_id AS attachment_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END AS text, lang AS document_type FROM {documents}"
+_DOCS = "SELECT doc_id, doc_id AS attachment_id, text, lang AS document_type FROM {documents}"
 _ATTS = "SELECT doc_id AS attachment_id, doc_id * 3 % 1500 AS tender_id, source || '.pdf' AS name, doc_id % 7 <> 0 AS is_latest FROM {documents}"
 _TENDERS = "SELECT tender_no AS tender_id, official_id AS eshidis_id, title FROM {tenders}"
 _DAT = cte("tenders") + f", d AS ({_DOCS.format(documents='documents')}), a AS ({_ATTS.format(documents='documents')}), t AS ({_TENDERS.format(tenders='tenders')})"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from deltion import vocab
 from deltion.functions.dates import display, sort_key
-from deltion.functions.extract import identity, official_url
+from deltion.functions.extract import identity, official_url, payment_title
 from deltion.functions.text import fold_term, haystack, let, norm_text, snippet, unnest
 from deltion.operators import filters, links
 from deltion.operators.aggregates import funnel
@@ -232,6 +232,29 @@ def digest(rows: DataFrame, profiles: Sequence[UserProfile], log: DataFrame, tax
     return fresh, buckets
 
 
+def digest_orders(orders: DataFrame, recipients: Sequence[str], log: DataFrame, channel: str = "orders_email") -> DataFrame:
+    """K9: visible payment orders that a recipient has not been sent yet; every recipient gets all of them.
+
+    orders: ada, project_title, protocol, issue_date, subject, document_url, matched_keywords. An order without a number (ada) is left out.
+    """
+    ada = F.trim(F.coalesce("ada", F.lit("")))
+    title = F.coalesce(F.nullif("project_title", F.lit("")), payment_title(F.col("protocol"), F.col("issue_date").cast("string"), F.col("subject"), ada))
+    rows = orders.filter(ada != "").select(F.concat(F.lit("ENTALMA:"), ada).alias("row_key"), title.alias("title"), "subject", "issue_date", "document_url", "matched_keywords", F.lit(channel).alias("channel"))
+    everyone = F.explode(F.array(*(F.lit(r.strip().lower()) for r in recipients))) if recipients else F.explode(F.array().cast("array<string>"))
+    sent = log.select("row_key", "channel", F.lower(F.trim("recipient")).alias("recipient")).distinct()
+    return rows.select("*", everyone.alias("recipient")).join(sent, ["row_key", "channel", "recipient"], "left_anti")
+
+
+def digest_summary(fresh: DataFrame, orders: DataFrame, recipients: Sequence[str]) -> DataFrame:
+    """K9: new rows, new payment orders and the subject of each recipient's message, also of those who get nothing."""
+    everyone = fresh.sparkSession.createDataFrame([(r.strip().lower(),) for r in recipients], "recipient string")
+    counted = fresh.select("recipient", F.lit(1).alias("row"), F.lit(0).alias("order")).unionByName(orders.select("recipient", F.lit(0).alias("row"), F.lit(1).alias("order")))
+    counted = counted.groupBy("recipient").agg(F.sum("row").alias("new_count"), F.sum("order").alias("new_order_count"))
+    out = everyone.join(counted, "recipient", "left").na.fill(0, ["new_count", "new_order_count"])
+    parts = F.concat_ws(", ", F.when(F.col("new_count") > 0, F.concat("new_count", F.lit(" νέα έργα"))), F.when(F.col("new_order_count") > 0, F.concat("new_order_count", F.lit(" νέα εντάλματα"))))
+    return out.withColumn("subject", F.coalesce(F.nullif(parts, F.lit("")), F.lit("καμία νέα ειδοποίηση")))
+
+
 def row_url(registry_id: Column, linked_ids: Column, *urls: Column) -> Column:
     """The page a digest points to."""
     first = F.coalesce(F.nullif(registry_id, F.lit("")), F.try_element_at(linked_ids, F.lit(1)))

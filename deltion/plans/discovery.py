@@ -7,20 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 from deltion.functions.text import fold_terms, haystack, matched_terms, norm_text
 from deltion.operators import aggregates, filters, links, monitor
-from deltion.operators.ranking import first_wins, problem_sources, union_sources
+from deltion.operators.ranking import first_wins, list_recent, problem_sources, union_sources
 from deltion.operators.state import insert_hits
 from deltion.rules import EvaluationRule, Scope, SearchProfile
+from deltion.session import settle
 
 
-def expanded_candidates(producers: Sequence[DataFrame], scopes: Sequence[Scope], gate: dict | None = None, seq: str = "seq") -> DataFrame:
+def expanded_candidates(producers: Sequence[DataFrame], scopes: Sequence[Scope], gate: dict | None = None, seq: str = "seq", previous: DataFrame | None = None, skipped: DataFrame | None = None, source_key: str = "source") -> DataFrame:
     """K1: candidates of all producers: first of each official key, with scopes and works decision.
 
-    producers: source, record_type, official_id, title, authority, attachment_url, status, seq.
+    producers: source, record_type, official_id, title, authority, attachment_url, status, seq. Rows of `skipped` sources
+    (by `source_key`) come from the `previous` report, which has match_notes besides, and carry a note; what a producer
+    still gives of such a source comes first.
     """
-    rows = first_wins(union_sources(*producers), ["source", "record_type", "official_id"], seq)
+    rows = union_sources(*producers)
+    if previous is not None and skipped is not None:
+        if "match_notes" not in rows.columns:
+            rows = rows.withColumn("match_notes", F.array().cast("array<string>"))
+        last = rows.agg(F.coalesce(F.max(seq), F.lit(0)).alias("n")).first().n
+        rows = links.carry_forward(rows, previous.withColumn(seq, F.col(seq) + last + 1), skipped, source_key)
+    rows = first_wins(rows, ["source", "record_type", "official_id"], seq)
     details = F.concat_ws(" ", "source", "record_type", "official_id", "title", "authority", "attachment_url")
     scoped = rows.withColumn("scope_matches", filters.scope_match(details, scopes)).withColumn("_f", haystack(details))
     decided = filters.works_gate(F.col("_f"), F.col("source"), F.col("record_type"), F.coalesce("attachment_url", F.lit("")) != "", **(gate or {}))
@@ -68,6 +76,15 @@ def payment_orders(decisions: DataFrame, keywords: Sequence[str], today: Column,
     return monitor.archive_visible(out.withColumn("status", status), "issue_date", today, days).withColumnRenamed("archived_now", "archived").withColumn("matched", F.size("matched_keywords") > 0)
 
 
+def payment_order_report(decisions: DataFrame, keywords: Sequence[str], today: Column, days: int = 15) -> dict[str, DataFrame]:
+    """A scan of decisions with its counts (E18) and the visible orders of the window, newest first.
+
+    decisions: as for `payment_orders`, and fetched_at.
+    """
+    orders = settle(payment_orders(decisions, keywords, today, days))
+    return {"decisions": orders, "summary": aggregates.scan_summary(orders), "recent": list_recent(orders, "issue_date", "fetched_at", "ada", F.date_sub(today, days - 1))}
+
+
 def run_report(polling: DataFrame, run: DataFrame) -> dict[str, DataFrame]:
     """Metrics of a scheduled run, its alerts, status and problem sources.
 

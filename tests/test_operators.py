@@ -133,3 +133,13 @@ def test_overlay_of_best_lines(spark):
     df = spark.createDataFrame([(1, 3, "ΠΡΟΥΠΟΛΟΓΙΣΜΟΣ.pdf", "m", D(4), D(75), D(5), 0.9, "", 1), (1, 3, "ΠΡΟΥΠΟΛΟΓΙΣΜΟΣ.pdf", "m", D(130), D(15), D(1950), 0.9, "", 2), (1, 1, "ΤΕΧΝΙΚΗ ΕΚΘΕΣΗ.pdf", "m", D(1), D(2), D(2), 0.9, "", 3)], cols)
     got = {r.row_number: float(r.amount) for r in budget.best_line(df, "p").collect()}
     assert got == {3: 1950.0, 1: 2.0}
+
+
+def test_documents_without_text_are_not_searchable(spark):
+    docs = spark.createDataFrame([(1, 1, "text", "en"), (2, 2, "", "en"), (3, 3, None, "en"), (4, 9, "no attachment", "en")], "doc_id long, attachment_id long, text string, document_type string")
+    attachments = spark.createDataFrame([(1, 7, "a.pdf", True), (2, 7, "b.pdf", True), (3, 7, "c.pdf", False)], "attachment_id long, tender_id long, name string, is_latest boolean")
+    tenders = spark.createDataFrame([(7, "e7", "title")], "tender_id long, eshidis_id string, title string")
+    assert [r.doc_id for r in links.searchable_documents(docs, attachments, tenders).collect()] == [1]
+    assert sorted((r.attachment_id, r.text) for r in links.attachments_with_documents(attachments, docs).collect()) == [(1, "text"), (2, "")]
+    shown = {r.attachment_id: r["sample"] for r in links.document_preview(tenders, attachments, docs, "tender_id").collect()}
+    assert shown == {1: "text", 2: None}
