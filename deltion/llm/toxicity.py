@@ -31,6 +31,7 @@ class Settings:
     max_features: int = 50_000  # features that are kept: those that stand out most
     min_documents: int = 5
     min_z: float = 4.0
+    min_weight: float = 2.0  # log-odds from which on a feature counts: in large samples small ones stand out by the length of texts alone
     prior_documents: float = 100.0  # weight of the corpus as a prior
     drift: float = 0.2  # what a token without weight takes from a segment
     max_expect: float = 0.05  # a segment is significant if chance gives fewer than this many in such a text
@@ -57,7 +58,7 @@ def training_sample(labels: DataFrame, settings: Settings) -> DataFrame:
     return label_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_training_rows)
 
 
-def count_features(rows: DataFrame, flush: int = 400_000) -> DataFrame:
+def count_features(rows: DataFrame, flush: int = 200_000) -> DataFrame:
     """Documents with each feature: (feature, toxic, clean, corpus); `toxic` is null where the label is not known.
 
     The feature of the empty word counts the documents themselves. A task sends its counts on whenever it holds `flush`.
@@ -103,7 +104,7 @@ def log_odds(counts: DataFrame, toxic_docs: int, clean_docs: int, all_docs: int,
     side = lambda c, n: F.log((F.col(c) + F.col("prior")) / (n + settings.prior_documents + 1 - F.col(c) - F.col("prior")))
     rows = rows.withColumn("weight", side("toxic", n1) - side("clean", n0))
     rows = rows.withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("toxic") + F.col("prior")) + 1 / (F.col("clean") + F.col("prior"))))
-    return rows.select("feature", "weight", "z").where(F.abs("z") >= settings.min_z)
+    return rows.select("feature", "weight", "z").where((F.abs("z") >= settings.min_z) & (F.abs("weight") >= settings.min_weight))
 
 
 class Weights(dict):
@@ -136,7 +137,7 @@ class Weights(dict):
 class Scorer:
     """Scores texts with a model."""
 
-    def __init__(self, model: Model, cache_words: int = 400_000):
+    def __init__(self, model: Model, cache_words: int = 150_000):
         self.model, self.weights = model, Weights(model.weights, cache_words)
 
     def hits(self, text: str) -> tuple[int, list[tuple[int, float]]]:
@@ -188,7 +189,7 @@ class Scorer:
         return sum(min(min(self.model.decay * s, 700.0) - chance, 690.0) for _, _, s in segments)
 
     def score(self, evidence: float) -> float:
-        x = self.model.intercept + self.model.slope * evidence
+        x = self.model.intercept + self.model.slope * math.log1p(evidence)
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
 
 
@@ -263,7 +264,8 @@ def evidence_bin(evidence: Column) -> Column:
 
 
 def bin_value(b: int) -> float:
-    return b * BIN if b <= WIDE_BIN else BIN * WIDE_BIN * math.exp((b - WIDE_BIN) / 100)
+    """What the fit sees of a bin: ln(1 + evidence), so that single texts full of hits do not decide the slope."""
+    return math.log1p(b * BIN if b <= WIDE_BIN else BIN * WIDE_BIN * math.exp((b - WIDE_BIN) / 100))
 
 
 def evidence_by_label(rows: DataFrame, model: Model) -> dict[tuple[int, int], int]:
