@@ -87,12 +87,12 @@ def bands(hashes: np.ndarray, chunk: int = 2048) -> list[int]:
     return (least * weights).reshape(BANDS, BAND).sum(1, dtype=np.uint64).view(np.int64).tolist()
 
 
-def shingle_sets(docs: DataFrame, shingle: int, id_column: str, text_column: str) -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle: int, id_column: str, text_column: str, batch_rows: int = 1000) -> DataFrame:
     """(id, digest, fp, bands, members) of every row. Rows with equal shingles have the same digest; members are their hashes in 32 bits."""
     import xxhash
 
     def work(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, batch_rows) for whole in batches for at in range(0, whole.num_rows, batch_rows)):
             digests, fps, banded, members = [], [], [], []
             for text in batch.column(1):
                 hashes = shingle_set((text.as_py() or "").encode(), shingle)
