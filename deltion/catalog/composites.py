@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deltion.catalog.aggregating import _POLL_SQL, polling
-from deltion.catalog.base import Tables, cte, query
-from deltion.catalog.linking import _ATTS, _DAT, _DOCS, _TENDERS, PROFILE, RULES, deduped_sql, hits_sql
+from deltion.catalog.base import Tables, cte, query, sql_fold
+from deltion.catalog.linking import _ATTS, _DAT, _DOCS, _T4, _TENDERS, PROFILE, RULES, _ov, deduped_sql, hits_sql
 from deltion.plans import dashboard as dash
 from deltion.plans import discovery
 from deltion.rules import AmbiguousAlias, Scope, SearchProfile, UserProfile
+from deltion.session import settle
 
 L, D = "long", "double"
 AS_OF = "1998-07-17"
@@ -62,14 +63,16 @@ _REGIONS = [Scope("East", units=("asia",)), Scope("Europe", units=("europe",))]
 
 
 def inputs(t: Tables) -> dash.Inputs:
-    rows = t.tenders.select(
+    # The view is joined once and written; all inputs of a dashboard are read from that table.
+    tenders = settle(t.tenders)
+    rows = tenders.select(
         "row_key", "source", "official", "official_id", "registry_id", "title", "authority", "place", "budget",
         F.when(~F.col("official") & (F.col("segment") == "HOUSEHOLD"), "").otherwise(F.col("deadline")).alias("deadline"), F.array_compact(F.array("linked_id")).alias("linked_ids"))
     return dash.Inputs(
-        rows=rows, dismissed=t.tenders.filter("order_status = 'P' and segment = 'MACHINERY'").select("row_key"),
-        overrides=t.sql("SELECT row_key, CASE WHEN official THEN 'FORCE_KEEP' ELSE 'CONFIRM_DROP' END AS action FROM {tenders} WHERE order_status = 'P' AND place = 'EUROPE'"),
-        triage=t.sql("SELECT row_key, CASE WHEN segment = 'FURNITURE' THEN 'DROP_ADMIN' ELSE 'KEEP_ACTIVE_TENDER' END AS decision, CAST(0.8 AS DOUBLE) AS confidence, segment <> 'FURNITURE' AS keep FROM {tenders} WHERE order_status <> 'O'"),
-        links=t.sql("SELECT row_key, linked_id AS target_id FROM {tenders} WHERE linked_id IS NOT NULL AND segment = 'AUTOMOBILE'"), towns=_TOWNS, regions=_REGIONS, taxonomy=[])
+        rows=rows, dismissed=tenders.filter("order_status = 'P' and segment = 'MACHINERY'").select("row_key"),
+        overrides=t.sql("SELECT row_key, CASE WHEN official THEN 'FORCE_KEEP' ELSE 'CONFIRM_DROP' END AS action FROM {tenders} WHERE order_status = 'P' AND place = 'EUROPE'", tenders=tenders),
+        triage=t.sql("SELECT row_key, CASE WHEN segment = 'FURNITURE' THEN 'DROP_ADMIN' ELSE 'KEEP_ACTIVE_TENDER' END AS decision, CAST(0.8 AS DOUBLE) AS confidence, segment <> 'FURNITURE' AS keep FROM {tenders} WHERE order_status <> 'O'", tenders=tenders),
+        links=t.sql("SELECT row_key, linked_id AS target_id FROM {tenders} WHERE linked_id IS NOT NULL AND segment = 'AUTOMOBILE'", tenders=tenders), towns=_TOWNS, regions=_REGIONS, taxonomy=[])
 
 
 _DASH = cte("tenders") + f""", o AS (SELECT * FROM tenders WHERE official),
@@ -101,7 +104,16 @@ def _(t: Tables):
     return dash.hidden_audit(inputs(t), F.lit(AS_OF).cast("date"), fuzzy=False).select("row_key", "category", "review_priority")
 
 
-@query("k3_hidden_audit_fuzzy", None)
+_LIKE = _DASH + f""", w AS (SELECT *, {_T4.format(sql_fold('title'))} AS tok, {sql_fold('authority')} AS auth, {_T4.format(sql_fold('authority'))} AS atok, {sql_fold('reason')} AS place_of FROM s),
+  und AS (SELECT * FROM w WHERE NOT ignored AND NOT dup AND NOT triage_hidden AND reason IS NOT NULL AND eff IS NULL), off AS (SELECT * FROM w WHERE official AND NOT ignored AND NOT dup),
+  sc AS (SELECT l.row_key, least({_ov('l.tok', 'r.tok')} * 0.62::DOUBLE + CASE WHEN contains(r.auth, l.auth) OR contains(l.auth, r.auth) OR {_ov('l.atok', 'r.atok')} >= 0.5 THEN 0.28::DOUBLE ELSE 0 END + CASE WHEN contains(r.auth, l.place_of) THEN 0.12::DOUBLE ELSE 0 END
+    + CASE WHEN coalesce(l.linked_id = r.registry_id, false) THEN 0.5::DOUBLE ELSE 0 END, 1.0::DOUBLE) AS score FROM und l, off r WHERE NOT l.official),
+  lk AS (SELECT DISTINCT row_key FROM sc WHERE score >= 0.72),
+  h AS (SELECT row_key, 'AI_DROP_ADMIN' AS category, 'HIGH' AS review_priority, action FROM s WHERE NOT ignored AND triage_hidden
+    UNION ALL SELECT row_key, CASE WHEN row_key IN (SELECT row_key FROM lk) THEN 'DUPLICATE_CANDIDATE' ELSE 'NO_DEADLINE_EVIDENCE' END, 'MEDIUM', action FROM und)"""
+
+
+@query("k3_hidden_audit_fuzzy", _LIKE + " SELECT row_key, category, review_priority FROM h WHERE coalesce(action, '') <> 'CONFIRM_DROP'")
 def _(t: Tables):
     hidden = dash.hidden_audit(inputs(t), F.lit(AS_OF).cast("date"))
     return dash.review_queue(hidden.withColumn("at", F.col("effective_deadline")), "at").select("row_key", "category", "review_priority")

@@ -69,12 +69,10 @@ def _(t: Tables):
 
 @query("f13_fill_marker", """WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN CAST(turn * 10 AS VARCHAR) ELSE '~' END AS marker FROM conversations), g AS (SELECT *, count(CASE WHEN marker <> '~' THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM m),
   n AS (SELECT conv_id, turn, CASE WHEN island = 0 THEN NULL ELSE max(try_cast(marker AS INTEGER)) OVER (PARTITION BY conv_id, island) + row_number() OVER (PARTITION BY conv_id, island ORDER BY turn) - 1 END AS num FROM g)
-  SELECT conv_id, string_agg(coalesce(CAST(num AS VARCHAR), '-'), ',' ORDER BY turn) AS numbers FROM n GROUP BY conv_id""")
+  SELECT conv_id, turn, CAST(num AS INTEGER) AS number FROM n""")
 def _(t: Tables):
-    # The turns of one conversation are the lines of one text.
-    texts = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
-    markers = F.transform("turns", lambda x: F.when(x["role"] == "user", (x["turn"] * 10).cast("string")).otherwise("~"))
-    return texts.select("conv_id", F.array_join(rk.fill_marker(markers), ",", "-").alias("numbers"))
+    marked = t.conversations.select("conv_id", "turn", F.when(F.col("role") == "user", (F.col("turn") * 10).cast("string")).otherwise("~").alias("marker"))
+    return rk.fill_marker_rows(marked, "conv_id", "turn", "marker", F.floor(F.col("turn") / 4)).select("conv_id", "turn", "number")
 
 
 @query("f14_latest_success", cte("runs") + " SELECT 'latest' AS which, max(run_no) AS run_no FROM runs UNION ALL SELECT 'success', max(run_no) FROM runs WHERE family = 'purchase'")

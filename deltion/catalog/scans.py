@@ -30,11 +30,12 @@ def _(t: Tables):
     return rows.select("tender_no", "position", "source", "official_id", "title", "authority", "budget", "published_at", "submission_deadline", "status")
 
 
+# A page has the notices of 500 numbers, however many there are.
 _CONTENT = """
-  SELECT source_id, CAST(customer_no AS INT) AS page, CASE WHEN customer_no % 50 = 0 THEN 'timeout' END AS error,
-    CASE WHEN customer_no % 50 = 0 THEN NULL ELSE collect_list(to_json(named_struct('referenceNumber', CASE WHEN order_status = 'P' AND tender_no % 7 = 0 THEN '' ELSE official_id END, 'title', title,
+  SELECT source_id, page, CASE WHEN page % 50 = 0 THEN 'timeout' END AS error,
+    CASE WHEN page % 50 = 0 THEN NULL ELSE collect_list(to_json(named_struct('referenceNumber', CASE WHEN order_status = 'P' AND tender_no % 7 = 0 THEN '' ELSE official_id END, 'title', title,
       'organization', named_struct('value', authority), 'finalSubmissionDate', CASE WHEN tender_no % 11 = 0 THEN 'soon' ELSE deadline_iso || 'T12:00:00' END, 'totalCostWithVAT', CAST(budget AS STRING), 'cancelled', tender_no % 13 = 0))) END AS items
-  FROM (SELECT *, CASE order_status WHEN 'F' THEN 'khmdhs_notice' WHEN 'O' THEN 'khmdhs_auction' ELSE 'khmdhs_contract' END AS source_id FROM {tenders}) x GROUP BY source_id, customer_no"""
+  FROM (SELECT *, CASE order_status WHEN 'F' THEN 'khmdhs_notice' WHEN 'O' THEN 'khmdhs_auction' ELSE 'khmdhs_contract' END AS source_id, CAST(tender_no DIV 500 AS INT) AS page FROM {tenders}) x GROUP BY source_id, page"""
 
 
 def _notice_pages(t: Tables):
@@ -44,7 +45,7 @@ def _notice_pages(t: Tables):
 
 
 _NOTICE_SRC = cte("tenders") + """, n AS (SELECT *, CASE order_status WHEN 'F' THEN 'khmdhs_notice' WHEN 'O' THEN 'khmdhs_auction' ELSE 'khmdhs_contract' END AS source_id,
-    CASE order_status WHEN 'F' THEN 'PROC' WHEN 'O' THEN 'AWRD' ELSE 'SYMV' END AS kind FROM tenders)"""
+    CASE order_status WHEN 'F' THEN 'PROC' WHEN 'O' THEN 'AWRD' ELSE 'SYMV' END AS kind, CAST(tender_no // 500 AS INTEGER) AS page FROM tenders)"""
 
 
 @query("a2_scan_notice_pages", _NOTICE_SRC + """
@@ -52,15 +53,15 @@ _NOTICE_SRC = cte("tenders") + """, n AS (SELECT *, CASE order_status WHEN 'F' T
     CASE WHEN kind = 'AWRD' THEN 'HISTORICAL_AWARD_RECORD' WHEN kind = 'SYMV' THEN 'HISTORICAL_CONTRACT_RECORD' WHEN tender_no % 13 = 0 THEN 'CANCELLED_NOTICE'
       WHEN tender_no % 11 = 0 THEN 'UNKNOWN_DEADLINE_CANDIDATE' WHEN deadline_iso > '1998-06-15' THEN 'SUBMISSION_OPEN_CANDIDATE' ELSE 'SUBMISSION_EXPIRED_CANDIDATE' END AS status,
     'https://cerpp.eprocurement.gov.gr/khmdhs-opendata/' || CASE kind WHEN 'PROC' THEN 'notice' WHEN 'AWRD' THEN 'auction' ELSE 'contract' END || '/attachment/' || official_id AS attachment_url
-  FROM n WHERE customer_no % 50 <> 0 AND NOT (order_status = 'P' AND tender_no % 7 = 0)""")
+  FROM n WHERE page % 50 <> 0 AND NOT (order_status = 'P' AND tender_no % 7 = 0)""")
 def _(t: Tables):
     rows = reports.notice_rows(_notice_pages(t), F.to_date(F.lit("1998-06-15")))
     return rows.select("official_id", "record_type", "title", "authority", "budget", "status", "attachment_url")
 
 
 @query("a2_page_stats", _NOTICE_SRC + """
-  SELECT source_id, CAST(customer_no AS INTEGER) AS page, CASE WHEN customer_no % 50 = 0 THEN NULL ELSE CAST(count(*) AS INTEGER) END AS items_returned,
-    CASE WHEN customer_no % 50 = 0 THEN 'timeout' END AS error FROM n GROUP BY source_id, customer_no""")
+  SELECT source_id, page, CASE WHEN page % 50 = 0 THEN NULL ELSE CAST(count(*) AS INTEGER) END AS items_returned,
+    CASE WHEN page % 50 = 0 THEN 'timeout' END AS error FROM n GROUP BY source_id, page""")
 def _(t: Tables):
     return reports.page_stats(_notice_pages(t))
 
@@ -129,23 +130,23 @@ def _(t: Tables):
     return pages.extract_html_listing(t.pages, "html", "url", ["page_id"]).select("page_id", "position", "title", "detail_url")
 
 
-# Tenders printed as a grid, one page per customer, some rows repeated on a second page.
-_GRID = """SELECT customer_no, concat('<table><tr><th>Κατάσταση CPV αρχίζει</th></tr>', array_join(array_sort(collect_list(row)), ''), '</table>') AS html FROM (
-    SELECT customer_no, '<tr role="row"><td>' || CAST(1000000 + tender_no AS STRING) || '</td><td>' || title || '</td><td><b>' || title || ' &amp; more</b></td><td>ΔΗΜΟΣ ' || place || '</td><td>' || deadline || ' 10:00</td></tr>' AS row FROM {tenders}
-    UNION ALL SELECT customer_no + 100000, '<tr role="row"><td>' || CAST(1000000 + tender_no AS STRING) || '</td><td>again</td></tr>' FROM {tenders} WHERE official) x GROUP BY customer_no"""
+# Tenders printed as a grid, 500 numbers a page, some rows repeated on a later page.
+_GRID = """SELECT page, concat('<table><tr><th>Κατάσταση CPV αρχίζει</th></tr>', array_join(array_sort(collect_list(row)), ''), '</table>') AS html FROM (
+    SELECT tender_no DIV 500 AS page, '<tr role="row"><td>' || CAST(1000000 + tender_no AS STRING) || '</td><td>' || title || '</td><td><b>' || title || ' &amp; more</b></td><td>ΔΗΜΟΣ ' || place || '</td><td>' || deadline || ' 10:00</td></tr>' AS row FROM {tenders}
+    UNION ALL SELECT tender_no DIV 500 + 1000000000, '<tr role="row"><td>' || CAST(1000000 + tender_no AS STRING) || '</td><td>again</td></tr>' FROM {tenders} WHERE official) x GROUP BY page"""
 
 
 @query("a5_extract_html_table_rows", cte("tenders") + """
   SELECT CAST(1000000 + tender_no AS VARCHAR) AS official_id, title || ' & more' AS title, 'ΔΗΜΟΣ ' || place AS authority, CAST(NULL AS VARCHAR) AS published_at FROM tenders""")
 def _(t: Tables):
-    rows = pages.extract_html_table_rows(t.sql(_GRID), "html", ["customer_no"], ["customer_no"])
+    rows = pages.extract_html_table_rows(t.sql(_GRID), "html", ["page"], ["page"])
     return rows.select("official_id", "title", "authority", "published_at")
 
 
 @query("a5_grid_rows", cte("tenders") + """
   SELECT CAST(1000000 + tender_no AS VARCHAR) AS official_id, title, 'ΔΗΜΟΣ ' || place AS authority, deadline || ' 10:00' AS published_at, CAST(NULL AS VARCHAR) AS submission_deadline FROM tenders""")
 def _(t: Tables):
-    rows = pages.extract_html_table_rows(t.sql(_GRID), "html", ["customer_no"], ["customer_no"], mode="grid")
+    rows = pages.extract_html_table_rows(t.sql(_GRID), "html", ["page"], ["page"], mode="grid")
     return rows.select("official_id", "title", "authority", "published_at", "submission_deadline")
 
 

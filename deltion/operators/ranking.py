@@ -154,6 +154,31 @@ def fill_marker(markers: Column) -> Column:
     return F.aggregate(markers, start, step, lambda acc: acc["out"])
 
 
+def fill_marker_rows(df: DataFrame, keys, order: Order, marker: str, bucket: Column, name: str = "number") -> DataFrame:
+    """the same over rows of a group: a row marked `~` has the last number before it plus the `~` since.
+
+    `bucket` must not decrease along the order and bounds what one window holds. A bucket hands on its last number, with the
+    `~` after it, to the buckets behind it; these are one row each. Other marks have no number and change nothing.
+    """
+    keys = _list(keys)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*_list(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stated, steps = F.col(marker).try_cast("int"), F.count_if(F.coalesce(F.col(marker) == "~", F.lit(False))).over(inside)
+    rows = df.withColumn("_bucket", bucket).withColumn("_steps", steps)
+    # A number less the steps before it: added to the steps at a later row, it gives that row's number.
+    rows = rows.withColumn("_base", F.last(stated - F.col("_steps"), ignorenulls=True).over(inside))
+    ends = rows.groupBy(*keys, "_bucket").agg(F.max("_steps").alias("_n"), F.max(F.struct(*_list(order), F.col("_base").alias("_base"))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_sum", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    carried = F.last(F.col("_end._base") - F.col("_sum"), ignorenulls=True).over(before)
+    ends = ends.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_bucket").alias("_at"), (carried + F.col("_sum")).alias("_carried"))
+    same = F.col("_bucket") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = rows.join(ends, same, "left")
+    number = F.when(F.col(marker) == "~", F.coalesce("_base", "_carried") + F.col("_steps")).otherwise(stated)
+    return out.select(*df.columns, number.cast("int").alias(name))
+
+
 def latest_run(df: DataFrame, seq: str, success: Column | None = None) -> DataFrame:
     """the latest run, or the latest successful one."""
     if success is not None:

@@ -143,3 +143,19 @@ def test_documents_without_text_are_not_searchable(spark):
     assert sorted((r.attachment_id, r.text) for r in links.attachments_with_documents(attachments, docs).collect()) == [(1, "text"), (2, "")]
     shown = {r.attachment_id: r["sample"] for r in links.document_preview(tenders, attachments, docs, "tender_id").collect()}
     assert shown == {1: "text", 2: None}
+
+
+def test_marks_over_rows_equal_the_fold(spark):
+    rng = random.Random(11)
+    rows = [(g, i, rng.choice(["~", "~", "~", str(rng.randint(1, 50)), "x", None])) for g in ("a", "b", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, i int, mark string")
+    want = {}
+    for g in ("a", "b", None):
+        last = None
+        for _, i, m in (r for r in rows if r[0] == g):
+            number = (last + 1 if last is not None else None) if m == "~" else int(m) if m and m.isdigit() else None
+            last = number if number is not None else last
+            want[g, i] = number
+    for width in (1, 3, 7, 100):
+        got = {(r.g, r.i): r.number for r in ranking.fill_marker_rows(df, "g", "i", "mark", F.floor(F.col("i") / width)).collect()}
+        assert got == want, width
