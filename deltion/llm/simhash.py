@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltion.llm.shared import settle
+from deltion.llm.shared import lean, settle
 
 SEED = 42
 FAN = 16
@@ -103,7 +103,7 @@ def shingle_sets(docs: DataFrame, shingle: int, id_column: str, text_column: str
             columns = [pa.array(digests, pa.int64()), pa.array(fps, pa.int64()), pa.array(banded, pa.list_(pa.int64())), pa.array(members, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_column, "digest", "fp", "bands", "members"])
 
-    return docs.select(id_column, text_column).mapInArrow(work, f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, digest long, fp long, bands array<long>, members binary")
+    return docs.select(id_column, text_column).mapInArrow(lean(work), f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, digest long, fp long, bands array<long>, members binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -122,7 +122,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     one, other = (sets.select(F.col("digest").alias(c), F.col("members").alias(f"members_{c}")) for c in ("a", "b"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "members_a", "members_b").mapInArrow(work, "a long, b long")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "members_a", "members_b").mapInArrow(lean(work), "a long, b long")
 
 
 def blocks_of(free: list[int], parts: int) -> list[int]:

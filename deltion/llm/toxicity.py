@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltion.llm.shared import held_out, settle
+from deltion.llm.shared import held_out, lean, settle
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -58,7 +58,7 @@ def training_sample(labels: DataFrame, settings: Settings) -> DataFrame:
     return label_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_training_rows)
 
 
-def count_features(rows: DataFrame, flush: int = 200_000) -> DataFrame:
+def count_features(rows: DataFrame, flush: int = 60_000) -> DataFrame:
     """Documents with each feature: (feature, toxic, clean, corpus); `toxic` is null where the label is not known.
 
     The feature of the empty word counts the documents themselves. A task sends its counts on whenever it holds `flush`.
@@ -94,7 +94,7 @@ def count_features(rows: DataFrame, flush: int = 200_000) -> DataFrame:
         yield flushed()
 
     sums = [F.sum(c).alias(c) for c in ("toxic", "clean", "corpus")]
-    return rows.mapInArrow(work, "feature string, toxic long, clean long, corpus long").groupBy("feature").agg(*sums)
+    return rows.mapInArrow(lean(work), "feature string, toxic long, clean long, corpus long").groupBy("feature").agg(*sums)
 
 
 def log_odds(counts: DataFrame, toxic_docs: int, clean_docs: int, all_docs: int, settings: Settings) -> DataFrame:
@@ -137,7 +137,7 @@ class Weights(dict):
 class Scorer:
     """Scores texts with a model."""
 
-    def __init__(self, model: Model, cache_words: int = 150_000):
+    def __init__(self, model: Model, cache_words: int = 60_000):
         self.model, self.weights = model, Weights(model.weights, cache_words)
 
     def hits(self, text: str) -> tuple[int, list[tuple[int, float]]]:
@@ -199,7 +199,7 @@ def found_hits(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches):
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             counts, bins, scores = [], [], []
             for text in batch.column(1):
                 n, hits = scorer.hits(text.as_py() or "")
@@ -210,7 +210,7 @@ def found_hits(docs: DataFrame, model: Model) -> DataFrame:
             columns = [pa.array(counts, pa.int64()), pa.array(bins, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "bins", "scores"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_words long, bins array<int>, scores array<float>")
+    return docs.select("doc_id", "text").mapInArrow(lean(work), f"doc_id {kind}, n_words long, bins array<int>, scores array<float>")
 
 
 def decay_of(bins: dict[int, int], model: Model) -> float:
@@ -370,4 +370,4 @@ def without_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> D
                 keep.append(scorer.score(scorer.evidence(n, scorer.significant(n, scorer.segments(hits)))) < 0.5)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lean(work), docs.schema)
