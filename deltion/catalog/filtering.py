@@ -260,7 +260,7 @@ def _(t: Tables):
     return out.select("tender_no", "row_key", F.col("official_status_label").alias("label"), "deadline_display", "deadline_sort", "registry_url")
 
 
-@query("c25_registry_numeric_id", cte("tenders") + "SELECT tender_no, tender_no % 4 IN (0, 1) AS is_registry FROM tenders")
+@query("c25_registry_numeric_id", cte("tenders") + r"SELECT tender_no, tender_no % 4 IN (0, 1) AND regexp_full_match(CAST(100000 + tender_no AS VARCHAR), '[0-9]{6}') AS is_registry FROM tenders")
 def _(t: Tables):
     raw = t.sql("""SELECT tender_no, CAST(100000 + tender_no AS STRING) AS id, CASE tender_no % 4 WHEN 0 THEN 'ESHIDIS' ELSE 'WEB' END AS kind,
       CASE tender_no % 4 WHEN 1 THEN 'στο Ε.Σ.Η.ΔΗ.Σ ' WHEN 2 THEN 'https://ted.europa.eu/ ' ELSE '' END || title AS body FROM {tenders}""")
