@@ -113,7 +113,7 @@ def _(t: Tables):
 
 
 @query("i10_extract_ids", cte("tenders") + """
-  SELECT tender_no, CASE m WHEN 0 THEN id6 WHEN 1 THEN id6 WHEN 2 THEN id5 ELSE '' END AS ids, CASE m WHEN 0 THEN id6 WHEN 1 THEN id6 END AS system_id
+  SELECT tender_no, CASE WHEN m < 2 AND length(id6) = 6 THEN id6 WHEN m = 2 THEN id5 ELSE '' END AS ids, CASE WHEN m < 2 AND length(id6) BETWEEN 5 AND 7 THEN id6 END AS system_id
   FROM (SELECT tender_no, tender_no % 4 AS m, CAST(100000 + tender_no AS VARCHAR) AS id6, CAST(10000 + tender_no % 10000 AS VARCHAR) AS id5 FROM tenders)""")
 def _(t: Tables):
     raw = t.sql("""
