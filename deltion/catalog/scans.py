@@ -175,8 +175,10 @@ def _(t: Tables):
 
 @query("a8_scan_files", """SELECT 'pages.parquet' AS name, count(*) > 0 AS found, 64 AS digest_length FROM pages""")
 def _(t: Tables):
-    files = reports.scan_files(t.spark, t.folder, "pages.parquet")
-    return files.select("name", (F.col("size_bytes") > 0).alias("found"), F.length("sha256").alias("digest_length"))
+    # A table is one file or a folder of them; all its files are read.
+    files = reports.scan_files(t.spark, f"{t.folder}/pages.parquet", "*.parquet")
+    table = F.regexp_extract("path", r"([^/]+\.parquet)(?:/[^/]+)?$", 1).alias("name")
+    return files.groupBy(table).agg((F.min("size_bytes") > 0).alias("found"), F.min(F.length("sha256")).alias("digest_length"))
 
 
 _RULES = rules.load_evaluation_rules({"rules": [

@@ -29,7 +29,7 @@ def larger(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["c25_registry_numeric_id", "i10_extract_ids"])
+@pytest.mark.parametrize("name", ["c25_registry_numeric_id", "i10_extract_ids", "a8_scan_files"])
 def test_query_equals_sql(spark, larger, name):
     folder, con = larger
     assert compare(QUERIES[name](spark, folder), con, ORACLES[name]) == []
