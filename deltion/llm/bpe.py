@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from deltion.llm.shared import lean
+
 # Fixed values of the tokenizer format.
 END = "</w>"
 SPACE = "[\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
@@ -199,4 +201,4 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(lists, pa.list_(pa.int32()))] * ids, names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
 
-    return docs.select(id_column, text_column).mapInArrow(work, fields)
+    return docs.select(id_column, text_column).mapInArrow(lean(work), fields)

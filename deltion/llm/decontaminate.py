@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltion.llm.shared import settle
+from deltion.llm.shared import lean, settle
 
 
 @dataclass
@@ -152,7 +152,7 @@ def sketch(docs: DataFrame, settings: Settings, text_column: str = "text") -> tu
     fields = "slice int, part binary, passages long"
     # Few tasks: each gives a whole matrix.
     distinct = docs.select(text_column).mapInArrow(passages_of, "passage binary").distinct().coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
-    found = sorted(distinct.mapInArrow(work, fields).repartition(slices, "slice").mapInArrow(add, fields).collect())
+    found = sorted(distinct.mapInArrow(lean(work), fields).repartition(slices, "slice").mapInArrow(add, fields).collect())
     if not found:
         return np.zeros(d), np.zeros((d, settings.sketch)), 0
     whole = np.concatenate([np.frombuffer(r.part).reshape(-1, width) for r in found])
@@ -333,7 +333,7 @@ def search(docs: DataFrame, space: Space, items: Items, settings: Settings, id_c
                 columns = [pa.array(item, pa.int32()), pa.array(cosine, pa.float64()), pa.array([len(items.words[i]) for i in item], pa.int32()), pa.array(found, pa.int32()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(share, pa.float64()), pa.array(verdict, pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], names=["id", "item", "cosine", "item_words", "in_order", "first_word", "last_word", "answer_found", "kind"])
 
-    return docs.select(id_column, text_column).mapInArrow(work, f"id {kind}, {MATCHES}")
+    return docs.select(id_column, text_column).mapInArrow(lean(work), f"id {kind}, {MATCHES}")
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", t
             found = np.array([fingerprint((t.as_py() or "").encode(), shingle) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64), pa.int64())], names=[id_column, "fp"])
 
-    return docs.select(id_column, text_column).mapInArrow(work, f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, fp long")
+    return docs.select(id_column, text_column).mapInArrow(lean(work), f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, fp long")
 
 
 def shingle_set(data: bytes, shingle: int) -> np.ndarray:
@@ -153,7 +153,7 @@ def cut(cells: DataFrame, distance: int) -> DataFrame:
             new_mask, new_fp = np.concatenate(out_mask), np.concatenate(out_fp)
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (new_mask, new_mask & new_fp, new_fp)], names=["mask", "value", "fp"])
 
-    return cells.select("mask", "value", "fp").mapInArrow(work, "mask long, value long, fp long")
+    return cells.select("mask", "value", "fp").mapInArrow(lean(work), "mask long, value long, fp long")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -281,7 +281,7 @@ def cell_links(cells: DataFrame, distance: int, partitions: int, edges_of=stars)
             yield pack(found)
 
     dealt = cells.repartition(partitions, "mask", "value").sortWithinPartitions("mask", "value")
-    return dealt.select("mask", "value", "fp").mapInArrow(work, "a long, b long")
+    return dealt.select("mask", "value", "fp").mapInArrow(lean(work), "a long, b long")
 
 
 def links(fps: DataFrame, distance: int, edges_of=stars) -> DataFrame:

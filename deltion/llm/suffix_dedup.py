@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltion.llm.shared import free_name, settle
+from deltion.llm.shared import free_name, lean, settle
 from deltion.llm.suffix_array import common_prefixes, suffix_array
 
 GRAM = 24
 NO_ID = (1 << 63) - 1  # a null id comes after all others
 PIECE = 2_000_000  # bytes of a document that are hashed at a time
 COMBINED = 200_000  # runs among which equal contexts are settled before the shuffle
-SHARD = 4_000_000  # bytes of contexts in one suffix array
+SHARD = 1_000_000  # bytes of contexts in one suffix array
 WIDE = 4096  # contexts of one anchor from which on windows are settled one by one
 SAMPLE_DOCS = 4000  # documents in which frequent anchors are looked for; they only decide how rows are dealt
 
@@ -140,7 +140,7 @@ def document_runs(docs: DataFrame, length: int, frequent: frozenset[int]) -> Dat
             yield _batch(RUN, s, e, d, v, np.zeros(len(d), np.int64))
 
     hot_grams = np.array(sorted(frequent), np.int64)
-    return docs.mapInArrow(work, RUN_FIELDS)
+    return docs.mapInArrow(lean(work), RUN_FIELDS)
 
 
 def frequent_grams(docs: DataFrame, length: int) -> frozenset[int]:
@@ -161,7 +161,7 @@ def frequent_grams(docs: DataFrame, length: int) -> frozenset[int]:
     if total < least:
         return frozenset()
     sample = docs if total <= SAMPLE_DOCS else docs.sample(fraction=SAMPLE_DOCS / total, seed=5)
-    found = sample.select("text").mapInArrow(work, "gram long").groupBy("gram").count().where(F.col("count") >= least).select("gram").collect()
+    found = sample.select("text").mapInArrow(lean(work), "gram long").groupBy("gram").count().where(F.col("count") >= least).select("gram").collect()
     return frozenset(r.gram for r in found)
 
 
@@ -230,7 +230,7 @@ def compare_runs(rows: DataFrame) -> DataFrame:
         if held:
             yield from closer(held, contexts)
 
-    return rows.mapInArrow(work, FOUND_FIELDS)
+    return rows.mapInArrow(lean(work), FOUND_FIELDS)
 
 
 WINDOWS = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
@@ -260,7 +260,7 @@ def cut_contexts(docs: DataFrame, length: int) -> DataFrame:
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(rows, WINDOWS, strict=True)], schema=WINDOWS)
 
-    return docs.mapInArrow(work, "gram long, doc long, version long, start long, bytes binary")
+    return docs.mapInArrow(lean(work), "gram long, doc long, version long, start long, bytes binary")
 
 
 def trimmed(contexts: list[bytes], length: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -353,7 +353,7 @@ def settle_shards(windows: DataFrame, length: int) -> DataFrame:
         if held:
             yield shard(held)
 
-    return windows.mapInArrow(work, "doc long, version long, start long, end long")
+    return windows.mapInArrow(lean(work), "doc long, version long, start long, end long")
 
 
 def document_of(docs: DataFrame, id_column: str) -> Column:
@@ -438,7 +438,7 @@ def removal_report(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.string())], names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return with_spans(docs.select(id_column, text_column), spans, id_column, text_column).mapInArrow(work, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs.select(id_column, text_column), spans, id_column, text_column).mapInArrow(lean(work), f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -472,4 +472,4 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id",
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return with_spans(docs, spans, id_column, text_column).mapInArrow(work, docs.schema)
+    return with_spans(docs, spans, id_column, text_column).mapInArrow(lean(work), docs.schema)

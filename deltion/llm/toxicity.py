@@ -243,7 +243,7 @@ def weight_bins(clean: DataFrame) -> dict[int, int]:
                         total[0] -= n
         yield pa.RecordBatch.from_pydict({"bin": list(total), "n": list(total.values())}, schema=pa.schema([("bin", pa.int32()), ("n", pa.int64())]))
 
-    found = clean.select("n_words", "bins").mapInArrow(work, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    found = clean.select("n_words", "bins").mapInArrow(lean(work), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
     return {r.bin: r.n for r in found}
 
 
@@ -351,7 +351,7 @@ def score_documents(docs: DataFrame, model: Model, passages: bool = True) -> Dat
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted", "n_words", "evidence", "passages"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(work, f"doc_id {kind}, held_out boolean, {SCORE_FIELDS}")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(lean(work), f"doc_id {kind}, held_out boolean, {SCORE_FIELDS}")
 
 
 def without_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:

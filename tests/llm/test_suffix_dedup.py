@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from deltion.llm import suffix_array, suffix_dedup
@@ -112,3 +113,25 @@ def test_many_equal_rows_without_id(spark):
 def test_text_ids_raise(spark):
     with pytest.raises(TypeError, match="doc_id"):
         suffix_dedup.repeated_spans(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_a_shard_takes_little_memory():
+    """A task holds the arrays of one shard at a time: well under 100 MB, two tasks run beside each other in an executor."""
+    import tracemalloc
+
+    class Frame:
+        def mapInArrow(self, work, schema):  # noqa: N802
+            return work
+
+    r = np.random.default_rng(1)
+    same = r.bytes(140)
+    contexts = [r.bytes(30) + same + r.bytes(30) if k % 2 else r.bytes(200) for k in range(40_000)]
+    n = len(contexts)
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((range(n), range(n), [0] * n, [0] * n, contexts), suffix_dedup.WINDOWS, strict=True)], schema=suffix_dedup.WINDOWS)
+    work = suffix_dedup.settle_shards(Frame(), 100)
+    tracemalloc.start()
+    found = sum(b.num_rows for b in work(batch.slice(k, 2000) for k in range(0, n, 2000)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("peak MB", peak >> 20)
+    assert found and peak < 100 << 20
