@@ -373,43 +373,157 @@ def compare(pairs: DataFrame, rows: DataFrame, similarity: float, label: str) ->
     return settle(similar(pairs, sets, similarity), f"{label}-links")
 
 
-def apart(cells: DataFrame, roots: DataFrame) -> DataFrame:
-    """(digest, size, cell, root) of the cells whose members are not of one group, as a written table."""
-    placed = cells.join(roots, cells["digest"] == roots["node"], "left").select("digest", "size", "cell", F.coalesce("root", "digest").alias("root"))
-    several = placed.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("cell")
-    return settle(placed.join(several, "cell", "left_semi"), "simhash-apart")
-
-
-def linked_in_rounds(nodes: DataFrame, rows: DataFrame, found: DataFrame, similarity: float, patience: int = 2) -> DataFrame:
-    """(node, root) after members of bands that are still apart were compared with other members of them.
-
-    A member that is not similar to one hub of a large family may be to another. So bands that hold several groups are cut
-    again, into cells of two bands (at a similarity of 0.8, 98 % of pairs share two bands or more; at 0.7 few do). In every
-    round a cell takes the member with the smallest hash of digest, cell and round as its hub; members of other groups than
-    the hub's are compared with it, if the sizes of their sets allow that similarity at all. The rounds end when
-    `patience` of them in a row find no link, or no cell holds several groups. A cell gives one pair for each member in a
-    round, however large it is.
+def frequent(rows: DataFrame, least: int = 4, limit: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, how many sets hold them) of the shingles that many sets share, sorted by hash.
+
+    Counted in one set in 16, or in some 4 000 where there are fewer. They only decide in which order the shingles of a set are
+    taken and how a cell is dealt; the pairs found do not depend on them.
+    """
+
+    def work(batches):
+        for batch in batches:
+            held = [np.frombuffer(m.as_py(), np.uint32).view(np.int32) for m in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*held, np.zeros(0, np.int32)]))], names=["token"])
+
+    step = min(16, max(1, rows.count() // 4000))
+    counts = rows.where(F.pmod(F.xxhash64("digest"), F.lit(step)) == 0).select("members").mapInArrow(lean(work), "token int").groupBy("token").count()
+    found = np.array([(r[0], r[1]) for r in counts.where(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(limit).collect()], np.int64).reshape(-1, 2)
+    hashes = found[:, 0].astype(np.int32).view(np.uint32)
+    order = np.argsort(hashes)
+    return hashes[order], found[order, 1] * step
+
+
+def prefix(members: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The leading shingles of a set in the order from rare to frequent, then by hash: one more than it may lack of those that a
+    set of this similarity shares with it, so the leading shingles of both have one in common."""
+    n = len(members)
+    size = n - int(np.ceil(similarity * n - 1e-6)) + 1 if n else 0
+    at = np.searchsorted(known, members)
+    often = np.zeros(n, bool)
+    inside = at < len(known)
+    often[inside] = known[at[inside]] == members[inside]
+    rare = members[~often]
+    if len(rare) >= size:
+        return rare[:size]
+    return np.concatenate([rare, members[often][np.argsort(counts[at[often]], kind="stable")]])[:size]
+
+
+def prefixes(rows: DataFrame, known: np.ndarray, counts: np.ndarray, similarity: float) -> DataFrame:
+    """(digest, size, prefix) of the distinct sets."""
+
+    def work(batches):
+        for batch in batches:
+            sets = [np.frombuffer(m.as_py(), np.uint32) for m in batch.column(1)]
+            leading = [prefix(x, known, counts, similarity).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(leading, pa.binary())], names=["digest", "size", "prefix"])
+
+    found = rows.select("digest", "members").mapInArrow(lean(work), "digest long, size int, prefix binary")
+    return found.groupBy("digest").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+
+
+def class_of(digest: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return ((digest.view(np.uint64) >> np.uint64(20)) % classes.astype(np.uint64)).astype(np.int64)
+
+
+def cells_of(placed: DataFrame, known: np.ndarray, counts: np.ndarray, block: int = 2048) -> DataFrame:
+    """(cell, digest, root, place) for each leading shingle; `place` has the size of the set and, in the lower half, where it stands.
+
+    The sets that share a frequent shingle are dealt to classes (1 000 at most), and each pair of classes has a cell of its
+    own. A cell has the shingle in its lower half and, above it, the two classes and how many there are.
     """
-    roots, misses, round_ = components(found), 0, 0
-    single = apart(nodes.select("digest", "size", F.explode("bands").alias("cell")), roots)
-    own = single.groupBy("digest", "size").agg(F.collect_list("cell").alias("bands"))  # as many as a node has bands, at most
-    both = F.flatten(F.transform("bands", lambda x, i: F.transform(F.slice("bands", i + 2, F.size("bands")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-    cells = own.select("digest", "size", F.explode(both).alias("cell"))
-    while misses < patience:
-        cells = apart(cells, roots)
-        if cells.isEmpty():
+
+    def work(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                digest, root, size = (part.column(c).to_numpy(zero_copy_only=False) for c in ("digest", "root", "size"))
+                tokens = [np.frombuffer(p.as_py(), np.uint32) for p in part.column(3)]
+                lengths = np.array([len(t) for t in tokens], np.int64)
+                token = np.concatenate([*tokens, np.zeros(0, np.uint32)])
+                row, at = np.repeat(np.arange(len(tokens)), lengths), np.concatenate([*map(np.arange, lengths), np.zeros(0, np.int64)])
+                where = np.searchsorted(known, token)
+                often = where < len(known)
+                often[often] = known[where[often]] == token[often]
+                classes = np.ones(len(token), np.int64)
+                classes[often] = np.minimum(1 + counts[where[often]] // block, 1000)
+                own = class_of(digest[row], classes)
+                first = np.repeat(np.arange(len(token)), classes)
+                other = np.arange(len(first)) - np.repeat(np.cumsum(classes) - classes, classes)
+                own, low, high = own[first], np.minimum(own[first], other), np.maximum(own[first], other)
+                cell = token[first].astype(np.int64) | low << 52 | high << 42 | (classes[first] - 1) << 32
+                row, at = row[first], at[first]
+                place = size[row].astype(np.int64) << 32 | at
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell, digest[row], root[row], place)], names=["cell", "digest", "root", "place"])
+
+    return placed.select("digest", "root", "size", "prefix").mapInArrow(lean(work), "cell long, digest long, root long, place long")
+
+
+def pairs_of(columns: list[np.ndarray], similarity: float, emit: int = 100_000):
+    """Arrays (a, b) of the digests of a run of whole cells, sorted by cell, that are in different groups and can be similar.
+
+    Where the first shingle that two sets share stands at i and j, they share no more than what follows in either.
+    """
+    cell, digest, root, place = columns
+    size, at = place >> 32, place & 0xFFFFFFFF
+    mixed = cell >> 52 != cell >> 42 & 1023
+    side = class_of(digest, (cell >> 32 & 1023) + 1)
+    left, need, held, n = np.arange(len(cell)), similarity / (1 + similarity), [], 0
+    for step in range(1, len(cell)):
+        left = left[left + step < len(cell)]
+        left = left[cell[left] == cell[left + step]]
+        if not len(left):
             break
-        hub = F.min(F.struct(F.xxhash64("digest", "cell", F.lit(round_)), F.col("digest").alias("hub"), F.col("root").alias("hub_root"), F.col("size").alias("hub_size"))).alias("h")
-        pairs = cells.join(cells.groupBy("cell").agg(hub), "cell").where(F.col("root") != F.col("h.hub_root"))
-        pairs = pairs.where(F.least("size", "h.hub_size") >= similarity * F.greatest("size", "h.hub_size"))
-        more = compare(pairs.select(F.col("digest").alias("a"), F.col("h.hub").alias("b")), rows, similarity, f"simhash-round-{round_}")
-        cells, round_ = cells.select("digest", "size", "cell"), round_ + 1
-        if more.isEmpty():
-            misses += 1
-        else:
-            misses, found = 0, found.unionByName(more)
-            roots = components(found)
-    return roots
+        i, j = left, left + step
+        i, j = (x[(root[i] != root[j]) & (~mixed[i] | (side[i] != side[j]))] for x in (i, j))
+        near = np.minimum(size[i] - at[i], size[j] - at[j]) >= np.maximum(need * (size[i] + size[j]), 1) - 1e-6
+        near &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
+        i, j = digest[i[near]], digest[j[near]]
+        if len(i):
+            held.append(np.stack([np.maximum(i, j), np.minimum(i, j)], 1))
+            n += len(i)
+        if n > emit:
+            yield np.unique(np.concatenate(held), axis=0).T
+            held, n = [], 0
+    if held:
+        yield np.unique(np.concatenate(held), axis=0).T
+
+
+def cell_pairs(cells: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b), a > b, of all cells. A task streams through its cells and holds one batch and the cell at its end."""
+
+    def work(batches):
+        held = None
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
+            for a, b in pairs_of([c[:last] for c in columns], similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            held = [c[last:].copy() for c in columns]
+        if held is not None:
+            for a, b in pairs_of(held, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    partitions = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(lean(work), "a long, b long")
+
+
+def linked_exactly(rows: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) after every pair of sets that can reach the similarity was compared or is in one group already.
+
+    Sets of at least this similarity share one of their leading shingles (`prefix`), so no pair is left out. A large family of
+    near copies whose members are not similar to each other still gives a comparison for each two of them that sizes and places
+    of shingles allow: that part grows with the square of the family.
+    """
+    roots = settle(components(found), "simhash-roots")
+    known, counts = frequent(rows)
+    leading = prefixes(rows, known, counts, similarity).where("size > 0")
+    placed = leading.join(roots, leading["digest"] == roots["node"], "left").select("digest", F.coalesce("root", "digest").alias("root"), "size", "prefix")
+    more = compare(cell_pairs(cells_of(placed, known, counts), similarity), rows, similarity, "simhash-exact")
+    return roots if more.isEmpty() else components(found.unionByName(more))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 7, id_column: str = "doc_id", text_column: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -417,15 +531,15 @@ def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 7, id_column:
 
     Rows without an id come after those with one. Groups are what pairs of at least `similarity` connect, the Jaccard
     similarity of their distinct shingles. Pairs to compare come from fingerprints of distinct shingles within `distance`
-    bits, and from bands of smallest hashes: at a similarity of 0.8 two fingerprints differ in about 10 bits. What a band holds
-    apart is compared again with other members of the band (`linked_in_rounds`). Rows with equal shingles are one node
-    throughout; null and empty texts are equal.
+    bits, and from bands of smallest hashes: at a similarity of 0.8 two fingerprints differ in about 10 bits. Pairs that are still
+    apart and share a leading shingle are compared after that, so none is left out (`linked_exactly`). Rows with equal shingles
+    are one node throughout; null and empty texts are equal.
     """
     key = F.struct(F.col(id_column).isNull().alias("n"), F.col(id_column).alias("i"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("t"))
     rows = settle(shingle_sets(docs.select(key.alias("_key"), F.col(text_column).alias("_text")), shingle, "_key", "_text"), "shingle-sets")
-    nodes = settle(rows.groupBy("digest", "fp", "bands", F.octet_length("members").alias("size")).agg(F.min("_key").alias("_key")), "shingle-nodes")
+    nodes = settle(rows.groupBy("digest", "fp", "bands").agg(F.min("_key").alias("_key")), "shingle-nodes")
     first = compare(fingerprint_pairs(nodes, distance).unionByName(band_pairs(nodes)), rows, similarity, "simhash")
-    roots = linked_in_rounds(nodes, rows, first, similarity)
+    roots = linked_exactly(rows, first, similarity)
     placed = nodes.join(roots, nodes["digest"] == roots["node"], "left").select("_key", F.coalesce("root", "digest").alias("root"))
     kept = placed.groupBy("root").agg(F.min("_key").alias("_key")).select("_key")
     rows = docs.select(F.struct("*").alias("row"), key.alias("_key")).join(kept, "_key", "left_semi")

@@ -46,3 +46,26 @@ def test_large_families(spark, seed, n, changes):
     removed, due = n - len(kept), n - len(want)
     print(f"family of {n}: {due} of them are to go, {removed} went")
     assert want <= kept and removed >= 0.95 * due
+
+
+@pytest.mark.parametrize("seed,n,words,changes", [(2, 900, 200, (3, 9)), (4, 200, 60, (1, 4)), (5, 250, 12, (0, 2))])
+def test_no_link_of_a_family_is_left_out(spark, seed, n, words, changes):
+    rows = family(seed, n, words, changes)
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == exact_groups(rows)
+
+
+def test_cells_of_frequent_shingles_are_dealt_without_losing_a_pair(spark):
+    import numpy as np
+
+    texts = spark.createDataFrame(family(6, 120, 80, (1, 5)), "doc_id long, text string")
+    rows = simhash.shingle_sets(texts, 5, "doc_id", "text")
+    sets = {r.digest: np.frombuffer(r.members, np.uint32) for r in rows.collect()}
+    share = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    want = {(a, b) for a in sets for b in sets if a > b and share(sets[a], sets[b]) >= 0.8}
+    known, counts = simhash.frequent(rows)
+    assert len(known) and want
+    leading = simhash.prefixes(rows, known, counts, 0.8).selectExpr("digest", "digest AS root", "size", "prefix")
+    for block in (2048, 8):
+        pairs = [(r.a, r.b) for r in simhash.cell_pairs(simhash.cells_of(leading, known, counts, block), 0.8).collect()]
+        assert want <= set(pairs)
