@@ -59,3 +59,12 @@ def test_keyword_list(spark):
 def test_project_title(spark):
     bodies = ["ΤΙΤΛΟΣ ΕΡΓΟΥ: Βελτίωση οδού Ιτέας ΥΠΟΕΡΓΟ 2", "ΤΙΤΛΟΣ ΕΡΓΟΥ: GR1601101250000000012300695 ΥΠΟΕΡΓΟ", "για το έργο/α: Συντήρηση δικτύου Επωνυμία δικαιούχου Χ"]
     assert values(spark, bodies, extract.project_title) == ["Βελτίωση οδού Ιτέας", None, "Συντήρηση δικτύου"]
+
+
+def test_clean_knows_every_space(spark):
+    from pyspark.sql import functions as F
+
+    from deltion.functions.text import WS, clean
+
+    rows = spark.createDataFrame([(i, f"a{chr(i)}{chr(i)}b") for i in [*range(1, 0xD800), *range(0xE000, 0x10000)]], "i int, x string")
+    assert rows.where(clean(F.col("x")) != F.trim(F.regexp_replace("x", f"{WS}+", " "))).count() == 0
