@@ -123,14 +123,14 @@ def _(t: Tables):
     UNION ALL SELECT v.row_key, 'document', d.source FROM v JOIN documents d ON v.tender_no = d.doc_id WHERE contains(lower(d.text), 'site 1'))
   SELECT row_key, kind, label FROM m""")
 def _(t: Tables):
-    rows = dash.dashboard(inputs(t), F.lit(AS_OF).cast("date"))
+    rows = dash.visible_rows(inputs(t), F.lit(AS_OF).cast("date"))
     docs = t.sql("SELECT t.row_key, d.source AS name, d.text FROM {documents} d JOIN {tenders} t ON t.tender_no = d.doc_id")
     return dash.reverse_search(rows, docs, "Site 1", None, None).select("row_key", "kind", "label")
 
 
 @query("k4_reverse_search_documents", _DASH + """ , v AS (SELECT * FROM s WHERE stage = 'visible'), m AS (SELECT v.row_key, d.source AS label FROM v JOIN documents d ON v.tender_no = d.doc_id WHERE contains(lower(strip_accents(d.text)), 'er')) SELECT row_key, 'document' AS kind, label FROM m""")
 def _(t: Tables):
-    rows = dash.dashboard(inputs(t), F.lit(AS_OF).cast("date"))
+    rows = dash.visible_rows(inputs(t), F.lit(AS_OF).cast("date"))
     docs = t.sql("SELECT t.row_key, d.source AS name, d.text FROM {documents} d JOIN {tenders} t ON t.tender_no = d.doc_id")
     return dash.reverse_search(rows, docs, "ér", None, None).filter("kind = 'document'").select("row_key", "kind", "label")
 
@@ -172,7 +172,7 @@ _FRESH = _DASH + """, v AS (SELECT * FROM s WHERE stage = 'visible'), q AS (SELE
 
 
 def _digest(t: Tables):
-    rows = dash.dashboard(inputs(t), F.lit(AS_OF).cast("date"))
+    rows = dash.visible_rows(inputs(t), F.lit(AS_OF).cast("date"))
     log = t.tenders.filter("segment = 'BUILDING'").select("row_key", F.lit("email").alias("channel"), F.lit(" ANN@example.org").alias("recipient"))
     return dash.digest(rows, _PEOPLE, log, [], F.lit(AS_OF).cast("date"))
 

@@ -40,8 +40,14 @@ class Inputs:
 
 
 def prepared(inp: Inputs) -> DataFrame:
-    """K2: all rows with label, evidence, link status, effective deadline and place of interest."""
+    """K2: all rows with label, evidence, link status, effective deadline and place of interest.
+
+    What is known about a row by itself is written once: both ends of the links and every later step read it, and a filter
+    on the place does not search the texts again.
+    """
     rows = links.row_facts(inp.rows, inp.dismissed, inp.overrides, inp.triage, inp.links)
+    text = F.concat_ws(" ", "title", "authority", "place")
+    rows = settle(rows.withColumn("interest_reason", filters.focus_location(text, inp.towns, inp.regions)))
     if inp.evidence is not None:
         rank = document_rank(F.col("name"), F.lit(""), F.size("linked_ids") > 0)
         rows = links.attach_document_evidence(rows, inp.evidence, rank, inp.evidence_documents)
@@ -49,9 +55,7 @@ def prepared(inp: Inputs) -> DataFrame:
         rows = rows.withColumn("document_evidence_count", F.lit(0).cast("long")).withColumn("evidence_deadline", F.lit(None).cast("string"))
     rows = links.resolve_targets(rows)
     deadline = filters.effective_deadline(F.col("deadline"), F.col("linked_deadline"), F.col("evidence_deadline"))
-    rows = rows.withColumn("effective_deadline", deadline)
-    text = F.concat_ws(" ", "title", "authority", "place")
-    return rows.withColumn("interest_reason", filters.focus_location(text, inp.towns, inp.regions))
+    return rows.withColumn("effective_deadline", deadline)
 
 
 def stages(as_of: Column) -> list[tuple[str, Column]]:
@@ -65,18 +69,23 @@ def stages(as_of: Column) -> list[tuple[str, Column]]:
     ]
 
 
-def dashboard(inp: Inputs, as_of: Column, profile: UserProfile | None = None, mode: str = "deadline_asc", rows: DataFrame | None = None) -> DataFrame:
-    """K2: the rows a user sees, sorted and explained."""
+def visible_rows(inp: Inputs, as_of: Column, profile: UserProfile | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """K2: the rows a user sees, written once and in no order: a sort, a digest and a search read them more than once."""
     rows = prepared(inp) if rows is None else rows
     for _, out in stages(as_of):
         rows = rows.filter(~F.coalesce(out, F.lit(False)))
-    profile = profile or UserProfile("")
-    rows = with_profile(rows, inp.taxonomy, profile).filter("profile_match.matches")
-    return sort_rows(explain_rows(rows), mode, key="row_key")
+    return settle(with_profile(rows, inp.taxonomy, profile or UserProfile("")).filter("profile_match.matches"))
+
+
+def dashboard(inp: Inputs, as_of: Column, profile: UserProfile | None = None, mode: str = "deadline_asc", rows: DataFrame | None = None) -> DataFrame:
+    """K2: the rows a user sees, sorted and explained."""
+    return sort_rows(explain_rows(visible_rows(inp, as_of, profile, rows)), mode, key="row_key")
 
 
 def with_profile(rows: DataFrame, taxonomy, profile: UserProfile) -> DataFrame:
     none = filters.taxonomy_labels(F.lit(""), F.lit(""), taxonomy)
+    if not profile.active:  # Fits every row: no text is searched.
+        return rows.withColumn("profile_match", filters.user_profile_match(F.lit(""), none, F.lit(None).cast("double"), profile))
     labels = filters.taxonomy_labels(F.concat_ws(" ", "title", "authority", "place"), F.lit(""), taxonomy) if profile.category_ids else none
     folded = haystack(*[F.col(c) for c in ("title", "authority", "row_key", "source", "interest_reason")])
     match = let(folded, lambda f: filters.user_profile_match(f, labels, F.col("budget").cast("double"), profile))
@@ -206,14 +215,15 @@ def reverse_search(rows: DataFrame, docs: DataFrame, query: str, max_rows: int |
         matches = top_per_key(matches, "row_key", [F.col("kind").desc(), F.col("label"), F.col("snippet")], max_matches, rank="match_rank")
     if max_rows is None:
         return matches
-    heads = matches.select("row_key").distinct().join(rows.select("row_key", "deadline_sort"), "row_key").orderBy("deadline_sort", "row_key").limit(max_rows)
+    dated = rows.select("row_key", sort_key(F.coalesce("effective_deadline", F.lit(""))).alias("deadline_sort"))
+    heads = matches.select("row_key").distinct().join(dated, "row_key").orderBy("deadline_sort", "row_key").limit(max_rows)
     return matches.join(heads.select("row_key"), "row_key", "left_semi")
 
 
 def digest(rows: DataFrame, profiles: Sequence[UserProfile], log: DataFrame, taxonomy, as_of: Column, channel: str = "email") -> tuple[DataFrame, DataFrame]:
     """K9: new rows per recipient that fit their profile, and the rows of each that need attention.
 
-    `rows` are dashboard rows without a user profile; every recipient is served in the same job.
+    `rows` are visible rows without a user profile, in any order; every recipient is served in the same job.
     """
     folded = haystack(*[F.col(c) for c in ("title", "authority", "row_key", "source", "interest_reason")])
     base = rows.withColumn("_f", folded).withColumn("_labels", filters.taxonomy_labels(F.concat_ws(" ", "title", "authority", "place"), F.lit(""), taxonomy))
@@ -225,7 +235,8 @@ def digest(rows: DataFrame, profiles: Sequence[UserProfile], log: DataFrame, tax
     keep = ["row_key", "title", "budget", "effective_deadline", "registry_id", "linked_ids", "document_evidence_count"]
     matched = for_each_rule(base, list(profiles), fits, keep).withColumn("channel", F.lit(channel))
     sent = log.select("row_key", "channel", F.lower(F.trim("recipient")).alias("recipient")).distinct()
-    fresh = matched.join(sent, ["row_key", "channel", "recipient"], "left_anti")
+    # The list and its buckets read the new rows; they are found once.
+    fresh = settle(matched.join(sent, ["row_key", "channel", "recipient"], "left_anti"))
     days = F.datediff(sort_key(F.col("effective_deadline")).try_cast("date"), as_of)
     has_id = F.col("registry_id").isNotNull() | (F.size("linked_ids") > 0)
     buckets = attention_buckets(fresh, days, F.col("document_evidence_count") > 0, has_id, F.col("budget"), "row_key", ["recipient"], 3)
