@@ -83,9 +83,13 @@ def extract_dates(text: Column) -> Column:
             def group(i: int) -> Column:
                 return F.regexp_extract(hit["m"], pattern, i)
 
+            def timed(date: Column) -> Column:
+                stamp = let(group(4), lambda hour: F.when(hour != "", F.concat(date, F.lit(" "), F.lpad(hour, 2, "0"), F.lit(":"), F.lpad(group(5), 2, "0"))).otherwise(date))
+                return F.when(date.try_cast("date").isNotNull(), stamp)
+
+            # The expression is tried once for each part of a hit; the parts are bound.
             date = F.concat_ws("-", group(year), F.lpad(group(month), 2, "0"), F.lpad(group(day), 2, "0"))
-            stamp = F.when(group(4) != "", F.concat(date, F.lit(" "), F.lpad(group(4), 2, "0"), F.lit(":"), F.lpad(group(5), 2, "0"))).otherwise(date)
-            return F.struct(hit["m"].alias("m"), hit["pos"].alias("pos"), F.when(date.try_cast("date").isNotNull(), stamp).alias("deadline_at"))
+            return F.struct(hit["m"].alias("m"), hit["pos"].alias("pos"), let(date, timed).alias("deadline_at"))
 
         return F.filter(F.transform(match_positions(text, pattern), one), lambda x: x["deadline_at"].isNotNull())
 
