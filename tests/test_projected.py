@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from deltion.catalog import load
 from deltion.functions import text
+from deltion.operators.ranking import marker_unit_prices
 
 QUERIES, _ = load()
 
@@ -28,3 +29,23 @@ def test_word_bounds(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.f for r in df.select(text.word_bounded(F.col("t"), "nation 7").alias("f")).collect()]
     assert got == [True, True, True, False, False, False, False, None]
+
+
+def test_dates_are_read_once(spark):
+    assert _plan(QUERIES["i7_extract_dates"](spark, "/root/testdata/sf0.001")).count("regexp_extract_all") == 2  # two ways to write a date
+
+
+def test_names_are_folded_once_for_their_rank(spark):
+    # Once for the rank, once for the order.
+    assert _plan(QUERIES["f5_top_evidence"](spark, "/root/testdata/sf0.001")).count("regexp_replace") == 2
+
+
+def test_external_lines_are_parsed_once(spark):
+    assert "regexp_replace" not in _plan(QUERIES["e26_accept_external_lines"](spark, "/root/testdata/sf0.001"))
+
+
+def test_markers_are_searched_once(spark):
+    texts = ["x\nA.T.: 5\n(Αριθμητικώς): 1,50\nΑΤ : 6\nno price", "A.T. :\n7\n(Αριθμητικώς): 2", "no marker: here", "A.T. 5", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(marker_unit_prices(F.col("t")).alias("p"))
+    assert [{k: float(v) for k, v in r.p.items()} for r in df.collect()] == [{5: 1.5}, {}, {}, {}, {}, {}]
+    assert _plan(QUERIES["f18_marker_unit_prices"](spark, "/root/testdata/sf0.001")).count(r"\b[AΑ]") == 1
