@@ -49,3 +49,9 @@ def test_markers_are_searched_once(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(marker_unit_prices(F.col("t")).alias("p"))
     assert [{k: float(v) for k, v in r.p.items()} for r in df.collect()] == [{5: 1.5}, {}, {}, {}, {}, {}]
     assert _plan(QUERIES["f18_marker_unit_prices"](spark, "/root/testdata/sf0.001")).count(r"\b[AΑ]") == 1
+
+
+def test_places_are_found_plainly_first(spark):
+    # The expression is tried only in texts that hold the place's name at all.
+    df = spark.createDataFrame([("a nation 7.",)], "t string").select(text.word_bounded(F.col("t"), "nation 7").alias("f"))
+    assert "Contains(t" in _plan(df)
