@@ -1,10 +1,13 @@
 """Steps whose cost grew faster than their tables: what a plan repeats, and the same results as before."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from deltion.catalog import load
 from deltion.functions import text
+from deltion.operators.links import fuzzy_best_match
 from deltion.operators.ranking import marker_unit_prices
 
 QUERIES, _ = load()
@@ -55,3 +58,20 @@ def test_places_are_found_plainly_first(spark):
     # The expression is tried only in texts that hold the place's name at all.
     df = spark.createDataFrame([("a nation 7.",)], "t string").select(text.word_bounded(F.col("t"), "nation 7").alias("f"))
     assert "Contains(t" in _plan(df)
+
+
+def test_fuzzy_pairs_are_scored_where_they_meet(spark):
+    # Candidate pairs are not gathered before they are scored: no aggregation has the words of both titles as its key.
+    assert not re.search(r"Aggregate \[[^\]]*\btok#[^\]]*\bo_tok#", _plan(QUERIES["d13_fuzzy_best_match"](spark, "/root/testdata/sf0.001")))
+
+
+def test_fuzzy_match_at_the_threshold(spark):
+    # 31 words of which as many are shared as the threshold asks for, with and without a place; the longer title on either side.
+    words = [f"word{i:03d}" for i in range(70)]
+    title = lambda shared, own: " ".join(words[:shared] + [f"{own}{i:03d}" for i in range(31 - shared)])
+    rows = [(f"{n}{place}", title(n, f"left{n}x"), "council one", place, []) for n in (15, 16, 21, 22, 23) for place in ("", "council")]
+    schema = "row_key string, title string, authority string, place string, linked_ids array<string>"
+    for more in ([], [f"more{i:03d}" for i in range(9)]):
+        official = spark.createDataFrame([("7", " ".join(words[:31] + more), "council one", "")], "registry_id string, title string, authority string, deadline string")
+        got = {r.row_key for r in fuzzy_best_match(spark.createDataFrame(rows, schema), official).collect()}
+        assert got == {k for k, t, _, place, _ in rows if int(k[:2]) / 31 * 0.62 + 0.28 + (0.12 if place else 0.0) >= 0.72}
