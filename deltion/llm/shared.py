@@ -39,6 +39,15 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `settle` wrote, once everything made of them is written itself and no later step reads them."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {os.path.dirname(file) for file in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the rows that no model may learn from; a null id is never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))

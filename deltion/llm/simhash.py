@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltion.llm.shared import lean, settle
+from deltion.llm.shared import forget, lean, settle
 
 SEED = 42
 FAN = 16
@@ -370,7 +370,9 @@ def compare(pairs: DataFrame, rows: DataFrame, similarity: float, label: str) ->
     pairs = settle(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-pairs")
     compared = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
     sets = settle(rows.join(compared, "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), f"{label}-sets")
-    return settle(similar(pairs, sets, similarity), f"{label}-links")
+    near = settle(similar(pairs, sets, similarity), f"{label}-links")
+    forget(pairs, sets)
+    return near
 
 
 def frequent(rows: DataFrame, least: int = 4, limit: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
@@ -541,6 +543,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 7, id_column:
     first = compare(fingerprint_pairs(nodes, distance).unionByName(band_pairs(nodes)), rows, similarity, "simhash")
     roots = linked_exactly(rows, first, similarity)
     placed = nodes.join(roots, nodes["digest"] == roots["node"], "left").select("_key", F.coalesce("root", "digest").alias("root"))
-    kept = placed.groupBy("root").agg(F.min("_key").alias("_key")).select("_key")
+    kept = settle(placed.groupBy("root").agg(F.min("_key").alias("_key")).select("_key"), "simhash-kept")
+    # Only the kept keys are read from here on; the sets of shingles are as large as the texts.
+    forget(rows, nodes)
     rows = docs.select(F.struct("*").alias("row"), key.alias("_key")).join(kept, "_key", "left_semi")
     return rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_copy = 1").select("row.*")

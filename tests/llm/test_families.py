@@ -1,10 +1,12 @@
 """Near copies of one text in large families: what goes against exact Jaccard groups."""
 
+import os
 import random
 
 import pytest
 
 from deltion.llm import simhash
+from deltion.llm.shared import shared_dir
 
 
 def family(seed, n, words, changes):
@@ -69,3 +71,13 @@ def test_cells_of_frequent_shingles_are_dealt_without_losing_a_pair(spark):
     for block in (2048, 8):
         pairs = [(r.a, r.b) for r in simhash.cell_pairs(simhash.cells_of(leading, known, counts, block), 0.8).collect()]
         assert want <= set(pairs)
+
+
+def test_sets_do_not_stay(spark):
+    # Tables as large as the texts are gone before the kept rows are read; what stays are keys and links.
+    before = set(os.listdir(shared_dir(spark)))
+    text = " ".join(f"w{k}" for k in range(300))
+    docs = spark.createDataFrame([(n, f"{text} {n}" if n % 2 else f"own{n} words") for n in range(1, 9)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 2, 4, 6, 8]
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared_dir(spark))) - before}
+    assert not left & {"shingle-sets", "shingle-nodes", "simhash-sets", "simhash-exact-sets", "simhash-pairs"}
