@@ -75,3 +75,9 @@ def test_fuzzy_match_at_the_threshold(spark):
         official = spark.createDataFrame([("7", " ".join(words[:31] + more), "council one", "")], "registry_id string, title string, authority string, deadline string")
         got = {r.row_key for r in fuzzy_best_match(spark.createDataFrame(rows, schema), official).collect()}
         assert got == {k for k, t, _, place, _ in rows if int(k[:2]) / 31 * 0.62 + 0.28 + (0.12 if place else 0.0) >= 0.72}
+
+
+def test_keywords_are_cleaned_once(spark):
+    df = spark.createDataFrame([("Ένα,  ένα ;\u00a0δύο  τρία\n,,ΔΎΟ τρία;b\u00e9,BE,,c",), ("",), (None,)], "t string").select(text.keyword_list(F.col("t"), cap=3).alias("k"))
+    assert [r.k for r in df.collect()] == [["Ένα", "δύο τρία", "bé"], [], []]
+    assert _plan(QUERIES["i19_keyword_list"](spark, "/root/testdata/sf0.001")).count("regexp_replace") == 1
