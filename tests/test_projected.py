@@ -81,3 +81,10 @@ def test_keywords_are_cleaned_once(spark):
     df = spark.createDataFrame([("Ένα,  ένα ;\u00a0δύο  τρία\n,,ΔΎΟ τρία;b\u00e9,BE,,c",), ("",), (None,)], "t string").select(text.keyword_list(F.col("t"), cap=3).alias("k"))
     assert [r.k for r in df.collect()] == [["Ένα", "δύο τρία", "bé"], [], []]
     assert _plan(QUERIES["i19_keyword_list"](spark, "/root/testdata/sf0.001")).count("regexp_replace") == 1
+
+
+def test_texts_without_references_are_not_searched_for_them(spark):
+    texts = ["a &amp;lt; b", "&#65;&#x42;&nbsp;c &unknown; &", "plain", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(text.unescape(F.col("t")).alias("u"))
+    assert [r.u for r in df.collect()] == ["a &lt; b", "AB\u00a0c &unknown; &", "plain", "", None]
+    assert re.search(r"CASE WHEN Contains\([^,]+, &\) THEN", _plan(df))
