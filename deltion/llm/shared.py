@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -40,12 +41,54 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete tables that `settle` wrote, once everything made of them is written itself and no later step reads them."""
+    """Delete tables that `settle` wrote, once everything made of them is written itself and no later step reads them.
+
+    The driver collects its garbage then: shuffle files of the steps before would stay until it happens to.
+    """
     for df in tables:
         context = df.sparkSession.sparkContext
         for folder in {os.path.dirname(file) for file in df.inputFiles()}:
             path = context._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def marked(hashes: DataFrame, most: int = 1 << 29):
+    """A test for arrays of 64-bit hashes: true for all hashes of the frame (its one column) and for few others, of 17 one or less.
+
+    It is a map of 16 to 32 bits for each row, 64 MB at most, made in parts by the tasks; beyond that more others pass.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    part, spark = 1 << 19, hashes.sparkSession
+    hashes = hashes.select(F.col(hashes.columns[0]).alias("hash"))
+    size = min(most, 1 << max(12, (16 * hashes.count()).bit_length()))
+
+    def work(batches):
+        parts = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (size - 1)
+            for k in np.unique(at // part).tolist():
+                bits = parts.setdefault(k, np.zeros(min(part, size) // 8, np.uint8))
+                here = at[at // part == k] % part
+                np.bitwise_or.at(bits, here >> 3, np.uint8(1) << (here & 7).astype(np.uint8))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["part", "bits"])
+
+    dealt = hashes.repartition(F.expr(f"(hash & {size - 1}) div {part}"))
+    bits = np.zeros(size // 8, np.uint8)
+    for k, found in dealt.mapInArrow(lean(work), "part long, bits binary").collect():
+        bits[k * part // 8 :][: len(found)] |= np.frombuffer(found, np.uint8)
+    held = spark.sparkContext.broadcast(bits)
+
+    def test(values):
+        at = values & (size - 1)
+        return (held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    return test
 
 
 def held_out(doc_id: Column) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltion.llm.shared import forget, lean, settle
+from deltion.llm.shared import forget, lean, marked, settle
 
 SEED = 42
 FAN = 16
@@ -365,13 +365,64 @@ def band_pairs(nodes: DataFrame) -> DataFrame:
     return banded.join(ends, "band").select(F.col("digest").alias("a"), F.explode(F.array("low", "high")).alias("b"))
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """A map of bits of the lower halves of the hashes, two to four bits (a power of two, 64 at least) for each member."""
+    bits = np.zeros(1 << max(6, (2 * len(members) - 1).bit_length()), np.uint8)
+    bits[members & np.uint32(len(bits) - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(x: bytes, size_x: int, y: bytes, size_y: int) -> int:
+    """No two sets with these sketches share more members than this: a bit that only one of them has is a member that the other lacks."""
+    least = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(np.frombuffer(m, np.uint8).reshape(-1, least), axis=0).view(np.uint64) for m in (x, y))
+    return min(size_x - int(np.bitwise_count(x & ~y).sum()), size_y - int(np.bitwise_count(y & ~x).sum()))
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches of their sets do not rule out; `sketches` has (digest, size, bits) once for each."""
+
+    def work(batches):
+        for batch in batches:
+            x, y, left = *(batch.column(c).to_pylist() for c in ("bits_a", "bits_b")), []
+            for p, m, q, n in zip(x, batch.column("size_a").to_pylist(), y, batch.column("size_b").to_pylist(), strict=True):
+                left.append(min(m, n) >= similarity * max(m, n) - 1e-6 and (both := most_shared(p, m, q, n)) >= similarity * (m + n - both) - 1e-6)
+            yield batch.select(["a", "b"]).filter(pa.array(left, pa.bool_()))
+
+    one, other = (sketches.select(F.col("digest").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
+    return pairs.join(one, "a").join(other, "b").mapInArrow(lean(work), "a long, b long")
+
+
+def sets_of(pairs: DataFrame, rows: DataFrame, columns: dict[str, str], make) -> DataFrame:
+    """(digest, columns) once for each digest of the pairs, as `make` gives the columns of the members.
+
+    Members are as much as the texts, so sets that a map of the digests rules out are not dealt.
+    """
+    compared = pairs.select(F.col("a").alias("digest")).union(pairs.select("b"))
+    known = marked(compared)
+
+    def work(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(known(batch.column(0).to_numpy())))
+            made = make([np.frombuffer(m.as_py(), np.uint32) for m in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["digest", *columns])
+
+    found = rows.select("digest", "members").mapInArrow(lean(work), ", ".join(["digest long", *(f"{c} {kind}" for c, kind in columns.items())]))
+    return found.join(compared.distinct(), "digest", "left_semi").groupBy("digest").agg(*(F.first(c).alias(c) for c in columns))
+
+
 def compare(pairs: DataFrame, rows: DataFrame, similarity: float, label: str) -> DataFrame:
-    """The pairs (a, b) of digests, a > b, whose sets have at least this similarity, as a written table; each is compared once."""
+    """The pairs (a, b) of digests, a > b, whose sets have at least this similarity, as a written table; each is compared once.
+
+    Sketches are a tenth of the sets; they go first and rule out most pairs that are not similar, and only those.
+    """
     pairs = settle(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-pairs")
-    compared = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    sets = settle(rows.join(compared, "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), f"{label}-sets")
-    near = settle(similar(pairs, sets, similarity), f"{label}-links")
-    forget(pairs, sets)
+    sketches = settle(sets_of(pairs, rows, {"size": "int", "bits": "binary"}, lambda sets: [pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary())]), f"{label}-sketches")
+    left = settle(possible(pairs, sketches, similarity), f"{label}-possible")
+    forget(pairs, sketches)
+    sets = settle(sets_of(left, rows, {"members": "binary"}, lambda sets: [pa.array([x.tobytes() for x in sets], pa.binary())]), f"{label}-sets")
+    near = settle(similar(left, sets, similarity), f"{label}-links")
+    forget(left, sets)
     return near
 
 
@@ -544,7 +595,13 @@ def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 7, id_column:
     roots = linked_exactly(rows, first, similarity)
     placed = nodes.join(roots, nodes["digest"] == roots["node"], "left").select("_key", F.coalesce("root", "digest").alias("root"))
     kept = settle(placed.groupBy("root").agg(F.min("_key").alias("_key")).select("_key"), "simhash-kept")
+    # Texts are dealt only where a row may have to go: those of no other key stay where they are.
+    keys = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).join(kept.withColumn("_kept", F.lit(True)), "_key", "left")
+    known = marked(keys.where("_n > 1 OR _kept IS NULL").select(F.xxhash64("_key").alias("hash")))
     # Only the kept keys are read from here on; the sets of shingles are as large as the texts.
     forget(rows, nodes)
-    rows = docs.select(F.struct("*").alias("row"), key.alias("_key")).join(kept, "_key", "left_semi")
-    return rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_copy = 1").select("row.*")
+    in_doubt = F.arrow_udf(lambda hashes: pa.array(known(hashes.to_numpy())), "boolean")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("_key")).withColumn("_doubt", in_doubt(F.xxhash64("_key")))
+    left = rows.where("_doubt").join(kept, "_key", "left_semi")
+    left = left.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_copy = 1")
+    return rows.where("NOT _doubt").select("row.*").unionByName(left.select("row.*"))

@@ -81,3 +81,39 @@ def test_sets_do_not_stay(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 2, 4, 6, 8]
     left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared_dir(spark))) - before}
     assert not left & {"shingle-sets", "shingle-nodes", "simhash-sets", "simhash-exact-sets", "simhash-pairs"}
+
+
+def test_sketches_rule_out_no_similar_pair_and_most_others():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    shares = lambda x, y: len(np.intersect1d(x, y))
+    ruled_out = others = 0
+    for n in (0, 1, 2, 31, 32, 33, 200, 1000):
+        base = np.unique(r.integers(0, 1 << 32, n, np.uint32))
+        for change in (0.0, 0.05, 0.11, 0.2, 0.5, 1.0):
+            other = np.unique(np.concatenate([base[r.random(len(base)) >= change], r.integers(0, 1 << 32, int(change * n), np.uint32)]))
+            both = shares(base, other)
+            most = simhash.most_shared(simhash.sketch(base), len(base), simhash.sketch(other), len(other))
+            assert both <= most <= min(len(base), len(other))
+            if n >= 200 and change >= 0.5:
+                others += 1
+                ruled_out += most < 0.8 * (len(base) + len(other) - most)
+    assert ruled_out == others > 0
+
+
+def test_texts_that_stay_are_not_dealt(spark):
+    # Before, all texts went through two shuffles at the end; now those whose key is in no doubt stay in their task.
+    words = [" ".join(f"w{n}x{k}" for k in range(40)) for n in range(500)]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(words)] + [(1, words[1]), (900, words[2]), (None, words[3]), (None, "own"), (None, "own")], "doc_id long, text string").repartition(8)
+    left = simhash.one_of_each(docs)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in left.collect()) == sorted([(False, n, t) for n, t in enumerate(words)] + [(True, 0, "own")])
+    metrics, plans = [], [left._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        plan = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if "QueryStage" in kind else plan
+        if plan.getClass().getSimpleName() == "ShuffleExchangeExec" and "row" in plan.output().toString():
+            metrics.append(plan.metrics().apply("shuffleRecordsWritten").value())
+        plans += [plan.children().apply(k) for k in range(plan.children().size())]
+    assert all(m < 250 for m in metrics), metrics
